@@ -1,6 +1,8 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import idfiles, packing
+from pyspark.sql import functions as F
+
+from . import idfiles, packing, quality_rules, sharding, simhash, substrings
 
 
 def vocabulary(name: str) -> str:
@@ -21,5 +23,24 @@ def op10_token_id_files(spark, sf_dir):
     return idfiles.write_and_read(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op10_token_id_files)}
+def op9_mcd_outliers(spark, sf_dir):
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op2_difference_cover(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_golay_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_flow_resharding(spark, sf_dir):
+    """The old layout: six shards over the blocks, growing in size from the first to the last."""
+    old = F.floor(6 * F.sqrt(F.col("block") / sharding.BLOCKS))
+    plan = sharding.reshard(documents(spark, sf_dir), old)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op5_golay_simhash, op7_flow_resharding, op9_mcd_outliers, op10_token_id_files)}
 SQL: dict[str, str] = {}
