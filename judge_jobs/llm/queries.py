@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import idfiles, packing, quality_rules, sharding, simhash, substrings
+from . import decontamination, idfiles, lines, packing, quality_rules, sharding, simhash, substrings
 
 
 def vocabulary(name: str) -> str:
@@ -31,10 +31,19 @@ def op2_difference_cover(spark, sf_dir):
     return substrings.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_fuzzy_lines(spark, sf_dir):
+    found = lines.dedupe_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_golay_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_ensemble_containment(spark, sf_dir):
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_flow_resharding(spark, sf_dir):
     """The old layout: six shards over the blocks, growing in size from the first to the last."""
     old = F.floor(6 * F.sqrt(F.col("block") / sharding.BLOCKS))
@@ -42,5 +51,5 @@ def op7_flow_resharding(spark, sf_dir):
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op5_golay_simhash, op7_flow_resharding, op9_mcd_outliers, op10_token_id_files)}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op3_fuzzy_lines, op5_golay_simhash, op6_ensemble_containment, op7_flow_resharding, op9_mcd_outliers, op10_token_id_files)}
 SQL: dict[str, str] = {}
