@@ -14,6 +14,7 @@ tasks in blocks of at most ``BLOCK_ITEMS``, so what is sent has a fixed bound ho
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
 from .lines import normalise
 from .substrings import hashes, windows
 
@@ -105,20 +106,13 @@ class Index:
         return out
 
 
-SCHEMA = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+SCHEMA = "doc_id long, tag long, item_id long, n_shared long, n_item long, containment double"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """Pairs of a document and a benchmark item of whose shingles it has a share of ``least`` or more.
-
-    Returns doc_id, item_id, n_shared, n_item (distinct shingles of the item, those in the document and
-    all) and containment. Texts are normalised as in line deduplication (ASCII case and punctuation don't matter).
-
-    Null or wordless texts match nothing. Null ids are kept. Repeated rows and repeated items match each.
-    Other columns are not read. An empty table on either side gives no rows.
-    """
+def _matches(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The pairs of :func:`contaminated`, with a hash of the text as ``tag``."""
     spark = docs.sparkSession
-    named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
+    named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("tag"), docs[f"`{text_col}`"].alias("text"))
     asked = items.select(items[f"`{item_id}`"].cast("long").alias("item_id"), items[f"`{item_text}`"].alias("text")).where(F.col("text").isNotNull())
     blocks = -(-asked.count() // block_items)
     out = None
@@ -134,22 +128,22 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, text_c
 
             def flush(docs):
                 rows = []
-                for d, candidates in found.search([(k, x) for k, (_, x) in enumerate(docs)]).items():
-                    own = np.unique(docs[d][1])
+                for d, candidates in found.search([(k, x) for k, (_, _, x) in enumerate(docs)]).items():
+                    own = np.unique(docs[d][2])
                     for i in sorted(candidates):
                         wanted = found.sets[i]
                         at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
                         shared = int((own[at] == wanted).sum())
                         if shared >= least * len(wanted):
-                            rows.append((docs[d][0], found.ids[i], shared, len(wanted), shared / len(wanted)))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                            rows.append((docs[d][0], docs[d][1], found.ids[i], shared, len(wanted), shared / len(wanted)))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "tag", "item_id", "n_shared", "n_item", "containment"])
 
             held, size = [], 0
             for batch in batches:
-                for doc, t in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                    held.append((doc.as_py(), shingles(t.as_py() or b"")))
-                    size += len(held[-1][1])
+                for doc, tag, t in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())):
+                    held.append((doc.as_py(), tag.as_py(), shingles(t.as_py() or b"")))
+                    size += len(held[-1][2])
                     if size >= CHUNK:
                         yield flush(held)
                         held, size = [], 0
@@ -159,3 +153,23 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, text_c
         matches = named.mapInArrow(run, SCHEMA)
         out = matches if out is None else out.unionByName(matches)
     return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, **columns) -> DataFrame:
+    """Pairs of a document and a benchmark item of whose shingles it has a share of ``least`` or more.
+
+    Returns doc_id, item_id, n_shared, n_item (distinct shingles of the item, those in the document and
+    all) and containment. Texts are normalised as in line deduplication (ASCII case and punctuation don't matter).
+
+    Null or wordless texts match nothing. Null ids are kept. Repeated rows and repeated items match each.
+    Other columns are not read. An empty table on either side gives no rows.
+    """
+    return _matches(docs, items, least, **columns).drop("tag")
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", id_col: str = "doc_id", **columns) -> DataFrame:
+    """The documents without any such match: the input's rows and columns."""
+    found = table(_matches(docs, items, least, text_col=text_col, id_col=id_col, **columns).select("doc_id", "tag").distinct(), "matches")
+    tagged = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(docs[f"`{text_col}`"]).alias("t"))
+    kept = tagged.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -178,3 +178,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     named = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     stats = statistics(named).select("doc_id", "lang", "source", *COUNTS)
     return verdicts(table(stats, "statistics")).drop("lang", "source")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that :func:`judge` keeps: the input's rows and columns. Rows are told apart by id, text, language and source."""
+    mark = F.xxhash64(*[docs[f"`{c}`"] for c in (text_col, lang_col, source_col)])
+    named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].alias("lang"), docs[f"`{source_col}`"].alias("source"), mark.alias("mark"))
+    stats = table(statistics(named).select("doc_id", "mark", "lang", "source", *COUNTS), "statistics")
+    rejected = table(verdicts(stats).where(~F.col("kept")).select("doc_id", "mark").distinct(), "rejected")
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("d"), mark.alias("m"))
+    kept = marked.join(rejected, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination, idfiles, lines, packing, quality_rules, sharding, simhash, substrings
+from .common import shared_dir
+from . import decontamination, idfiles, lines, packing, quality_rules, rollups, sharding, simhash, site_quality, substrings
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +24,11 @@ def op10_token_id_files(spark, sf_dir):
     return idfiles.write_and_read(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_site_bayes(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return site_quality.judge(documents(spark, sf_dir), labels)
+
+
 def op9_mcd_outliers(spark, sf_dir):
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -36,6 +42,10 @@ def op3_fuzzy_lines(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_delta_rollup(spark, sf_dir):
+    return rollups.maintained(documents(spark, sf_dir), shared_dir(spark, "totals"))
+
+
 def op5_golay_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -51,5 +61,15 @@ def op7_flow_resharding(spark, sf_dir):
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op3_fuzzy_lines, op5_golay_simhash, op6_ensemble_containment, op7_flow_resharding, op9_mcd_outliers, op10_token_id_files)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op3_fuzzy_lines, op4_delta_rollup, op5_golay_simhash, op6_ensemble_containment, op7_flow_resharding, op8_site_bayes, op9_mcd_outliers, op10_token_id_files)}
+_ROLLUP = """
+WITH counted AS (
+    SELECT doc_id, source, lang, 'words@1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents
+    UNION ALL
+    SELECT doc_id, source, lang, 'pieces@2', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\x20\\x09-\\x0D]')) FROM documents
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n + CASE WHEN doc_id % 7 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_tokens
+FROM counted WHERE doc_id IS NULL OR doc_id % 10 <> 3 GROUP BY ALL
+"""
+
+SQL: dict[str, str] = {"op4_delta_rollup": _ROLLUP}

@@ -109,17 +109,18 @@ def fingerprint(text: bytes, n: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, n: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long). Null text counts as empty: zero."""
+    """doc_id, tag (a hash of the text) and fingerprint (the 64 bits as a signed long). Null text counts as empty: zero."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py() or b"", n) for t in batch.column(1).cast(pa.binary())), dtype="<u8", count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view("<i8"))], names=["doc_id", "fingerprint"])
+            prints = np.fromiter((fingerprint(t.as_py() or b"", n) for t in batch.column(2).cast(pa.binary())), dtype="<u8", count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view("<i8"))], names=["doc_id", "tag", "fingerprint"])
 
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    text = docs[f"`{text_col}`"]
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(run, "doc_id long, tag long, fingerprint long")
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -145,6 +146,17 @@ def links(prints: DataFrame) -> DataFrame:
     return asked.join(filed, (asked.k == filed.k) & (asked.a < filed.b) & close).select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame, n: int, text_col: str, id_col: str) -> DataFrame:
+    """doc_id, tag, fingerprint, and the first document (first: doc_id and tag) of its component."""
+    prints = table(fingerprints(docs, n, text_col, id_col), "fingerprints")
+    nodes = table(prints.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.min("doc_id").alias("low")), "nodes")
+    reached = table(components(links(nodes)).withColumnRenamed("node", "fingerprint"), "components")
+    named = nodes.join(reached, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    first = named.groupBy("component").agg(F.min("first").alias("first"), F.min("low").alias("component_id"))
+    labels = table(named.select("fingerprint", "component").join(first, "component").select("fingerprint", "first", "component_id"), "labels")
+    return prints.join(labels, "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Each document's fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links.
 
@@ -153,10 +165,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, text_col: str = "text", id_col:
     Null ids are kept; they take the group's smallest id, or null if it has none. Repeated rows come
     back each. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    prints = table(fingerprints(docs, n, text_col, id_col), "fingerprints")
-    nodes = table(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
-    reached = table(components(links(nodes)).withColumnRenamed("node", "fingerprint"), "components")
-    named = nodes.join(reached, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = table(named.join(first, "component").select("fingerprint", "component_id"), "labels")
-    return prints.join(labels, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, n, text_col, id_col).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, n: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id (null first, then by a hash of the text).
+
+    Of rows with equal id and text one stays. Columns and values are the input's.
+    """
+    first = table(_grouped(docs, n, text_col, id_col).select("first.*").distinct(), "first")
+    tagged = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(docs[f"`{text_col}`"]).alias("t"))
+    kept = tagged.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_semi")
+    return kept.dropDuplicates(["d", "t"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
