@@ -2,18 +2,21 @@
 
 import re
 
-#: White space on both sides of a space: only there can a pre-token reach over a cut before a space.
+#: White space, a space, white space: only there can a pre-token reach over a cut before a space.
 _CROSSING = re.compile(r"\s \s")
-#: Units remembered in one Python worker before it starts afresh (bounds memory, not results).
-MEMO_UNITS = 400_000
+_AFTER = re.compile(r" \s")
+#: Units, and pre-tokens, remembered in one Python worker before it starts afresh (bounds memory, not results).
+MEMO_UNITS = 1_000_000
 
 
 class TextEncoder:
     """Encode texts to little-endian unsigned 32-bit ids as ``bytes``.
 
     A byte-level BPE never merges over the start of a `` word`` unit, so a text is cut before each
-    single space, each distinct unit is encoded once by the library, and the results are joined.
-    Texts in which a run of white space could span such a cut go to the library whole. Null is empty.
+    single space, each distinct unit goes through the library's pre-tokenizer and model once, and the
+    results are joined. Texts in which a run of white space could span such a cut, or with one of the
+    vocabulary's special strings, go to the library whole, and so do all texts under other kinds of
+    tokenizer. Null is empty.
     """
 
     _cache: dict = {}
@@ -22,9 +25,13 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         pre = self.library.pre_tokenizer
         self.by_unit = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.library.normalizer is None
+        self.split, self.model = pre, self.library.model
 
     @classmethod
     def of(cls, path: str) -> "TextEncoder":
@@ -33,25 +40,46 @@ class TextEncoder:
             cls._cache[path] = cls(path)
         return cls._cache[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, text: str) -> bytes:
         import numpy as np
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        pieces, out = self.pieces, []
+        for piece, _ in self.split.pre_tokenize_str(unit):
+            ids = pieces.get(piece)
+            if ids is None:
+                if len(pieces) > MEMO_UNITS // 2:
+                    pieces.clear()
+                ids = pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_unit or _CROSSING.search(text):
-            return self._whole([text])[0]
-        first, *rest = text.split(" ")
-        units = [first, *[" " + u for u in rest]]
-        memo = self.memo
-        try:
-            return b"".join([memo[u] for u in units])
-        except KeyError:
-            new = list({u for u in units if u not in memo})
-            if len(memo) + len(new) > MEMO_UNITS:
-                memo.clear()
-                new = list(set(units))
-            memo.update(zip(new, self._whole(new)))
-            return b"".join([memo[u] for u in units])
+        if not self.by_unit or (_AFTER.search(text) and _CROSSING.search(text)) or any(s in text for s in self.specials):
+            return self.whole(text)
+        head, *rest = text.split(" ")
+        later = self.later
+        out = list(map(later.get, rest))
+        if None in out:
+            if len(later) > MEMO_UNITS:
+                later.clear()
+            for k, ids in enumerate(out):
+                if ids is None:
+                    unit = rest[k]
+                    ids = later.get(unit)
+                    if ids is None:
+                        ids = later[unit] = self._unit(" " + unit)
+                    out[k] = ids
+        if head:
+            first = self.first
+            ids = first.get(head)
+            if ids is None:
+                if len(first) > MEMO_UNITS // 4:
+                    first.clear()
+                ids = first[head] = self._unit(head)
+            out.insert(0, ids)
+        return b"".join(out)
