@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .graph import components
+from .substrings import hashes, windows
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -168,12 +169,127 @@ def near_duplicates(docs: DataFrame, n: int = 3, text_col: str = "text", id_col:
     return _grouped(docs, n, text_col, id_col).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, n: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+#: Fingerprints of a text for groups by similarity; most bits in which one, and the other two by halves, may differ.
+VIEWS, VIEW_ERRORS, REST_ERRORS = 3, 16, 20
+#: Up to so many classes in candidate pairs (24 bytes each) are broadcast to fetch their texts.
+BROADCAST_NODES = 500_000
+
+
+def shingle_set(text: bytes, n: int = 5):
+    """Sorted distinct 64-bit hashes of a text's n-word shingles (ASCII lower case; of fewer words: one of all)."""
+    import numpy as np
+
+    words = text.lower().split()
+    return np.unique(windows(hashes(words), min(n, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def views(shingles):
+    """VIEWS independent 64-bit SimHashes of a set of shingles."""
+    import numpy as np
+
+    out = []
+    for k in range(VIEWS):
+        x = (shingles ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))).astype("<u8")
+        bits = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(x), 1 << 14):
+            bits += np.unpackbits(x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > len(x), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _sketches(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, tag, node (texts of the same words share one) and views v0, v1, v2."""
+
+    def run(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            nodes, found = [], [[] for _ in range(VIEWS)]
+            for t in batch.column(2).cast(pa.binary()):
+                text = (t.as_py() or b"").lower()
+                node = xxh3_64_intdigest(b" ".join(text.split()))
+                nodes.append(node - (1 << 64) if node >> 63 else node)
+                for column, v in zip(found, views(shingle_set(text, n))):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), *[pa.array(v, pa.int64()) for v in found]], names=["doc_id", "tag", "node", *[f"v{k}" for k in range(VIEWS)]])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag long, node long, " + ", ".join(f"v{k} long" for k in range(VIEWS)))
+
+
+def _meetings(nodes: DataFrame, k: int) -> DataFrame:
+    """Pairs of nodes that meet under the k-th view's keys and look alike in all views: (a, b), a < b.
+
+    Both sides file under all indices near their own, so a segment may hold two errors. The other
+    views go along by halves, so that what only meets by chance never leaves the join.
+    """
+    i, j = (k + 1) % VIEWS, (k + 2) % VIEWS
+    half = F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftleft(f"v{j}", 32))
+    named = nodes.select(F.col(f"v{k}").alias("v"), half.alias("w"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            v, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for at in range(0, len(v), 4096):
+                rows, found = keys(v[at : at + 4096].view("<u8"), True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(v[at : at + 4096][rows]), pa.array(w[at : at + 4096][rows])], names=["k", "v", "w"])
+
+    filed = named.distinct().mapInArrow(run, "k int, v long, w long")
+    other = filed.select("k", F.col("v").alias("v_b"), F.col("w").alias("w_b"))
+    bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    first = F.struct("v", "w") < F.struct("v_b", "w_b")
+    met = filed.join(other, "k").where(first & (bits("v", "v_b") <= VIEW_ERRORS) & (bits("w", "w_b") <= REST_ERRORS)).drop("k").distinct()
+    side = lambda v, w, name: nodes.select(F.col(f"v{k}").alias(v), half.alias(w), F.col("node").alias(name))
+    both = met.join(side("v", "w", "x"), ["v", "w"]).join(side("v_b", "w_b", "y"), ["v_b", "w_b"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id (null first, then by a hash of the text).
 
-    Of rows with equal id and text one stays. Columns and values are the input's.
+    Texts are linked if their sets of n-word shingles have a Jaccard similarity of ``least`` or more;
+    texts of the same words, and those with the same fingerprint in all views, are one to begin with.
+    Candidates come from the Golay keys of three independent fingerprints and are verified on the
+    sets, so nothing is removed that isn't similar to what stays or to a chain of removed ones. A pair
+    at the limit is met with a chance of some 0.8, a closer one more surely (see README).
+
+    Columns and values are the input's. Null texts count as empty; texts without words are one group.
+    Of rows with equal id and text one stays. An empty table gives no rows.
     """
-    first = table(_grouped(docs, n, text_col, id_col).select("first.*").distinct(), "first")
-    tagged = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(docs[f"`{text_col}`"]).alias("t"))
+    columns, text = [docs[f"`{c}`"] for c in docs.columns], docs[f"`{text_col}`"]
+    named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    rows = table(_sketches(named, n), "sketches")
+    each = [f"v{k}" for k in range(VIEWS)]
+    classes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("first"), *[F.first(v).alias(v) for v in each])
+    # texts with the same fingerprint in all views are one class
+    nodes = table(classes.groupBy(*each).agg(F.min("node").alias("node"), F.min_by("first", "node").alias("member"), F.min("first").alias("first")), "nodes")
+    met = _meetings(nodes, 0)
+    for k in range(1, VIEWS):
+        met = met.unionByName(_meetings(nodes, k))
+    pairs = table(met.distinct(), "pairs")
+    wanted = table(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "member.*"), "node"), "wanted")
+    hint = F.broadcast if wanted.count() <= BROADCAST_NODES else lambda x: x
+    found = named.join(hint(wanted.withColumnsRenamed({"doc_id": "d", "tag": "t"})), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
+
+    def sets(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py() or b"", n).view(np.int64) for t in batch.column(1).cast(pa.binary())], pa.list_(pa.int64()))], names=["node", "s"])
+
+    shingled = table(found.select("node", "text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "shingles")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    edges = alike.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    reached = table(components(edges).withColumnRenamed("component", "group"), "components")
+    grouped = nodes.join(reached, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("first").alias("first"))
+    first = table(grouped.select("first.*"), "first")
+    tagged = docs.select(F.struct(*columns).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(text).alias("t"))
     kept = tagged.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_semi")
     return kept.dropDuplicates(["d", "t"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,11 +3,10 @@ import inspect
 import corpus_pipeline
 from judge_jobs.llm import quality_rules
 from judge_jobs.llm.common import shared_dir, table
-from judge_jobs.llm.simhash import fingerprint
 from judge_jobs.llm.tokens import TextEncoder
 from test_decontamination import brute as leaks
 from test_lines import brute as deduped
-from test_simhash import union
+from test_simhash import first_of_groups
 
 
 def test_against_brute_force(spark, docs, vocabulary):
@@ -33,10 +32,7 @@ def test_against_brute_force(spark, docs, vocabulary):
         elif name == "line_dedup":
             assert after == deduped(list(before.items()))[0]
         elif name == "near_dedup":
-            ids = sorted(before)
-            prints = [fingerprint((before[i] or "").encode(), 5) for i in ids]
-            group = union(len(ids), [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if bin(prints[a] ^ prints[b]).count("1") <= 3])
-            assert set(after) == {ids[k] for k in set(group)}
+            assert set(after) == first_of_groups(before)
         elif name == "decontaminate":
             assert set(after) == set(before) - {d for d, _ in leaks(list(before.items()), items)}
             seen.append(len(before) - len(after))

@@ -84,18 +84,35 @@ def test_near_duplicates_against_brute_force(docs, texts):
     assert len({c for _, c in got.values()}) < len(ids)
 
 
+def first_of_groups(texts):
+    """Ids that stay when groups are chains of Jaccard similarity 0.8 over five-word shingles, by comparing all pairs."""
+    ids = sorted(texts, key=lambda i: (i is not None, i))
+    words = [(texts[i] or "").encode().lower().split() for i in ids]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    pairs = [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return {ids[k] for k in set(union(len(ids), pairs))}
+
+
 def test_keep_first(docs, texts):
-    kept = simhash.keep_first(docs, n=5)
+    kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     found = [r.doc_id for r in kept.collect()]
-    assert len(found) == len(set(found))
-    same = {}
-    for i, t in texts:
-        same.setdefault(t, []).append(i)
-    for group in same.values():
-        assert sum(i in found for i in group) <= 1
-    long = [i for i, t in texts if t and len(t.split()) == 3000]
-    assert long[0] in found
+    assert len(found) == len(set(found)) and set(found) == first_of_groups(dict(texts))
+
+
+def test_keep_first_recall_and_precision(spark):
+    """Near copies at and above the limit of 0.8, and pairs below it that must stay."""
+    rng = random.Random(6)
+    texts = {}
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        texts[2 * k] = " ".join(words)
+        share = rng.uniform(0.002, 0.05)
+        texts[2 * k + 1] = " ".join("new" + w if rng.random() < share else w for w in words)
+    want = first_of_groups(texts)
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert want <= got
+    assert len(texts) - len(got) >= 0.9 * (len(texts) - len(want)) > 30
 
 
 def test_edges(empty, odd):
