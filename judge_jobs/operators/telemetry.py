@@ -39,18 +39,28 @@ def by_dimension(events: DataFrame) -> DataFrame:
     return events.groupBy("dimension").agg(F.count("*").alias("n"), share("parse_ok").alias("ok_share"), share("escalated").alias("escalated_share"), F.avg("latency_ms").alias("mean_latency_ms")).orderBy("dimension")
 
 
-def latency_percentiles(events: DataFrame, percentiles: tuple[int, ...] = LATENCY_PERCENTILES, grid_ms: float | None = None) -> DataFrame:
-    """Nearest-rank percentiles without interpolation (0-based index, ties to even), exact over the value histogram.
+#: Equal parts of the latency range that the first pass counts.
+LATENCY_PARTS = 10_000
 
-    The running count is over distinct values, in one task; ``grid_ms`` rounds latencies first, which bounds
-    them for logs with very many distinct values. An empty log gives 0.
+
+def latency_percentiles(events: DataFrame, percentiles: tuple[int, ...] = LATENCY_PERCENTILES, parts: int = LATENCY_PARTS) -> DataFrame:
+    """Nearest-rank percentiles without interpolation (0-based index, ties to even), exact. An empty log gives 0.
+
+    One pass counts equal parts of the range, a second looks at the values of the few parts that hold a
+    wanted rank; no task orders the whole log.
     """
-    value = F.col("latency_ms") if grid_ms is None else F.round(F.col("latency_ms") / grid_ms) * grid_ms
-    counted = events.where(F.col("latency_ms").isNotNull()).groupBy(value.alias("v")).count()
-    whole = counted.agg(F.sum("count").alias("n"))
-    placed = counted.withColumn("upto", F.sum("count").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
-    wanted = whole.select("n", F.explode(F.array(*map(F.lit, percentiles))).alias("pct")).withColumn("at", F.rint(F.col("pct") / 100 * (F.col("n") - 1)))
-    found = placed.join(F.broadcast(wanted), F.col("upto") > F.col("at")).groupBy("pct").agg(F.min("v").alias("latency_ms"))
+    seen = events.select(F.col("latency_ms").alias("v")).where(F.col("v").isNotNull())
+    ends = seen.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    part = F.coalesce(F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * parts), F.lit(parts - 1)), F.lit(0)).cast("int")
+    placed = seen.crossJoin(F.broadcast(ends)).select("v", "n", part.alias("part"))  # one row of ends
+    counted = placed.groupBy("part").agg(F.count("*").alias("size"), F.first("n").alias("n"))
+    upto = F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0))  # at most one row for each part
+    ranks = F.explode(F.array(*map(F.lit, percentiles)))
+    wanted = counted.withColumn("upto", upto).withColumn("pct", ranks).withColumn("at", F.rint(F.col("pct") / 100 * (F.col("n") - 1)))
+    wanted = wanted.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("size"))).select("part", "pct", (F.col("at") - F.col("upto") + F.col("size")).alias("at"))
+    values = placed.join(F.broadcast(wanted.select("part").distinct()), "part").groupBy("part", "v").count()
+    within = values.withColumn("upto", F.sum("count").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    found = within.join(F.broadcast(wanted), "part").where(F.col("upto") > F.col("at")).groupBy("pct").agg(F.min("v").alias("latency_ms"))
     every = events.sparkSession.createDataFrame([(p,) for p in percentiles], "pct int")
     return every.join(found, "pct", "left").select("pct", F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"))
 

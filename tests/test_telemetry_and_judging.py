@@ -28,7 +28,10 @@ def test_nearest_rank_percentiles(spark):
     found = {r.pct: r.latency_ms for r in telemetry.latency_percentiles(run(spark)).collect()}
     assert found == {p: 10.0 * (round(p / 100 * 99) + 1) for p in (50, 90, 95, 99)}
     assert {r.latency_ms for r in telemetry.latency_percentiles(events(spark)).collect()} == {0.0}
-    assert {r.latency_ms for r in telemetry.latency_percentiles(run(spark), (50,), grid_ms=100).collect()} == {500.0}
+    few = {r.pct: r.latency_ms for r in telemetry.latency_percentiles(run(spark), parts=3).collect()}
+    assert few == found
+    same = events(spark, *[("i", "d", 5.0, 7.0, True, False, 0, None)] * 3)
+    assert {r.latency_ms for r in telemetry.latency_percentiles(same).collect()} == {7.0}
 
 
 def test_throughput_has_every_bucket(spark):
