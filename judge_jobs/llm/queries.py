@@ -30,7 +30,7 @@ def op8_site_bayes(spark, sf_dir):
 
 
 def op9_mcd_outliers(spark, sf_dir):
-    return quality_rules.judge(documents(spark, sf_dir))
+    return quality_rules.judge(documents(spark, sf_dir)).drop("distance")
 
 
 def op2_difference_cover(spark, sf_dir):
@@ -72,4 +72,59 @@ SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n + CASE WHEN doc_i
 FROM counted WHERE doc_id IS NULL OR doc_id % 10 <> 3 GROUP BY ALL
 """
 
-SQL: dict[str, str] = {"op4_delta_rollup": _ROLLUP}
+_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d)),
+gone AS (SELECT doc_id, unnest(range(p, p + 50)) AS i FROM windows JOIN (SELECT k, min(doc_id) AS low FROM windows GROUP BY k) USING (k) WHERE low < doc_id),
+places AS (SELECT DISTINCT doc_id, i FROM gone),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN places USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM places GROUP BY doc_id) USING (doc_id)
+"""
+
+_CONTAINMENT = r"""
+WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+normal AS (SELECT side, id, regexp_extract_all(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM texts WHERE text IS NOT NULL),
+shingles AS (SELECT DISTINCT side, id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM normal WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE side = 1 GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM (FROM shingles WHERE side = 0) d JOIN (FROM shingles WHERE side = 1) i USING (s) JOIN sizes ON sizes.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n_item)
+"""
+
+
+def _outliers() -> str:
+    """The estimate of quality_rules as one statement: each concentration step is three expressions."""
+    from .quality_rules import AXES, CUTOFF, DISTANCE, FEATURES, FLOOR, LEAST_GROUP, SHARE, STEPS, cholesky, moments, whitened
+
+    n = range(len(AXES))
+    m, lower = [f"m{a}" for a in n], [f"l{a}{b}" for a in n for b in range(a + 1)]
+    nest = lambda source, steps: source if not steps else f"(SELECT *, {', '.join(f'{e} AS {k}' for k, e in steps[-1].items())} FROM {nest(source, steps[:-1])})"
+    diagonal = ", ".join(f"greatest(1.4826 * d{a}, {FLOOR[x]}) AS l{a}{b}" if a == b else f"0.0 AS l{a}{b}" for a, x in enumerate(AXES) for b in range(a + 1))
+    parts = [
+        r"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)",
+        "spans AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM d))",
+        "again AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS i FROM spans JOIN (SELECT r, k FROM spans GROUP BY r, k HAVING count(*) > 1) USING (r, k)) GROUP BY r)",
+        r"""counted AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d) LEFT JOIN again USING (r))""",
+        "judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)",
+        "own AS (SELECT lang, source, count(*) AS n FROM judged WHERE NOT base_failed GROUP BY ALL)",
+        f"names AS (SELECT lang, source, CASE WHEN n >= {LEAST_GROUP} THEN lang || chr(1) || source WHEN coalesce(few, 0) >= {LEAST_GROUP} THEN lang ELSE '*' END AS g FROM own LEFT JOIN (SELECT lang, sum(n) AS few FROM own WHERE n < {LEAST_GROUP} GROUP BY lang) USING (lang))",
+        "passed AS (SELECT r, g, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words FROM judged JOIN names USING (lang, source) WHERE NOT base_failed)",
+        "sizes AS (SELECT g, quantile_disc(round(word_chars / n_words, 2), 0.5) AS word_size, count(*) AS n FROM passed GROUP BY g)",
+        f"x AS (SELECT r, g, n, {', '.join(f'round({e}, 4) AS {x}' for x, e in FEATURES.items())} FROM passed JOIN sizes USING (g))",
+        f"medians AS (SELECT g, {', '.join(f'quantile_disc({x}, 0.5) AS m{a}' for a, x in enumerate(AXES))} FROM x GROUP BY g)",
+        f"e0 AS (SELECT g, {', '.join(m)}, {diagonal} FROM (SELECT g, {', '.join(f'any_value(m{a}) AS m{a}' for a in n)}, {', '.join(f'quantile_disc(round(abs({x} - m{a}), 4), 0.5) AS d{a}' for a, x in enumerate(AXES))} FROM x JOIN medians USING (g) GROUP BY g))",
+    ]
+    for k in range(STEPS):
+        parts += [
+            f"p{k} AS (SELECT *, {DISTANCE} AS d FROM {nest(f'(SELECT * FROM x JOIN e{k} USING (g))', whitened())})",
+            f"i{k} AS (SELECT g, {', '.join(AXES)} FROM p{k} JOIN (SELECT g, quantile_disc(d, {SHARE}) AS reach FROM p{k} GROUP BY g) USING (g) WHERE d <= reach)",
+            f"e{k + 1} AS (SELECT g, {', '.join(m + lower)} FROM {nest('(SELECT g, ' + ', '.join(f'{e} AS {c}' for c, e in moments().items()) + f' FROM i{k} GROUP BY g)', cholesky())})",
+        ]
+    parts.append(f"far AS (SELECT r, {DISTANCE} AS d, n FROM {nest(f'(SELECT * FROM x JOIN e{STEPS} USING (g))', whitened())})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d > {CUTOFF} AND n >= {LEAST_GROUP}, false) AS kept FROM judged LEFT JOIN far USING (r)"
+
+
+SQL: dict[str, str] = {"op2_difference_cover": _SUBSTRINGS, "op4_delta_rollup": _ROLLUP, "op6_ensemble_containment": _CONTAINMENT, "op9_mcd_outliers": _outliers()}
