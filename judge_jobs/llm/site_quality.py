@@ -21,6 +21,8 @@ from .common import table
 TRAIN_ROWS = 10_000
 SHAPES = 512
 MEMO_WORDS = 400_000
+#: Words of average evidence that each document has besides its own, so that a few words don't condemn it.
+PRIOR_WORDS = 10
 #: Evidence is held within these log-odds.
 MOST_EVIDENCE = 8.0
 
@@ -57,7 +59,7 @@ def features(text: bytes):
     return x
 
 
-def fit(x, y, ridge: float = 1e-3, steps: int = 25):
+def fit(x, y, ridge: float = 1e-4, steps: int = 25):
     """Ridge logistic regression by Newton steps. With one class or none: its smoothed log-odds alone."""
     import numpy as np
 
@@ -76,7 +78,7 @@ def fit(x, y, ridge: float = 1e-3, steps: int = 25):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """Weights from at most ``rows`` labelled documents (columns doc_id, text; doc_id, quality)."""
+    """Weights, and the average evidence, from at most ``rows`` labelled documents (columns doc_id, text; doc_id, quality)."""
     import numpy as np
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -95,20 +97,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     x = np.zeros((len(found), SHAPES))
     for k, row in enumerate(found):
         x[k, row.at] = row.x
-    return fit(x, np.array([r.quality for r in found], dtype=float))
+    weights = fit(x, np.array([r.quality for r in found], dtype=float))
+    return weights, float((x @ weights).mean()) if len(x) else 0.0
 
 
-def evidence(docs: DataFrame, weights, text_col: str = "text") -> DataFrame:
-    """The rows' other columns and ``evidence``, the classifier's log-odds. Null text: no words."""
+def evidence(docs: DataFrame, weights, middle: float, text_col: str = "text") -> DataFrame:
+    """The rows' other columns and ``evidence``: the classifier's log-odds, drawn to ``middle`` for short texts. Null text: no words, so just that."""
     columns = [c for c in docs.columns if c != text_col]
     schema = docs.select(*columns).schema.add("evidence", "double")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = [float(np.clip(features(t.as_py() or b"") @ weights, -MOST_EVIDENCE, MOST_EVIDENCE)) for t in batch.column(len(columns)).cast(pa.binary())]
+            found = []
+            for t in batch.column(len(columns)).cast(pa.binary()):
+                text = t.as_py() or b""
+                n = len(text.split())
+                own = (n * float(features(text) @ weights) + PRIOR_WORDS * middle) / (n + PRIOR_WORDS)
+                found.append(min(MOST_EVIDENCE, max(-MOST_EVIDENCE, own)))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(found, pa.float64())], names=[*columns, "evidence"])
 
     return docs.select(*columns, text_col).mapInArrow(run, schema)
@@ -160,7 +167,7 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str
     like others. Repeated rows count each. Other columns are not read. An empty table gives no rows.
     """
     named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{host_col}`"].cast("string").alias("host"), docs[f"`{path_col}`"].cast("string").alias("path"), docs[f"`{text_col}`"].alias("text"))
-    weights = train(named, labels.select(F.col("doc_id").cast("long"), "quality"))
-    scored = table(evidence(named, weights), "evidence")
+    weights, middle = train(named, labels.select(F.col("doc_id").cast("long"), "quality"))
+    scored = table(evidence(named, weights, middle), "evidence")
     found = posteriors(scored)
     return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior")], (F.col("posterior") >= least).alias("kept"))
