@@ -51,3 +51,25 @@ def sized_partitions(spark: SparkSession, at_least: int = 1) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+_spread: list = []
+
+
+def bit_sums(hashes, starts):
+    """How many of the 64-bit hashes of each run set each bit: one row of 64 counts for each run.
+
+    ``starts``: where each run begins, ascending; no run is empty. Bytes are spread to eight lanes
+    each by a table, so that a run of up to 255 hashes is eight additions for each hash.
+    """
+    import numpy as np
+
+    if not _spread:
+        _spread.append(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8").ravel())
+    starts = np.asarray(starts, dtype=np.int64)
+    pieces = -(-np.diff(np.append(starts, len(hashes))) // 255)
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(starts - 255 * first, pieces) + 255 * np.arange(pieces.sum())
+    lanes = _spread[0][hashes.astype("<u8", copy=False).view(np.uint8)].reshape(-1, 8)
+    parts = np.add.reduceat(lanes, at, axis=0).view(np.uint8).astype(np.int64)
+    return np.add.reduceat(parts, first, axis=0)

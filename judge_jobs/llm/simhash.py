@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bit_sums, table
 from .graph import components
 from .substrings import hashes, windows
 
@@ -103,10 +103,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
         starts = [0, *(ends[:-n] + 1).tolist()]
         hashes = np.fromiter((xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[n - 1 :].tolist())), dtype="<u8", count=len(starts))
-    bits = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(hashes), 1 << 14):
-        bits += np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * bit_sums(hashes, [0])[0] > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, n: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -191,10 +188,8 @@ def views(shingles):
     for k in range(VIEWS):
         x = (shingles ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))).astype("<u8")
-        bits = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(x), 1 << 14):
-            bits += np.unpackbits(x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        x = x ^ (x >> np.uint64(29))
+        bits = bit_sums(x, [0])[0] if len(x) else np.zeros(64)
         out.append(int(np.packbits(2 * bits > len(x), bitorder="little").view("<i8")[0]))
     return out
 
