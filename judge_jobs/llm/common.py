@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 
 
+#: Spark's setting that removes a statement's shuffle files at its end.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the session's ``spark.checkpoint.dir``.
 
@@ -25,11 +29,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage.
 
-    The copy lives on the cluster's store, so a lost executor costs no recomputation.
+    The copy lives on the cluster's store, so a lost executor costs no recomputation, and the shuffle
+    files of the write are given back once it is done.
     """
-    path = shared_dir(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
+    path, conf = shared_dir(df.sparkSession, name), df.sparkSession.conf
+    schema, before = df.schema, conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREED, before) if before is not None else conf.unset(FREED)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._scratch = path
     return out

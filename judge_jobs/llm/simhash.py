@@ -8,6 +8,7 @@ each two segments, the other asks for the indices near its own, and every such p
 verified on the whole fingerprints inside the join, and only true links leave it.
 """
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -263,10 +264,8 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
     classes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("first"), *[F.first(v).alias(v) for v in each])
     # texts with the same fingerprint in all views are one class
     nodes = table(classes.groupBy(*each).agg(F.min("node").alias("node"), F.min_by("first", "node").alias("member"), F.min("first").alias("first")), "nodes")
-    met = _meetings(nodes, 0)
-    for k in range(1, VIEWS):
-        met = met.unionByName(_meetings(nodes, k))
-    pairs = table(met.distinct(), "pairs")
+    met = [table(_meetings(nodes, k), "met") for k in range(VIEWS)]  # one after another, so that their shuffles don't add up
+    pairs = table(reduce(DataFrame.unionByName, met).distinct(), "pairs")
     wanted = table(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "member.*"), "node"), "wanted")
     hint = F.broadcast if wanted.count() <= BROADCAST_NODES else lambda x: x
     found = named.join(hint(wanted.withColumnsRenamed({"doc_id": "d", "tag": "t"})), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
