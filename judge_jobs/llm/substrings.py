@@ -167,19 +167,23 @@ def removed_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # of texts with the same words only the one with the smallest id can lose a part and not all
     able = texts.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
     first = table(able.groupBy("sha").agg(F.min_by("anchors", "doc_id").alias("anchors"), F.min("doc_id").alias("doc_id"), F.min_by("tag", "doc_id").alias("tag")).select("doc_id", "tag", "anchors"), "first")
+    slim = table(texts.drop("anchors"), "words")
+    drop_table(texts)
     places = first.select("doc_id", "tag", F.posexplode("anchors").alias("k", "anchor"))
     shared = table(places.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "anchors")
     role = (F.col("doc_id") < F.col("high")).cast("int") + F.when(F.col("low") < F.col("doc_id"), 2).otherwise(0)
     marked = places.join(shared, "anchor").select("doc_id", "tag", "k", role.alias("role"))
     flagged = table(marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("k", "role")).alias("found")), "flagged")
+    drop_table(first)
+    drop_table(shared)
     whole = table(docs.join(flagged, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "text", F.col("found.k").alias("places"), F.col("found.role").alias("roles")), "whole")
     found = table(_candidates(whole), "windows")
     held = table(found.where(F.col("role").bitwiseAND(F.lit(1)) > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("low")), "held")
     lost = found.where(F.col("role").bitwiseAND(F.lit(2)) > 0).join(held, ["h1", "h2"]).where("low < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
     lost = table(lost, "lost")
     drop_table(found)
-    drop_table(first)
-    return texts, whole.select("doc_id", "tag", "text").join(lost, ["doc_id", "tag"])
+    drop_table(held)
+    return slim, whole.select("doc_id", "tag", "text").join(lost, ["doc_id", "tag"])
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
