@@ -78,25 +78,30 @@ def fit(x, y, ridge: float = 1e-4, steps: int = 25):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """Weights, and the average evidence, from at most ``rows`` labelled documents (columns doc_id, text; doc_id, quality)."""
+    """Weights, and the average evidence, from at most ``rows`` labelled ids (columns doc_id, text; doc_id, quality). An id counts once, with the mean features of its rows."""
     import numpy as np
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    labelled = docs.join(F.broadcast(sample), "doc_id").select("quality", "text")
+    labelled = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = [features(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+            x = [features(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
             at = [np.flatnonzero(v) for v in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([v[a] for v, a in zip(x, at)], pa.list_(pa.float64()))], names=["quality", "at", "x"])
-
-    found = labelled.mapInArrow(run, "quality int, at array<int>, x array<double>").orderBy("quality", "at", "x").limit(2 * rows).collect()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([v[a] for v, a in zip(x, at)], pa.list_(pa.float64()))], names=["doc_id", "quality", "at", "x"])
+
+    # one row for each labelled id, the mean of its rows' features: as many as the sample has, however often an id is repeated
+    each = labelled.mapInArrow(run, "doc_id long, quality int, at array<int>, x array<double>").select("doc_id", "quality", F.explode(F.arrays_zip("at", "x")).alias("f"))
+    sums = each.groupBy("doc_id", "quality", F.col("f.at").alias("at")).agg(F.sum("f.x").alias("x"))
+    # the constant is 1 in each row, so its sum counts the rows
+    grouped = sums.groupBy("doc_id", "quality").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("f"))
+    found = grouped.orderBy("doc_id").collect()
     x = np.zeros((len(found), SHAPES))
     for k, row in enumerate(found):
-        x[k, row.at] = row.x
+        x[k, [f.at for f in row.f]] = [round(f.x / row.f[-1].x, 12) for f in row.f]
     weights = fit(x, np.array([r.quality for r in found], dtype=float))
     return weights, float((x @ weights).mean()) if len(x) else 0.0
 
