@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, table
 from . import decontamination, idfiles, lines, packing, quality_rules, rollups, sharding, simhash, site_quality, substrings
 
 
@@ -57,8 +57,11 @@ def op6_ensemble_containment(spark, sf_dir):
 def op7_flow_resharding(spark, sf_dir):
     """The old layout: six shards over the blocks, growing in size from the first to the last."""
     old = F.floor(6 * F.sqrt(F.col("block") / sharding.BLOCKS))
-    plan = sharding.reshard(documents(spark, sf_dir), old)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    docs = documents(spark, sf_dir)
+    plan = table(sharding.reshard(docs, old), "plan")
+    files = sharding.rewrite_in_order(docs, plan, shared_dir(spark, "shards"))
+    shards = plan.select("shard", "slot", "old_shard", "moved")
+    return files.join(shards, ["shard", "slot"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
 QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op3_fuzzy_lines, op4_delta_rollup, op5_golay_simhash, op6_ensemble_containment, op7_flow_resharding, op8_site_bayes, op9_mcd_outliers, op10_token_id_files)}

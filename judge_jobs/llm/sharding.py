@@ -145,3 +145,27 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, text_col: str = "text",
     rows = docs.withColumn("_block", block_of(text_col, blocks)).join(F.broadcast(wanted), "_block").drop("_block")
     rows.write.partitionBy("shard").parquet(path)
     return affected
+
+
+def rewrite_in_order(docs: DataFrame, plan: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Write the affected shards with their texts to ``path``/shard=N, rows in slot order, and read their places back from the files.
+
+    ``plan``: a stored table of :func:`reshard`. Every file holds a run of slots of CELL_ROWS rows at most,
+    so that no task writes a whole shard. Returns doc_id, size, text_crc32, shard and slot; the first three
+    are computed from the texts in the files, and for shards that keep theirs from the documents.
+    """
+    named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
+    crc = lambda: F.crc32(text_or_empty().cast("binary"))
+    size = lambda: (F.octet_length(text_or_empty()) + 1).cast("long")
+    # equal rows are interchangeable, so the n-th of each kind in the documents takes the n-th of its slots; a salt of the row's id and text keeps a hot text in many tasks
+    kind = ["_id", "text_crc32", "size", "block"]
+    nth = lambda order: F.row_number().over(W.partitionBy(*kind).orderBy(order))
+    places = table(plan.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("nth", nth("slot")).select(*kind, "nth", "old_shard", "shard", "slot"), "slots")
+    affected = places.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    rows = named.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_crc32": crc(), "size": size(), "block": block_of()})
+    placed = rows.withColumn("nth", nth(F.xxhash64("text"))).join(places, [*kind, "nth"])
+    moved = placed.join(F.broadcast(affected), "shard", "left_semi").withColumn("run", F.floor(F.col("slot") / CELL_ROWS))
+    moved.select("doc_id", "text", "slot", "shard", "run").repartition("shard", "run").sortWithinPartitions("shard", "slot").drop("run").write.partitionBy("shard").parquet(path)
+    read = docs.sparkSession.read.schema(named.schema.add("slot", "long").add("shard", "integer")).parquet(path)
+    stays = plan.join(F.broadcast(affected), "shard", "left_anti").select("doc_id", "size", "text_crc32", "shard", "slot")
+    return read.select("doc_id", size().alias("size"), crc().alias("text_crc32"), "shard", "slot").unionByName(stays)
