@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .tokens import TextEncoder
+from .tokens import TextEncoder, chunks
 
 BLOCK_TOKENS = 2_000_000
 BLOCK_EXAMPLES = 4096
@@ -164,17 +164,21 @@ def pack(
             types = [pa.int64()] * 8 + [pa.list_(pa.int32())] * with_ids
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
 
+        def rows(part, column):
+            found = encoder.encode_all(part.column(column))
+            raw, offsets = found.values.to_numpy().tobytes(), found.offsets.to_pylist()
+            return [raw[4 * x : 4 * y] for x, y in zip(offsets, offsets[1:])]
+
         block, held = [], 0
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k, doc in enumerate(docs):
-                ids = encoder.encode(texts[k].as_py()) + end
-                before = encoder.encode(batch.column(2)[k].as_py()) if prompt_col else b""
-                block.append((doc, before + ids, len(ids) // 4))
-                held += (len(before) + len(ids)) // 4
-                if held >= BLOCK_TOKENS or len(block) >= BLOCK_EXAMPLES:
-                    yield flush(block)
-                    block, held = [], 0
+            for part in chunks(batch, 1):
+                before = rows(part, 2) if prompt_col else [b""] * part.num_rows
+                for doc, prompt, ids in zip(part.column(0).to_pylist(), before, rows(part, 1)):
+                    block.append((doc, prompt + ids + end, len(ids) // 4 + 1))
+                    held += len(block[-1][1]) // 4
+                    if held >= BLOCK_TOKENS or len(block) >= BLOCK_EXAMPLES:
+                        yield flush(block)
+                        block, held = [], 0
         if block:
             yield flush(block)
 
