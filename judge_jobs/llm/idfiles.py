@@ -1,9 +1,10 @@
 """Token-id files: raw id payloads with a minimal perfect hash from document key to place.
 
-A data set is a folder with one ``*.ids`` file for each shard and a Parquet ``manifest``. A file holds,
-after a fixed header, the documents' ids one after another in ascending key order (unsigned 16-bit
-where the vocabulary allows it, else 32-bit, little-endian), the start of each document, the sorted
-keys, and the hash index. The index follows Limasset et al., "Fast and scalable minimal perfect
+A data set is a folder of ``*.ids`` files and a Parquet ``manifest``. A file holds the documents' ids one
+after another in ascending key order (unsigned 16-bit where the vocabulary allows it, else 32-bit,
+little-endian), then the start of each document, the sorted keys, the hash index and a fixed footer. A
+task writes ids as they come and begins a new file after ``FILE_IDS``, so what it holds doesn't depend
+on the number or size of partitions. The index follows Limasset et al., "Fast and scalable minimal perfect
 hashing for massive key sets" (2017): level by level, keys whose hash falls alone on a bit settle
 there, the others go on to the next level; the rank of a key's bit is its slot. Each slot stores a
 32-bit fingerprint of its key and the key's record number, so a lookup costs a few probes whatever
@@ -22,10 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shared_dir, sized_partitions
-from .tokens import TextEncoder
+from .tokens import TextEncoder, chunks
 
-MAGIC = b"TOKIDS01"
-HEADER = struct.Struct("<8sQQQQQQ")  # magic, bytes an id, ids, records, keys, index words, levels
+MAGIC = b"TOKIDS02"
+FOOTER = struct.Struct("<8sQQQQQQ")  # magic, bytes an id, ids, records, keys, index words, levels
+#: Ids after which a file is closed; it may be longer by one document.
+FILE_IDS = 16_000_000
 LEVELS = 64
 
 
@@ -89,23 +92,34 @@ def fingerprint(keys):
     return (_hash(keys, 1 << 20) >> np.uint64(32)).astype("<u4")
 
 
-def shard_bytes(keys: list[int | None], ids: list[bytes], width: int) -> list[bytes]:
-    """The sections of a shard file. keys ascend, nulls first; ids are little-endian 32-bit."""
-    import numpy as np
+class ShardWriter:
+    """Writes one file to a stream: ids as they come, the index at the end. Keys come in ascending order, nulls first."""
+
+    def __init__(self, stream, width: int):
+        self.stream, self.width, self.keys, self.lengths, self.n_ids = stream, width, [], [], 0
+
+    def add(self, keys: list[int | None], lengths, ids) -> None:
+        """Append documents: their keys, numbers of ids, and all ids one after another."""
+        self.stream.write(ids.astype("<u2" if self.width == 2 else "<u4", copy=False).tobytes())
+        self.keys += keys
+        self.lengths.append(lengths)
+        self.n_ids += len(ids)
+
+    def close(self) -> None:
+        import numpy as np
 
-    lengths = np.array([len(x) // 4 for x in ids], dtype="<u8")
-    starts = np.concatenate(([0], np.cumsum(lengths))).astype("<u8")
-    null = sum(k is None for k in keys)
-    known = np.array(keys[null:], dtype="<i8")
-    distinct, record = np.unique(known, return_index=True)
-    distinct = distinct.astype("<u8")
-    index = PerfectHash.build(distinct)
-    slot = index.slots(distinct)
-    prints, records = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u8")
-    prints[slot], records[slot] = fingerprint(distinct), record + null
-    payload = [x if width == 4 else np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-    header = HEADER.pack(MAGIC, width, int(starts[-1]), len(ids), len(distinct), len(index.words), len(index.sizes))
-    return [header, *payload, starts.tobytes(), struct.pack("<Q", null), known.tobytes(), index.sizes.astype("<u8").tobytes(), index.words.tobytes(), prints.tobytes(), records.tobytes()]
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(self.lengths))]).astype("<u8")
+        null = sum(k is None for k in self.keys)
+        known = np.array(self.keys[null:], dtype="<i8")
+        distinct, record = np.unique(known, return_index=True)
+        distinct = distinct.astype("<u8")
+        index = PerfectHash.build(distinct)
+        slot = index.slots(distinct)
+        prints, records = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u8")
+        prints[slot], records[slot] = fingerprint(distinct), record + null
+        footer = FOOTER.pack(MAGIC, self.width, self.n_ids, len(self.keys), len(distinct), len(index.words), len(index.sizes))
+        for part in (starts.tobytes(), struct.pack("<Q", null), known.tobytes(), index.sizes.astype("<u8").tobytes(), index.words.tobytes(), prints.tobytes(), records.tobytes(), footer):
+            self.stream.write(part)
 
 
 class Shard:
@@ -114,10 +128,10 @@ class Shard:
     def __init__(self, data):
         import numpy as np
 
-        magic, self.width, n_ids, self.n, n_keys, n_words, n_levels = HEADER.unpack_from(data, 0)
+        magic, self.width, n_ids, self.n, n_keys, n_words, n_levels = FOOTER.unpack_from(data, len(data) - FOOTER.size)
         if magic != MAGIC:
             raise ValueError("not a token-id file")
-        at = HEADER.size
+        at = 0
 
         def section(dtype: str, n: int):
             nonlocal at
@@ -156,51 +170,75 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id", partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode texts and write them as token-id files under ``path``; returns the manifest.
 
-    Rows are range-partitioned by key, so shards and the ids in them ascend. Null text: the end id
+    Rows are range-partitioned by key, so files and the ids in them ascend. Null text: the end id
     alone. Null keys come first; they are stored but have no index entry. Rows that repeat a key are
-    all stored side by side; the index leads to the first. Other columns are not read. The manifest
-    (one row for each shard) has the file, its first and last key, its counts, and ``first_id``, the
-    ids of all shards before it.
+    all stored side by side, in the order of a hash of their texts, over several partitions and files
+    if there are many; the index leads to the first. A text of any length is encoded whole, in one
+    task. Other columns are not read. The manifest (one row for each file) has the file, its first and
+    last key, its counts, and ``first_id``, the ids of all files before it.
     """
     spark = docs.sparkSession
     n = partitions or sized_partitions(spark)
-    ordered = docs.select(docs[f"`{id_col}`"].cast("long").alias("key"), docs[f"`{text_col}`"].alias("text")).repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    named = docs.select(docs[f"`{id_col}`"].cast("long").alias("key"), docs[f"`{text_col}`"].alias("text"))
+    # the last of the three tells even equal rows apart, so that no key or row is too many for a partition
+    order = [F.col("key").asc_nulls_first(), "tag", "nth"]
+    ordered = named.withColumns({"tag": F.xxhash64("text"), "nth": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = TextEncoder.of(tokenizer), struct.pack("<I", end_id)
+        encoder = TextEncoder.of(tokenizer)
         width = 2 if encoder.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        keys, ids = [], []
-        for batch in batches:
-            keys += batch.column(0).to_pylist()
-            ids += [encoder.encode(t.as_py()) + end for t in batch.column(1)]
-        if not keys:
-            return
-        store, folder = _filesystem(path)
+        context, store, folder = TaskContext.get(), *_filesystem(path)
         store.create_dir(folder, recursive=True)
-        context = TaskContext.get()
-        name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}.ids"
-        with store.open_output_stream(f"{folder}/{name}") as out:
-            for part in shard_bytes(keys, ids, width):
-                out.write(part)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([context.partitionId()], pa.int64()), pa.array([name])] + [pa.array([v], pa.int64()) for v in (next((k for k in keys if k is not None), None), keys[-1], len(keys), sum(len(x) // 4 for x in ids))],
-            names=["shard", "file", "first_key", "last_key", "n_docs", "n_ids"],
-        )
-
-    rows = ordered.mapInArrow(run, "shard long, file string, first_key long, last_key long, n_docs long, n_ids long")
-    rows.write.parquet(f"{path}/attempted")
-    before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spark.read.schema(rows.schema).parquet(f"{path}/attempted").withColumn("first_id", before).write.parquet(f"{path}/manifest")
+        attempt, writer, name, rows = f"{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}", None, "", []
+
+        def finish():
+            writer.close()
+            writer.stream.close()
+            keys = writer.keys
+            rows.append((context.partitionId(), len(rows), name, next((k for k in keys if k is not None), None), keys[-1], len(keys), writer.n_ids))
+
+        for batch in batches:
+            for part in chunks(batch, 1):
+                found = encoder.encode_all(part.column(1))
+                keys, offsets, values = part.column(0).to_pylist(), found.offsets.to_numpy(), found.values.to_numpy()
+                # an end id after each document
+                lengths = np.diff(offsets) + 1
+                ids = np.full(len(values) + len(keys), end_id, dtype="<u4")
+                inner = np.ones(len(ids), dtype=bool)
+                ends = np.cumsum(lengths)
+                inner[ends - 1] = False
+                ids[inner] = values
+                at = 0
+                while at < len(keys):
+                    if writer is None:
+                        name = f"{attempt}-{len(rows):05d}.ids"
+                        writer = ShardWriter(store.open_output_stream(f"{folder}/{name}"), width)
+                    before = ends[at - 1] if at else 0
+                    end = min(len(keys), int(np.searchsorted(ends, before + file_ids - writer.n_ids)) + 1)
+                    writer.add(keys[at:end], lengths[at:end], ids[before : ends[end - 1]])
+                    at = end
+                    if writer.n_ids >= file_ids:
+                        finish()
+                        writer = None
+        if writer is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4))], names=[x.split()[0] for x in MANIFEST.split(", ")[:-1]])
+
+    schema = MANIFEST.rsplit(", ", 1)[0]
+    ordered.mapInArrow(run, schema).write.parquet(f"{path}/attempted")
+    before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spark.read.schema(schema).parquet(f"{path}/attempted").withColumn("first_id", before).write.parquet(f"{path}/manifest")
     return manifest(spark, path)
 
 
-MANIFEST = "shard long, file string, first_key long, last_key long, n_docs long, n_ids long, first_id long"
+MANIFEST = "shard long, part long, file string, first_key long, last_key long, n_docs long, n_ids long, first_id long"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -210,7 +248,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Every document of a data set, found by its key: doc_id, start, n_tokens, ids_crc32 (and ids).
 
-    Each shard is one task. Known keys go through the hash index and its fingerprints; rows that
+    A task reads one file at a time. Known keys go through the hash index and its fingerprints; rows that
     repeat a key follow its first record.
     """
 
@@ -243,15 +281,29 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def lookup(keys: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Keyed access: for each wanted key its start, n_tokens and ids_crc32, null where the key is absent.
+    """Keyed access: for each distinct wanted key its start, n_tokens and ids_crc32, null where the key is absent or null.
 
-    A key is routed to its shard by the manifest's key ranges (one small row for each shard) and
-    then found by the shard's index; keys of a shard are looked up together.
+    A key is routed to the first file whose last key isn't smaller (the driver sends the tasks 16 bytes
+    for each file, of some 32 MB) and found by that file's index; keys of a file are looked up together.
+    Of rows that repeat a key the first is found.
     """
     spark = keys.sparkSession
-    wanted = keys.select(keys[f"`{id_col}`"].cast("long").alias("doc_id"))
-    shards = manifest(spark, path).select("file", "first_id", "first_key", "last_key")
-    routed = wanted.join(F.broadcast(shards) if shards.count() < 100_000 else shards, F.col("doc_id").between(F.col("first_key"), F.col("last_key")), "left")
+    wanted = keys.select(keys[f"`{id_col}`"].cast("long").alias("doc_id")).distinct()
+    files = manifest(spark, path).where("last_key is not null").orderBy("shard", "part").select("file", "first_id", "last_key").collect()
+    ends, names = spark.sparkContext.broadcast([f.last_key for f in files]), spark.createDataFrame([(k, f.file, f.first_id) for k, f in enumerate(files)], "at long, file string, first_id long")
+
+    def route(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last = np.array(ends.value, dtype=np.int64)
+        for batch in batches:
+            ids = batch.column(0)
+            at = np.searchsorted(last, ids.fill_null(0).to_numpy())
+            none = ids.is_null().to_numpy(zero_copy_only=False) | (at == len(last))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at, mask=none)], names=["doc_id", "at"])
+
+    routed = wanted.mapInArrow(route, "doc_id long, at long").join(names, "at", "left")
 
     def run(key, group):
         import pyarrow as pa

@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -22,7 +23,12 @@ def test_repeated_keys_are_refused():
 
 def test_absent_keys_are_refused():
     keys = list(range(0, 4000, 2))
-    shard = idfiles.Shard(b"".join(idfiles.shard_bytes(keys, [np.array([k % 50000], "<u4").tobytes() for k in keys], 2)))
+    stream = io.BytesIO()
+    writer = idfiles.ShardWriter(stream, 2)
+    for part in (keys[:700], keys[700:]):
+        writer.add(part, np.ones(len(part), np.int64), np.array(part, "<u4"))
+    writer.close()
+    shard = idfiles.Shard(stream.getvalue())
     assert (shard.find(np.arange(1, 4000, 2)) == -1).all()
     assert shard.find(np.array(keys)).tolist() == list(range(2000))
 
@@ -53,3 +59,20 @@ def test_edges(empty, odd, vocabulary):
     assert len(rows) == odd.count()
     assert sorted(r.start for r in rows) == sorted({r.start for r in rows})  # each record once
     assert {r.n_tokens for r in rows if r.doc_id == 4} == {1}
+
+
+def test_a_hot_key_runs_over_files(spark, vocabulary):
+    """A key, and one row, with most of all rows, null keys, and a text of some MB: files stay small, and every row is stored."""
+    long = "word " * 600_000
+    rows = [(5, f"text {k % 3}") for k in range(900)] + [(None, "x")] * 200 + [(k, f"other {k}") for k in range(10, 60)] + [(7, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    path = shared_dir(spark, "ids")
+    files = idfiles.write(docs, path, vocabulary, partitions=4, file_ids=200).collect()
+    assert max(f.n_docs for f in files) < 200 and sum(f.n_docs for f in files) == len(rows)
+    got = sorted(idfiles.read(spark, path).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k))
+    (hot,) = idfiles.lookup(spark.createDataFrame([(5,)], "doc_id long"), path).collect()
+    assert hot.start == min(r.start for r in got if r.doc_id == 5)
+    (huge,) = [r for r in got if r.doc_id == 7]
+    assert huge.n_tokens > 600_000
