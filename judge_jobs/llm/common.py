@@ -44,13 +44,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a scratch table written by :func:`table` once nothing reads it any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete scratch tables written by :func:`table` once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bounded(stored: DataFrame, most: int) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has at most ``most`` of them, else joined by shuffles."""
+    return F.broadcast(stored) if stored.limit(most + 1).count() <= most else stored
 
 
 def sized_partitions(spark: SparkSession, at_least: int = 1) -> int:
