@@ -11,8 +11,8 @@ MEMO_BYTES = 50_000_000
 CHUNK_BYTES = 16_000_000
 
 
-def chunks(batch, column: int):
-    """Slices of an Arrow batch with at most CHUNK_BYTES of text in a column, or one row."""
+def chunks(batch, column: int, most: int = CHUNK_BYTES):
+    """Slices of an Arrow batch with at most ``most`` bytes in a text column, or one row."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -20,7 +20,7 @@ def chunks(batch, column: int):
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + CHUNK_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
