@@ -14,7 +14,7 @@ tasks in blocks of at most ``BLOCK_ITEMS``, so what is sent has a fixed bound ho
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 from .lines import normalise
 from .substrings import hashes, windows
 
@@ -171,5 +171,5 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str
     """The documents without any such match: the input's rows and columns."""
     found = table(_matches(docs, items, least, text_col=text_col, id_col=id_col, **columns).select("doc_id", "tag").distinct(), "matches")
     tagged = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(docs[f"`{text_col}`"]).alias("t"))
-    kept = tagged.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_anti")
+    kept = tagged.join(bounded(found, 500_000), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_anti")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

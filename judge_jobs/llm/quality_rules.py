@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, table, text_or_empty
+from .common import WS, bounded, table, text_or_empty
 
 #: Words of prior weight in the rates.
 PRIOR_WORDS = 20
@@ -28,6 +28,8 @@ STEPS = 3
 LEAST_GROUP = 200
 #: Up to so many groups the estimates (about 200 bytes each) are broadcast; beyond, they are joined.
 BROADCAST_GROUPS = 10_000
+#: Up to so many rejected rows (16 bytes each) are broadcast to take them out; beyond, they are joined.
+BROADCAST_REJECTED = 500_000
 #: Chi-square quantile (4 degrees of freedom) at 1 - 1e-9.
 CUTOFF = 49.2
 
@@ -187,5 +189,5 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     stats = table(statistics(named).select("doc_id", "mark", "lang", "source", *COUNTS), "statistics")
     rejected = table(verdicts(stats).where(~F.col("kept")).select("doc_id", "mark").distinct(), "rejected")
     marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("d"), mark.alias("m"))
-    kept = marked.join(rejected, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left_anti")
+    kept = marked.join(bounded(rejected, BROADCAST_REJECTED), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left_anti")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_sums, table
+from .common import bit_sums, bounded, drop_table, table
 from .graph import components
 from .substrings import hashes, windows
 
@@ -236,12 +236,13 @@ def _meetings(nodes: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(v[at : at + 4096][rows]), pa.array(w[at : at + 4096][rows])], names=["k", "v", "w"])
 
     filed = named.distinct().mapInArrow(run, "k int, v long, w long")
-    other = filed.select("k", F.col("v").alias("v_b"), F.col("w").alias("w_b"))
+    # both sides renamed alike, so that Spark shuffles them once
+    named_as = lambda x: filed.select(*[F.col(c).alias(f"{c}{x}") for c in ("k", "v", "w")])
     bits = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    first = F.struct("v", "w") < F.struct("v_b", "w_b")
-    met = filed.join(other, "k").where(first & (bits("v", "v_b") <= VIEW_ERRORS) & (bits("w", "w_b") <= REST_ERRORS)).drop("k").distinct()
+    first = F.struct("v_a", "w_a") < F.struct("v_b", "w_b")
+    met = named_as("_a").join(named_as("_b"), F.col("k_a") == F.col("k_b")).where(first & (bits("v_a", "v_b") <= VIEW_ERRORS) & (bits("w_a", "w_b") <= REST_ERRORS)).select("v_a", "w_a", "v_b", "w_b").distinct()
     side = lambda v, w, name: nodes.select(F.col(f"v{k}").alias(v), half.alias(w), F.col("node").alias(name))
-    both = met.join(side("v", "w", "x"), ["v", "w"]).join(side("v_b", "w_b", "y"), ["v_b", "w_b"])
+    both = met.join(side("v_a", "w_a", "x"), ["v_a", "w_a"]).join(side("v_b", "w_b", "y"), ["v_b", "w_b"])
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -255,7 +256,8 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
     at the limit is met with a chance of some 0.8, a closer one more surely (see README).
 
     Columns and values are the input's. Null texts count as empty; texts without words are one group.
-    Of rows with equal id and text one stays. An empty table gives no rows.
+    Of rows with equal id and text one stays, that with the smallest other values. An empty table gives
+    no rows. Texts of any length are compared whole.
     """
     columns, text = [docs[f"`{c}`"] for c in docs.columns], docs[f"`{text_col}`"]
     named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
@@ -282,8 +284,20 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
     alike = pairs.join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     edges = alike.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     reached = table(components(edges).withColumnRenamed("component", "group"), "components")
-    grouped = nodes.join(reached, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("first").alias("first"))
-    first = table(grouped.select("first.*"), "first")
+    # a row goes unless it is the first of its group; a group is that of its node's class, or the class itself
+    grouped = nodes.join(reached, "node", "left").select(*each, F.coalesce("group", "node").alias("group"), "first")
+    groups = grouped.groupBy("group").agg(F.min("first").alias("first"))
+    named_groups = table(grouped.select(*each, "group").join(groups, "group").select(*each, "first"), "first")
+    # narrow rows only: (doc_id, tag) of each text that goes, and how many equal rows each text has that stays
+    narrow = rows.join(named_groups, each).select("doc_id", "tag", (F.struct("doc_id", "tag") == F.col("first")).alias("stays"))
+    seen = narrow.groupBy("doc_id", "tag", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1")
+    seen = table(seen.select(F.col("doc_id").alias("di"), F.col("tag").alias("ti"), "stays"), "gone")
+    drop_table(rows, nodes, wanted, shingled, reached, named_groups, pairs, *met)
     tagged = docs.select(F.struct(*columns).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(text).alias("t"))
-    kept = tagged.join(first, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_semi")
-    return kept.dropDuplicates(["d", "t"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    same = F.col("d").eqNullSafe(F.col("di")) & (F.col("t") == F.col("ti"))
+    found = tagged.join(bounded(seen, BROADCAST_NODES), same, "left")
+    once = found.where("stays is null").select("row")
+    if not seen.where("stays").limit(1).count():
+        return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    repeated = found.where("stays").groupBy("d", "t").agg(F.min("row").alias("row")).select("row")
+    return once.union(repeated).select(*[F.col("row")[c].alias(c) for c in docs.columns])
