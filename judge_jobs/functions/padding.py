@@ -13,6 +13,11 @@ def _pick(values: tuple[str, ...], k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _lowered(text: Column) -> Column:
     return F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
@@ -20,25 +25,31 @@ def _lowered(text: Column) -> Column:
 def with_fillers(summary: Column, insertions: int = 2, seed: Column | None = None) -> Column:
     """Fillers before evenly spaced sentences, the first lowered; blank summaries stay as they are."""
     seed = F.lit(0) if seed is None else seed
-    sentences = F.split(strip(summary), _GAP)
-    n = F.least(F.lit(insertions), F.size(sentences))
-    step = F.greatest(F.lit(1), F.floor(F.size(sentences) / F.greatest(n, F.lit(1))).cast("int"))
 
-    def padded(sentence: Column, at: Column) -> Column:
-        nth = F.floor(at / step).cast("int")
-        chosen = (at % step == 0) & (nth < n) & (sentence != "")
-        return F.when(chosen, F.concat(_pick(OPENING_FILLERS, seed + nth), F.lit(" "), _lowered(sentence))).otherwise(sentence)
+    def joined(sentences: Column) -> Column:
+        n = F.least(F.lit(insertions), F.size(sentences))
+        step = F.greatest(F.lit(1), F.floor(F.size(sentences) / F.greatest(n, F.lit(1))).cast("int"))
+
+        def padded(sentence: Column, at: Column) -> Column:
+            nth = F.floor(at / step).cast("int")
+            chosen = (at % step == 0) & (nth < n) & (sentence != "")
+            return F.when(chosen, F.concat(_pick(OPENING_FILLERS, seed + nth), F.lit(" "), _lowered(sentence))).otherwise(sentence)
 
-    return F.when(strip(summary) == "", summary).otherwise(F.array_join(F.transform(sentences, padded), " "))
+        return F.array_join(F.transform(sentences, padded), " ")
+
+    return _bound(strip(summary), lambda text: F.when(text == "", summary).otherwise(_bound(F.split(text, _GAP), joined)))
 
 
 def with_restatement(summary: Column, seed: Column | None = None) -> Column:
     """The first sentence said again, and a closing hedge; blank summaries stay as they are."""
     seed = F.lit(0) if seed is None else seed
-    text = strip(summary)
-    first = F.regexp_replace(F.element_at(F.split(text, _GAP), 1), r"[.!?]+\z", "")
-    return F.when((text == "") | (first == ""), summary).otherwise(F.concat(text, F.lit(f" {RESTATEMENT_LEAD} "), _lowered(first), F.lit(". "), _pick(CLOSING_HEDGES, seed)))
+
+    def restated(text: Column) -> Column:
+        first = F.regexp_replace(F.element_at(F.split(text, _GAP, 2), 1), r"[.!?]+\z", "")
+        return _bound(first, lambda x: F.when((text == "") | (x == ""), summary).otherwise(F.concat(text, F.lit(f" {RESTATEMENT_LEAD} "), _lowered(x), F.lit(". "), _pick(CLOSING_HEDGES, seed))))
+
+    return _bound(strip(summary), restated)
 
 
 def verbose(summary: Column, seed: Column | None = None) -> Column:
-    return with_restatement(with_fillers(summary, 2, seed), seed)
+    return _bound(with_fillers(summary, 2, seed), lambda x: with_restatement(x, seed))

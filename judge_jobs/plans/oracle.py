@@ -211,7 +211,7 @@ put("k1_identities", "SELECT dimension, ord, winner, count(*) AS n FROM won GROU
 put(
     "k2_order_jobs",
     f"""SELECT doc_id, dimension, ord, md5({_prompt(PAIRWISE_PROMPT, article='summary', summary_a='a', summary_b='b')}) AS prompt_md5 FROM (SELECT doc_id, dimension, ord, summary, CASE WHEN ord = 'original' THEN s1 ELSE s2 END AS a, CASE WHEN ord = 'original' THEN s2 ELSE s1 END AS b
-    FROM (SELECT *, substr(summary, 1, 100) AS s1, substr(summary, 101, 100) AS s2 FROM summaries) CROSS JOIN {_DIMS} CROSS JOIN (VALUES ('original'), ('swapped')) AS o(ord))""",
+    FROM (SELECT *, substr(summary, 1, length(summary) // 2) AS s1, substr(summary, length(summary) // 2 + 1) AS s2 FROM summaries) CROSS JOIN {_DIMS} CROSS JOIN (VALUES ('original'), ('swapped')) AS o(ord))""",
 )
 put("k3_k5_debiased", "SELECT doc_id, dimension, winner, agreement AND ord IS NULL AS agreement, n_calls, note FROM debiased")
 put("k3_without_tie_break", "SELECT doc_id, dimension, CASE WHEN w1 IS NULL OR w2 IS NULL THEN NULL WHEN w1 = w2 THEN w1 ELSE 'tie' END AS winner, coalesce(w1 = w2, false) AS agreement, CAST(2 AS BIGINT) AS n_calls FROM both_")

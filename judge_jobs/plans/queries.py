@@ -477,7 +477,8 @@ def k1_identities(spark, d):
 @query
 def k2_order_jobs(spark, d):
     """Prompts of both orders for each document's two halves."""
-    pairs = view(spark, d, "summaries").select("doc_id", F.col("summary").alias("article"), F.substring("summary", 1, 100).alias("summary_1"), F.substring("summary", 101, 100).alias("summary_2"))
+    half = F.floor(F.length("summary") / 2).cast("int")
+    pairs = view(spark, d, "summaries").select("doc_id", F.col("summary").alias("article"), F.substr("summary", F.lit(1), half).alias("summary_1"), F.substr("summary", half + 1).alias("summary_2"))
     return pairwise.order_jobs(pairs).select("doc_id", "dimension", "ord", F.md5("prompt").alias("prompt_md5"))
 
 
