@@ -24,7 +24,7 @@ PRIOR_WORDS = 20
 #: Share of a group that the estimate covers.
 SHARE = 0.75
 STEPS = 3
-#: Groups with fewer documents are judged with the others of their language, or all together.
+#: Groups with fewer documents are judged with the other small ones of their language, or with all that is left; the floors hold where that is little, too.
 LEAST_GROUP = 200
 #: Up to so many groups the estimates (about 200 bytes each) are broadcast; beyond, they are joined.
 BROADCAST_GROUPS = 10_000
@@ -127,7 +127,7 @@ def _with(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
 
 
 def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Add base_failed, distance (null if base_failed or no group is large enough) and kept.
+    """Add base_failed, distance (null if base_failed) and kept.
 
     ``stats`` should be a stored table: each step reads its few numeric columns once. A null language
     or source is a group of its own. Groups are those of documents that pass the base rules.
@@ -146,7 +146,7 @@ def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     hint = F.broadcast if names.count() <= BROADCAST_GROUPS else lambda x: x
     rows = rows.join(hint(names), "_own", "left")
     passed = rows.where(~F.col("base_failed"))
-    sizes = passed.groupBy("_group").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY round(word_chars / n_words, 2))").alias("word_size"), F.count("*").alias("_n"))
+    sizes = passed.groupBy("_group").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY round(word_chars / n_words, 2))").alias("word_size"))
     featured = rows.join(hint(sizes), "_group", "left").withColumns({x: F.expr(f"CASE WHEN base_failed THEN NULL ELSE round({e}, 4) END") for x, e in FEATURES.items()})
     featured = featured.drop("word_size")
     passed = featured.where(~F.col("base_failed")).select("_group", *AXES)
@@ -163,7 +163,7 @@ def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
         spread = inner.groupBy("_group").agg(*[F.expr(e).alias(k) for k, e in moments().items()])
         estimate = table(_with(spread, cholesky()).select("_group", *[f"m{a}" for a in range(len(AXES))], *[f"l{a}{b}" for a in range(len(AXES)) for b in range(a + 1)]), "estimate")
     judged = _with(featured.join(hint(estimate), "_group", "left"), whitened())
-    distance = F.when(~F.col("base_failed") & (F.col("_n") >= LEAST_GROUP), F.expr(DISTANCE))
+    distance = F.when(~F.col("base_failed"), F.expr(DISTANCE))
     return judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).select(*stats.columns, "base_failed", "distance", "kept")
 
 

@@ -127,7 +127,7 @@ def _outliers() -> str:
             f"e{k + 1} AS (SELECT g, {', '.join(m + lower)} FROM {nest('(SELECT g, ' + ', '.join(f'{e} AS {c}' for c, e in moments().items()) + f' FROM i{k} GROUP BY g)', cholesky())})",
         ]
     parts.append(f"far AS (SELECT r, {DISTANCE} AS d, n FROM {nest(f'(SELECT * FROM x JOIN e{STEPS} USING (g))', whitened())})")
-    return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d > {CUTOFF} AND n >= {LEAST_GROUP}, false) AS kept FROM judged LEFT JOIN far USING (r)"
+    return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d > {CUTOFF}, false) AS kept FROM judged LEFT JOIN far USING (r)"
 
 
 SQL: dict[str, str] = {"op2_difference_cover": _SUBSTRINGS, "op4_delta_rollup": _ROLLUP, "op6_ensemble_containment": _CONTAINMENT, "op9_mcd_outliers": _outliers()}

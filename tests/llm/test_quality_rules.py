@@ -89,6 +89,6 @@ def test_edges(empty, odd):
     rows = qr.judge(odd).collect()
     assert len(rows) == odd.count()
     assert all(r.base_failed and not r.kept for r in rows if r.doc_id in (3, 4))
-    assert all(r.kept and r.distance is None for r in rows if r.doc_id == 2)  # too few to judge by
+    assert all(r.kept and r.distance < qr.CUTOFF for r in rows if r.doc_id == 2)  # the floors hold for a few rows, too
     assert qr.accepted(odd).columns == odd.columns
     assert qr.accepted(empty).count() == 0
