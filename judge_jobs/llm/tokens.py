@@ -6,9 +6,9 @@ import os
 _WHITE = "[\t-\r\x1c- \x85\xa0  -     　]"
 _CROSSING = f"{_WHITE} {_WHITE}"
 #: Bytes of units and ids remembered in one Python worker before it starts afresh (bounds memory, not results).
-MEMO_BYTES = 50_000_000
+MEMO_BYTES = 40_000_000
 #: Bytes of texts encoded at once (or one text, if that is longer).
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 
 
 def chunks(batch, column: int, most: int = CHUNK_BYTES):
