@@ -76,3 +76,18 @@ POSITION_BIAS_THRESHOLD = 0.2
 MIN_PEARSON_R, MAX_P_VALUE = 0.3, 0.05
 THROUGHPUT_BUCKETS = 20
 LATENCY_PERCENTILES = (50, 90, 95, 99)
+
+#: Notes and reasons of results.
+CONSISTENT_NOTE = "consistent: preferred '{first}' regardless of position"
+INCONSISTENT_NOTE = "POSITION BIAS DETECTED: preferred '{first}' when shown first, '{second}' when shown second"
+UNPARSED_NOTE = "one or both verdicts failed to parse; cannot assess consistency"
+BIASED_REASON = "position-inconsistency {rate} exceeds threshold {threshold}; pairwise verdicts on this dimension are not reliable without order-debiasing (e.g. majority vote across both orders)"
+UNBIASED_REASON = "position-inconsistency {rate} is within threshold {threshold}; pairwise verdicts are usable as-is"
+AGREED_NOTE = "orders agreed on '{winner}'"
+DISAGREED_NOTE = "orders disagreed; no tie-break"
+INCONCLUSIVE_NOTE = "one or both verdicts failed to parse; inconclusive"
+TIE_BREAK_NOTE = "orders disagreed ({first} vs {second}); random tie-break ({order} order): '{winner}'{unanimous}"
+UNANIMOUS = " (unanimous)"
+INSIGNIFICANT_REASON = "not statistically significant (p={p} >= {limit})"
+WEAK_REASON = "correlation too weak (|r|={r} < {limit})"
+TRUSTED_REASON = "significant (p={p}) and sufficiently strong (r={r})"

@@ -1,12 +1,12 @@
 """Judge prompts as column expressions. Text goes in by concatenation, so its signs never act as formats."""
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import DEFINITIONS, DIMENSIONS, PAIRWISE_PROMPT, POINTWISE_PROMPT, REASONED_PROMPT
+from .text import render
 
 
 def known_dimension(dimension: Column) -> Column:
@@ -19,18 +19,13 @@ def definition(dimension: Column) -> Column:
     return reduce(lambda when, d: when.when(dimension == d, F.lit(DEFINITIONS[d])), DIMENSIONS[1:], F.when(dimension == DIMENSIONS[0], F.lit(DEFINITIONS[DIMENSIONS[0]])))
 
 
-def _render(template: str, **values: Column) -> Column:
-    parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(*[values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts) if p])
-
-
 def pointwise(article: Column, summary: Column, dimension: Column) -> Column:
-    return _render(POINTWISE_PROMPT, dimension=known_dimension(dimension), definition=definition(dimension), article=article, summary=summary)
+    return render(POINTWISE_PROMPT, dimension=known_dimension(dimension), definition=definition(dimension), article=article, summary=summary)
 
 
 def pairwise(article: Column, summary_a: Column, summary_b: Column, dimension: Column) -> Column:
-    return _render(PAIRWISE_PROMPT, dimension=known_dimension(dimension), definition=definition(dimension), article=article, summary_a=summary_a, summary_b=summary_b)
+    return render(PAIRWISE_PROMPT, dimension=known_dimension(dimension), definition=definition(dimension), article=article, summary_a=summary_a, summary_b=summary_b)
 
 
 def reasoned(article: Column, summary_a: Column, summary_b: Column, dimension: Column) -> Column:
-    return _render(REASONED_PROMPT, dimension=known_dimension(dimension), definition=definition(dimension), article=article, summary_a=summary_a, summary_b=summary_b)
+    return render(REASONED_PROMPT, dimension=known_dimension(dimension), definition=definition(dimension), article=article, summary_a=summary_a, summary_b=summary_b)

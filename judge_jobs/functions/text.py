@@ -1,5 +1,7 @@
 """Text columns: Unicode-aware trimming and number formats that round half to even."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,9 @@ def percent(x: Column, digits: int = 1) -> Column:
 def listed(items: Column) -> Column:
     """Strings as a bracketed list in quotes."""
     return F.concat(F.lit("['"), F.array_join(items, "', '"), F.lit("']"))
+
+
+def render(template: str, **values: Column) -> Column:
+    """A template with the columns in the places of their names."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts) if p])

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..fixed import MAX_P_VALUE, MIN_PEARSON_R
+from ..fixed import INSIGNIFICANT_REASON, MAX_P_VALUE, MIN_PEARSON_R, TRUSTED_REASON, WEAK_REASON
 from ..functions.significance import correlation_p
-from ..functions.text import fixed
+from ..functions.text import fixed, render
 from .reshape import complete
 
 
@@ -65,9 +65,9 @@ def policy(calibration: DataFrame, min_pearson_r: float = MIN_PEARSON_R, max_p_v
     significant, strong = real(p) & (p < max_p_value), real(r) & (F.abs(r) >= min_pearson_r)
     text = lambda x, n: F.coalesce(F.when(real(x), fixed(x, n)), F.lit("nan"))
     reason = (
-        F.when(~significant, F.concat(F.lit("not statistically significant (p="), text(p, 4), F.lit(f" >= {max_p_value})")))
-        .when(~strong, F.concat(F.lit("correlation too weak (|r|="), text(F.abs(r), 3), F.lit(f" < {min_pearson_r})")))
-        .otherwise(F.concat(F.lit("significant (p="), text(p, 4), F.lit(") and sufficiently strong (r="), text(r, 3), F.lit(")")))
+        F.when(~significant, render(INSIGNIFICANT_REASON, p=text(p, 4), limit=F.lit(str(max_p_value))))
+        .when(~strong, render(WEAK_REASON, r=text(F.abs(r), 3), limit=F.lit(str(min_pearson_r))))
+        .otherwise(render(TRUSTED_REASON, p=text(p, 4), r=text(r, 3)))
     )
     return calibration.select("dimension", r, p, "n", (significant & strong).alias("trusted"), reason.alias("reason"))
 

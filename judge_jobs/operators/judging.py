@@ -3,15 +3,20 @@
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.parsing import PARSERS
+from .calibration import escalate_calls
 from .telemetry import KEYS
 
 CALLED = "item_id string, dimension string, judge_type string, backend string, model string, started_at double, latency_ms double, retry_count int, error string, raw_response string"
 
+#: What the log of a durable run has beside the event.
+ANSWER = T.StructType([T.StructField("raw_response", T.StringType()), T.StructField("score", T.IntegerType()), T.StructField("winner", T.StringType()), T.StructField("parse_note", T.StringType())])
+
 
 def call(jobs: DataFrame, responder: Callable[[str, str], str], model: str, backend: str = "user", max_retries: int = 2, threads: int = 8, partitions: int | None = None, wait_s: float = 0.05) -> DataFrame:
     """A row for each job with its raw answer, or its last error once retries are used up.
@@ -21,28 +26,30 @@ def call(jobs: DataFrame, responder: Callable[[str, str], str], model: str, back
     """
     spread = jobs.repartition(partitions) if partitions else jobs
 
+    pauses = [wait_s * k for k in range(max_retries + 1)]
+
+    def answer(job):
+        """One output row: tries end with the first answer, or the last pause."""
+        start, error, text = time.time(), None, None
+        for tries, pause in enumerate(pauses):
+            time.sleep(pause)
+            try:
+                text, error = responder(job.prompt, model), None
+            except Exception as failure:
+                error = str(failure)
+            if error is None:
+                break
+        return job.item_id, job.dimension, job.judge_type, backend, model, start, 1000 * (time.time() - start), tries, error, text
+
     def run(batches):
         from concurrent.futures import ThreadPoolExecutor
 
         import pandas as pd
 
-        def one(job):
-            began, retries, answer, error = time.time(), 0, None, None
-            while True:
-                try:
-                    answer, error = responder(job.prompt, model), None
-                    break
-                except Exception as e:  # noqa: BLE001  any failure of a judge may pass
-                    error = str(e)
-                    if retries >= max_retries:
-                        break
-                    retries += 1
-                    time.sleep(wait_s * retries)
-            return (job.item_id, job.dimension, job.judge_type, backend, model, began, (time.time() - began) * 1000, retries, error, answer)
-
+        columns = [field.split()[0] for field in CALLED.split(", ")]
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                yield pd.DataFrame(list(pool.map(one, batch.itertuples(index=False))), columns=[f.split()[0] for f in CALLED.split(", ")])
+                yield pd.DataFrame(pool.map(answer, batch.itertuples(index=False)), columns=columns)
 
     return spread.select(schemas.JOBS.fieldNames()).mapInPandas(run, CALLED)
 
@@ -57,9 +64,41 @@ def parsed(called: DataFrame) -> DataFrame:
     )
 
 
-def events(judged: DataFrame) -> DataFrame:
-    """The log rows of judged calls (with escalated set)."""
-    return judged.withColumn("extra", F.create_map().cast("map<string,string>")).select(schemas.TELEMETRY.fieldNames())
+def events(judged: DataFrame, *more: str) -> DataFrame:
+    """The log rows of judged calls (with escalated set), and the columns ``more``."""
+    return judged.withColumn("extra", F.create_map().cast("map<string,string>")).select(*schemas.TELEMETRY.fieldNames(), *more)
 
 
-__all__ = ["KEYS", "call", "events", "parsed"]
+def judge_durably(jobs: DataFrame, responder: Callable[[str, str], str], model: str, path: str, policy: DataFrame | None = None, chunks: int = 64, **options) -> DataFrame:
+    """Call, parse, escalate and log all jobs, a chunk of keys at a time, so that a lost run loses one chunk at most.
+
+    ``path`` keeps the jobs, dealt by a hash of their key into ``chunks`` folders, and the log of answered
+    calls (events with raw_response, score, winner and parse_note), a folder for each chunk. Another call with the
+    same path goes on: it takes the jobs kept there and asks only chunks whose log is not whole (a call that
+    failed for good counts as finished); later jobs need another path, and :func:`pending` against this log. A key
+    that occurs twice is asked once. Returns the log. ``options`` go to :func:`call`.
+    """
+    spark, log = jobs.sparkSession, f"{path}/log"
+    dealt = T.StructType([*schemas.JOBS.fields, T.StructField("chunk", T.LongType())])
+    kept = _stored(spark, f"{path}/jobs", dealt)
+    if kept is None:
+        chunk = F.pmod(F.xxhash64(*KEYS), F.lit(chunks))
+        jobs.select(schemas.JOBS.fieldNames()).dropDuplicates(list(KEYS)).withColumn("chunk", chunk).write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/jobs")
+        kept = _stored(spark, f"{path}/jobs", dealt)
+    fields = T.StructType([*schemas.TELEMETRY.fields, *ANSWER.fields])
+    for k in range(chunks):
+        done = _stored(spark, f"{log}/chunk={k}", fields)
+        if done is None:  # the folder's success mark is missing: what it holds is part of a chunk
+            judged = escalate_calls(parsed(call(kept.where(F.col("chunk") == k), responder, model, **options)), policy)
+            events(judged, *ANSWER.fieldNames()).write.mode("overwrite").parquet(f"{log}/chunk={k}")
+    return spark.read.schema(T.StructType([*fields.fields, T.StructField("chunk", T.LongType())])).parquet(log).drop("chunk")
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """A table whose write was committed, else null."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    whole = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    return spark.read.schema(schema).parquet(path) if whole else None
+
+
+__all__ = ["KEYS", "call", "events", "judge_durably", "parsed"]

@@ -3,9 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..fixed import DIMENSIONS, POSITION_BIAS_THRESHOLD
 from ..functions import parsing, prompts
-from ..functions.text import percent
+from ..functions.text import percent, render
 
 BUILDERS = {"pairwise": prompts.pairwise, "pairwise_cot": prompts.reasoned}
 
@@ -35,9 +36,9 @@ def both_orders(judged: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataF
     both = judged.groupBy(*keys, "dimension").agg(pick("original").alias("winner_original_order"), pick("swapped").alias("winner_swapped_order"))
     a, b = F.col("winner_original_order"), F.col("winner_swapped_order")
     note = (
-        F.when(a.isNull() | b.isNull(), "one or both verdicts failed to parse; cannot assess consistency")
-        .when(a == b, F.concat(F.lit("consistent: preferred '"), a, F.lit("' regardless of position")))
-        .otherwise(F.concat(F.lit("POSITION BIAS DETECTED: preferred '"), a, F.lit("' when shown first, '"), b, F.lit("' when shown second")))
+        F.when(a.isNull() | b.isNull(), fixed.UNPARSED_NOTE)
+        .when(a == b, render(fixed.CONSISTENT_NOTE, first=a))
+        .otherwise(render(fixed.INCONSISTENT_NOTE, first=a, second=b))
     )
     return both.withColumns({"consistent": a == b, "note": note, "flip_slot": flip_slot(a, b)})
 
@@ -51,9 +52,8 @@ def bias_summary(results: DataFrame, threshold: float = POSITION_BIAS_THRESHOLD)
     """Inconsistency by dimension; pairs without an assessment count in n_comparisons and n_unparsed only."""
     counted = results.where(F.col("dimension").isNotNull()).groupBy("dimension").agg(F.count("*").alias("n_comparisons"), F.count_if(~F.col("consistent")).alias("n_inconsistent"), F.count_if(F.col("consistent").isNull()).alias("n_unparsed"))
     rated = counted.withColumn("inconsistency_rate", F.col("n_inconsistent") / F.col("n_comparisons")).withColumn("escalate", F.col("inconsistency_rate") > threshold)
-    begin = F.concat(F.lit("position-inconsistency "), percent(F.col("inconsistency_rate")))
-    limit = f"threshold {threshold:.0%}; pairwise verdicts "
-    reason = F.when(F.col("escalate"), F.concat(begin, F.lit(f" exceeds {limit}on this dimension are not reliable without order-debiasing (e.g. majority vote across both orders)"))).otherwise(F.concat(begin, F.lit(f" is within {limit}are usable as-is")))
+    values = {"rate": percent(F.col("inconsistency_rate")), "threshold": F.lit(f"{threshold:.0%}")}
+    reason = F.when(F.col("escalate"), render(fixed.BIASED_REASON, **values)).otherwise(render(fixed.UNBIASED_REASON, **values))
     return rated.withColumn("reason", reason).orderBy("dimension")
 
 
@@ -117,10 +117,10 @@ def debias(both: DataFrame, third: DataFrame | None, keys: tuple[str, ...] = ("d
     three, unanimous = combine_three(a, b, F.col("winner3"))
     shown = F.when(F.col("ord3") == "original", "orig").otherwise("swapped")
     note = (
-        F.when(called, F.concat(F.lit("orders disagreed ("), a, F.lit(" vs "), b, F.lit("); random tie-break ("), shown, F.lit(" order): '"), three, F.lit("'"), F.when(unanimous, " (unanimous)").otherwise("")))
-        .when(agreed, F.concat(F.lit("orders agreed on '"), two, F.lit("'")))
-        .when(two.isNull(), "one or both verdicts failed to parse; inconclusive")
-        .otherwise("orders disagreed; no tie-break")
+        F.when(called, render(fixed.TIE_BREAK_NOTE, first=a, second=b, order=shown, winner=three, unanimous=F.when(unanimous, fixed.UNANIMOUS).otherwise("")))
+        .when(agreed, render(fixed.AGREED_NOTE, winner=two))
+        .when(two.isNull(), fixed.INCONCLUSIVE_NOTE)
+        .otherwise(fixed.DISAGREED_NOTE)
     )
     return rows.select(*keys, "dimension", F.when(called, three).otherwise(two).alias("winner"), F.when(called, unanimous).otherwise(agreed).alias("agreement"), F.when(called, 3).otherwise(2).alias("n_calls"), note.alias("note"))
 

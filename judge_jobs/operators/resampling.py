@@ -1,9 +1,11 @@
 """Bootstrap intervals, sign-flip tests and small-sample studies for pairs of models.
 
-Two routes. Groups that fit a task go through numpy, a group for each task, in chunks of bounded size, with
-the exact multinomial draw. Large ones use hashed weights: Poisson counts or signs by (row, resample) give
-each partition one partial sum for each resample, so what moves is resamples, not rows; draws don't depend
-on partitions or retries.
+Groups that fit a task go through numpy, a group for each task, in chunks of bounded size, with the exact
+multinomial draw (:func:`bootstrap`, :func:`permutation`). Groups of any size use hashed weights: Poisson counts
+or signs by (key, resample) give each partition one partial sum for each resample, so what moves is
+resamples, not rows; draws don't depend on partitions or retries. :func:`bootstrap_by_key` and
+:func:`permutation_by_key` draw them in numpy, many thousands at a time; the ``_large`` forms use md5 in built-in
+functions, so that SQL engines can draw the same.
 """
 
 import zlib
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 GROUP = ("model_pair", "metric")
 #: Cells (rows x resamples) that a task draws at once.
 CELLS = 4_000_000
+#: Groups whose sums a task holds at once.
+GROUPS = 64
 #: Cumulative Poisson(1) probabilities for counts 0 to 7.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
 
@@ -157,43 +161,163 @@ def permutation_large(pairs: DataFrame, key: str, n_permutations: int, seed: int
     return both.groupBy(*by).agg(F.first("observed_statistic").alias("observed_statistic"), F.avg((F.abs("stat") >= F.abs("observed_statistic") - slack).cast("double")).alias("p_value"), F.count("*").alias("n_permutations"), F.stddev_pop("stat").alias("null_distribution_std"))
 
 
-def sensitivity(pairs: DataFrame, sizes: list[int], n_trials: int = 200, n_resamples: int = 2000, n_permutations: int = 2000, ci_level: float = 0.95, seed: int = 42, by: tuple[str, ...] = GROUP, key: str = "doc_id") -> DataFrame:
-    """Intervals and tests on random subsamples: a row for each group, size and trial.
+def _mixed(keys, draws):
+    """64-bit hashes of all (key, draw): a row for each key."""
+    import numpy as np
+
+    x = keys[:, None] + draws[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _seed_key(seed: int, *columns: str) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
 
-    Trials are spread over tasks by their own key; a task gets its group's scores once. A size over a
-    group's rows fails the job.
+
+def draw_sums(pairs: DataFrame, key: str, draws: int, kind: str, seed: int, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """by, draw, total (of weight x (score_a - score_b)) and weight: partial sums of each partition, added up.
+
+    ``kind``: ``poisson`` counts, or ``sign`` for +1 and -1. Rows with one key share their draws.
     """
-    spark = pairs.sparkSession
-    scores = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key, "score_a", "score_b"))).alias("s")).select(*by, F.col("s.score_a").alias("a"), F.col("s.score_b").alias("b"))
-    trials = spark.createDataFrame([(s,) for s in sizes], "sample_size int").crossJoin(spark.range(n_trials).select(F.col("id").cast("int").alias("trial")))
-    tasks = scores.join(F.broadcast(trials)).repartition(*by, "sample_size", "trial")
-    names = [*by, "sample_size", "trial", "point_estimate", "ci_lower", "ci_upper", "ci_width", "contains_full_sample_estimate", "p_value", "significant_at_05"]
-    count = len(by)
+    names = [*by, "draw", "total", "weight"]
 
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+
+        bits = 20
+        table = np.searchsorted(np.array(POISSON), (np.arange(1 << bits) + 0.5) / (1 << bits), side="right").astype(np.float64)
+        number = np.arange(draws, dtype=np.uint64)
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows():
+            for group, total in sums.items():
+                yield pa.RecordBatch.from_arrays([*[pa.array([g] * draws, pa.string()) for g in group], pa.array(np.arange(draws, dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=names)
 
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False, name=None):
-                group, (a, b, size, trial) = row[:count], row[count:]
-                a, b = np.asarray(a, float), np.asarray(b, float)
-                if size > len(a):
-                    raise ValueError(f"sample_size {size} exceeds full dataset size {len(a)}")
-                rng = _seeded(seed, *group, size, trial)
-                idx = rng.choice(len(a), size=size, replace=False)
-                x, y = a[idx], b[idx]
-                stats = _bootstrap(x, y, n_resamples, "mean_diff", rng)
-                tail = 50 * (1 - ci_level)
-                low, high = float(np.percentile(stats, tail)), float(np.percentile(stats, 100 - tail))
-                point, full = float(x.mean() - y.mean()), float(a.mean() - b.mean())
-                p = _p_value(_flips(x - y, n_permutations, "mean_diff", rng), float((x - y).mean()), "two-sided")
-                rows.append([*group, size, trial, point, low, high, high - low, low <= full <= high, p, p < 0.05])
-            yield pd.DataFrame(rows, columns=names)
-
-    schema = ", ".join(f"{c} string" for c in by) + ", sample_size int, trial int, point_estimate double, ci_lower double, ci_upper double, ci_width double, contains_full_sample_estimate boolean, p_value double, significant_at_05 boolean"
-    return tasks.select(*[F.col(c).cast("string").alias(c) for c in by], "a", "b", "sample_size", "trial").mapInPandas(run, schema)
+            frame = batch.to_pandas()
+            for group, part in frame.groupby(list(by), dropna=False, sort=False):
+                group = tuple(None if g != g else g for g in group)
+                if group not in sums and len(sums) >= GROUPS:
+                    yield from rows()
+                    sums.clear()
+                total = sums.setdefault(group, np.zeros((draws, 2)))
+                keys, values = part["_key"].to_numpy().view(np.uint64), np.stack([part["_d"].to_numpy(float), np.ones(len(part))], axis=1)
+                step = max(1, CELLS // len(keys))
+                for a in range(0, draws, step):
+                    if kind == "poisson":
+                        total[a : a + step] += table[_mixed(keys, number[a : a + step]) >> np.uint64(64 - bits)].T @ values
+                    else:
+                        sign = 1.0 - 2.0 * (_mixed(keys, number[a : a + step]) >> np.uint64(63)).astype(float)
+                        total[a : a + step, 0] += sign.T @ values[:, 0]
+                        total[a : a + step, 1] += len(keys)
+        yield from rows()
+
+    keyed = pairs.select(*[F.col(c).cast("string").alias(c) for c in by], _seed_key(seed, key).alias("_key"), (F.col("score_a") - F.col("score_b")).cast("double").alias("_d"))
+    parts = keyed.mapInArrow(run, ", ".join(f"{c} string" for c in by) + ", draw int, total double, weight double")
+    return parts.groupBy(*by, "draw").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+
+
+def bootstrap_by_key(pairs: DataFrame, key: str, n_resamples: int = 10_000, ci_level: float = 0.95, cluster: bool = False, seed: int = 42, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """As :func:`bootstrap` of means, for groups of any size. ``key`` names a row, or (``cluster``) what is drawn whole.
+
+    Resamples whose weights are all zero (tiny groups) have no mean and are left out of n_resamples.
+    """
+    tail = (1 - ci_level) / 2
+    drawn = draw_sums(pairs, key, n_resamples, "poisson", seed, by).where("weight > 0").withColumn("stat", F.col("total") / F.col("weight"))
+    bounds = drawn.groupBy(*by).agg(F.percentile("stat", [tail, 1 - tail]).alias("ci"), F.count("*").cast("int").alias("n_resamples"))
+    rows = pairs.withColumns({c: F.col(c).cast("string") for c in by})
+    units = F.count_distinct(key) if cluster else F.count("*")
+    point = rows.groupBy(*by).agg(F.avg(F.col("score_a") - F.col("score_b")).alias("point_estimate"), units.alias("n_units_resampled"))
+    return point.join(bounds, list(by)).select(*by, "point_estimate", F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper"), "n_resamples", F.lit(key if cluster else None).cast("string").alias("cluster_by"), "n_units_resampled")
+
+
+def permutation_by_key(pairs: DataFrame, key: str, n_permutations: int = 10_000, alternative: str = "two-sided", seed: int = 42, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """As :func:`permutation` of means, for groups of any size, with one sign for each key."""
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"unsupported alternative: {alternative}")
+    null = draw_sums(pairs, key, n_permutations, "sign", seed, by).select(*by, (F.col("total") / F.col("weight")).alias("stat"))
+    observed = pairs.groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg(F.avg(F.col("score_a") - F.col("score_b")).alias("observed_statistic"))
+    seen, slack = F.col("observed_statistic"), 1e-9 * F.greatest(F.lit(1.0), F.abs("observed_statistic"))
+    extreme = {"two-sided": F.abs("stat") >= F.abs(seen) - slack, "greater": F.col("stat") >= seen - slack, "less": F.col("stat") <= seen + slack}[alternative]
+    return null.join(observed, list(by)).groupBy(*by, "observed_statistic").agg(F.avg(extreme.cast("double")).alias("p_value"), F.count("*").cast("int").alias("n_permutations"), F.stddev_pop("stat").alias("null_distribution_std"))
+
+
+def subsamples(pairs: DataFrame, sizes: list[int], n_trials: int, key: str, seed: int = 42, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """by, sample_size, trial, h, score_a, score_b: for each trial, the rows of each partition with the smallest hashes.
+
+    The ``sample_size`` smallest of a trial over all partitions are a sample of the group without replacement.
+    """
+    names = [*by, "sample_size", "trial", "h", "score_a", "score_b"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        least: dict[tuple, tuple] = {}
+
+        def rows(group, size):
+            h, a, b = least.pop((group, size))
+            k = len(h)
+            arrays = [*[pa.array([g] * (k * n_trials), pa.string()) for g in group], pa.array(np.full(k * n_trials, size, np.int32)), pa.array(np.tile(np.arange(n_trials, dtype=np.int32), k)), pa.array((h >> np.uint64(1)).astype(np.int64).ravel()), pa.array(a.ravel()), pa.array(b.ravel())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            for group, part in batch.to_pandas().groupby(list(by), dropna=False, sort=False):
+                group = tuple(None if g != g else g for g in group)
+                keys, x, y = part["_key"].to_numpy().view(np.uint64), part["score_a"].to_numpy(float), part["score_b"].to_numpy(float)
+                step = max(1, CELLS // n_trials)
+                for n, size in enumerate(sizes):
+                    if (group, size) not in least and len(least) >= GROUPS:
+                        yield rows(*next(iter(least)))
+                    number = np.arange(n * n_trials, (n + 1) * n_trials, dtype=np.uint64)
+                    for c in range(0, len(keys), step):
+                        h = _mixed(keys[c : c + step], number)
+                        a, b = (np.broadcast_to(v[c : c + step, None], h.shape) for v in (x, y))
+                        if (group, size) in least:
+                            h, a, b = (np.concatenate(z) for z in zip(least[group, size], (h, a, b)))
+                        if len(h) > size:
+                            at = np.argpartition(h, size - 1, axis=0)[:size]
+                            h, a, b = (np.take_along_axis(z, at, axis=0) for z in (h, a, b))
+                        least[group, size] = h, a, b
+        for group, size in list(least):
+            yield rows(group, size)
+
+    keyed = pairs.select(*[F.col(c).cast("string").alias(c) for c in by], _seed_key(seed, key, "score_a", "score_b").alias("_key"), F.col("score_a").cast("double").alias("score_a"), F.col("score_b").cast("double").alias("score_b"))
+    return keyed.mapInArrow(run, ", ".join(f"{c} string" for c in by) + ", sample_size int, trial int, h long, score_a double, score_b double")
+
+
+def sensitivity(pairs: DataFrame, sizes: list[int], n_trials: int = 500, n_resamples: int = 2000, n_permutations: int = 2000, ci_level: float = 0.95, seed: int = 42, by: tuple[str, ...] = GROUP, key: str = "doc_id") -> DataFrame:
+    """Intervals and tests on random subsamples: a row for each group, size and trial.
+
+    A task gets one trial's sample, never a group's rows. A size over a group's rows fails the job.
+    """
+    names = [*by, "sample_size", "trial", "point_estimate", "ci_lower", "ci_upper", "p_value"]
+
+    def run(at, rows):
+        import numpy as np
+        import pandas as pd
+
+        size = at[-2]
+        if size > len(rows):
+            raise ValueError(f"sample_size {size} exceeds full dataset size {len(rows)}")
+        rows = rows.sort_values(["h", "score_a", "score_b"]).head(size)
+        x, y = rows["score_a"].to_numpy(), rows["score_b"].to_numpy()
+        rng = _seeded(seed, *at)
+        stats = _bootstrap(x, y, n_resamples, "mean_diff", rng)
+        tail = 50 * (1 - ci_level)
+        p = _p_value(_flips(x - y, n_permutations, "mean_diff", rng), float((x - y).mean()), "two-sided")
+        return pd.DataFrame([[*at, float(x.mean() - y.mean()), float(np.percentile(stats, tail)), float(np.percentile(stats, 100 - tail)), p]], columns=names)
+
+    schema = ", ".join(f"{c} string" for c in by) + ", sample_size int, trial int, point_estimate double, ci_lower double, ci_upper double, p_value double"
+    trials = subsamples(pairs, sizes, n_trials, key, seed, by).groupBy(*by, "sample_size", "trial").applyInPandas(run, schema)
+    full = pairs.groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg((F.avg("score_a") - F.avg("score_b")).alias("_full"))
+    inside, p = F.col("_full").between(F.col("ci_lower"), F.col("ci_upper")), F.col("p_value")
+    return trials.join(full, list(by)).select(*names[:-1], (F.col("ci_upper") - F.col("ci_lower")).alias("ci_width"), inside.alias("contains_full_sample_estimate"), p, (p < 0.05).alias("significant_at_05"))
 
 
 def sensitivity_summary(trials: DataFrame, full: DataFrame, ci_level: float = 0.95, by: tuple[str, ...] = GROUP) -> DataFrame:

@@ -516,7 +516,7 @@ def e3_escalated_calls(spark, d):
 
 @query
 def r1_bootstrap(spark, d):
-    return resampling.bootstrap(pair57(spark, d), n_resamples=1000)
+    return resampling.bootstrap_by_key(pair57(spark, d), "doc_id")
 
 
 @query
@@ -530,12 +530,12 @@ def r2_cluster_bootstrap(spark, d):
     long = long_panel(spark, d)
     base = long.where("model_index = 0").select("doc_id", "metric", F.col("score").alias("score_b"))
     rows = long.where("model_index between 1 and 3").withColumnRenamed("score", "score_a").join(base, ["doc_id", "metric"]).withColumn("model_pair", F.lit("later v 0"))
-    return resampling.bootstrap(rows, n_resamples=500, cluster="doc_id")
+    return resampling.bootstrap_by_key(rows, "doc_id", cluster=True)
 
 
 @query
 def r3_permutation(spark, d):
-    return resampling.permutation(pair57(spark, d), n_permutations=1000)
+    return resampling.permutation_by_key(pair57(spark, d), "doc_id")
 
 
 @query
@@ -547,14 +547,14 @@ def r3_permutation_hashed(spark, d):
 def r4_sensitivity(spark, d):
     """Coverage by sample size, with its band."""
     pairs = pair57(spark, d)
-    trials = resampling.sensitivity(pairs, [25, 50], n_trials=20, n_resamples=200, n_permutations=200)
+    trials = resampling.sensitivity(pairs, [25, 50, 100])
     full = pairs.groupBy("model_pair", "metric").agg((F.avg("score_a") - F.avg("score_b")).alias("full_sample_estimate"))
     return resampling.coverage_band(resampling.sensitivity_summary(trials, full))
 
 
 @query
 def r5_median_bootstrap(spark, d):
-    return resampling.bootstrap(pair57(spark, d), n_resamples=200, statistic="median_diff")
+    return resampling.bootstrap(pair57(spark, d), statistic="median_diff")
 
 
 # ---- judge calls and streams ----
@@ -569,6 +569,19 @@ def y1_judge_calls(spark, d):
     return called.groupBy("score", "parse_ok", "retry_count").agg(F.count("*").alias("n")).withColumns(longs("score", "retry_count"))
 
 
+@query
+def y1_durable_run(spark, d):
+    """The same calls as one durable run, started twice: the second start finds all chunks whole and asks nothing."""
+    from uuid import uuid4
+
+    text = view(spark, d, "summaries").withColumns({"dimension": F.lit("fluency"), "judge_type": F.lit("pointwise"), "item_id": F.col("doc_id").cast("string")})
+    jobs = text.withColumn("prompt", prompts.pointwise(F.lit("none"), F.col("summary"), F.col("dimension")))
+    path = _scratch(spark, f"judge-run-{uuid4().hex}")
+    for _ in range(2):
+        log = judging.judge_durably(jobs, lambda prompt, model: f"{len(prompt) % 5 + 1} out of 5", "rule", path, chunks=8)
+    return log.groupBy("score", "parse_ok", "retry_count").agg(F.count("*").alias("n")).withColumns(longs("score", "retry_count"))
+
+
 @query
 def m1_live_rollup(spark, d):
     """The log as a stream of files: windows that the watermark has closed, read after the stream has drained."""

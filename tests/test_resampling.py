@@ -86,3 +86,45 @@ def test_sensitivity(spark):
     assert found[25].mean_ci_width > found[100].mean_ci_width > found[500].mean_ci_width
     assert found[500].empirical_coverage == 1 and found[500].std_point_estimate == pytest.approx(0, abs=1e-9)
     assert all(r.n_trials == 20 and r.coverage_lower <= r.empirical_coverage <= r.coverage_upper for r in found.values())
+
+
+def test_by_key_agrees_with_the_exact_draw(spark):
+    df = pairs(spark, normal(3.2, 1, 300), normal(3, 1, 300, 1))
+    small, large = rs.bootstrap(df, 2000).first(), rs.bootstrap_by_key(df, "doc_id", 4000).first()
+    assert large.point_estimate == pytest.approx(small.point_estimate) and large.n_units_resampled == 300
+    assert (large.ci_lower, large.ci_upper) == pytest.approx((small.ci_lower, small.ci_upper), abs=0.03)
+    again = rs.bootstrap_by_key(df.repartition(7), "doc_id", 4000).first()
+    assert (again.ci_lower, again.ci_upper) == pytest.approx((large.ci_lower, large.ci_upper))
+    for way in rs.ALTERNATIVES:
+        p, q = rs.permutation(df, 4000, alternative=way).first(), rs.permutation_by_key(df, "doc_id", 4000, way).first()
+        assert q.null_distribution_std == pytest.approx(p.null_distribution_std, rel=0.06) and q.p_value == pytest.approx(p.p_value, abs=0.03)
+        assert q.observed_statistic == pytest.approx(p.observed_statistic)
+    same = pairs(spark, np.ones(4), np.ones(4))
+    assert rs.permutation_by_key(same, "doc_id", 100).first().p_value == 1
+    assert rs.bootstrap_by_key(same.limit(0), "doc_id", 100).count() == 0
+
+
+def test_by_key_draws_clusters_whole(spark):
+    rng = np.random.default_rng(3)
+    docs = np.repeat(np.arange(40), 16)
+    a = 3 + np.repeat(rng.normal(0, 1.5, 40), 16) + rng.normal(0, 0.2, 640)
+    df = pairs(spark, a, np.full(640, 3.0), docs)
+    exact, whole = rs.bootstrap(df, 4000, cluster="doc_id").first(), rs.bootstrap_by_key(df, "doc_id", 4000, cluster=True).first()
+    assert whole.ci_upper - whole.ci_lower == pytest.approx(exact.ci_upper - exact.ci_lower, rel=0.1)
+    assert (whole.n_units_resampled, whole.cluster_by) == (40, "doc_id")
+
+
+def test_poisson_counts(spark):
+    """Weights have mean and variance 1, and no two draws are alike."""
+    sums = rs.draw_sums(pairs(spark, np.ones(5000), np.zeros(5000)), "doc_id", 200, "poisson", 1).toPandas()
+    assert sums.weight.mean() / 5000 == pytest.approx(1, abs=0.005) and sums.weight.std() == pytest.approx(5000**0.5, rel=0.2)
+    assert (sums.total == sums.weight).all() and sums.draw.nunique() == 200
+
+
+def test_subsamples_are_whole_and_without_replacement(spark):
+    df = pairs(spark, np.arange(50.0), np.zeros(50)).repartition(3)
+    found = rs.subsamples(df, [10, 50], 30, "doc_id").toPandas().sort_values("h").groupby(["sample_size", "trial"])
+    drawn = {k: v.head(k[0]).score_a for k, v in found}
+    assert len(drawn) == 60 and all(v.is_unique and len(v) == k[0] for k, v in drawn.items())
+    assert len({tuple(sorted(v)) for k, v in drawn.items() if k[0] == 10}) == 30
+    assert set(np.concatenate([v for k, v in drawn.items() if k[0] == 10])) == set(range(50))

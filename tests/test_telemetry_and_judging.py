@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from judge_jobs import schemas
 from judge_jobs.operators import judging, telemetry
@@ -88,6 +90,47 @@ def test_calls_retry_and_parse(spark, tmp_path):
     assert telemetry.latest(done.union(done.withColumn("started_at", F.col("started_at") + 1))).count() == 6
 
 
+def test_a_lost_run_goes_on_where_it_was(spark, tmp_path):
+    """The first run breaks off half-way; the second repeats no chunk that was whole, and ends with every job answered once."""
+    asked, path, down = str(tmp_path / "asked"), str(tmp_path / "run"), str(tmp_path / "down")
+    os.makedirs(asked)
+    open(down, "w").close()
+
+    def responder(prompt, model):
+        import os
+        import uuid
+
+        class Lost(BaseException):
+            pass
+
+        if os.path.exists(down) and len(os.listdir(asked)) >= 12:
+            raise Lost
+        open(f"{asked}/{prompt.split()[1]}-{uuid.uuid4().hex}", "w").close()
+        if prompt.endswith(" 5"):
+            raise RuntimeError("never")
+        return "4"
+
+    twice = jobs(spark, 24).union(jobs(spark, 1))
+    options = {"chunks": 6, "max_retries": 1, "wait_s": 0.001, "threads": 1, "partitions": 1}
+    policy = spark.createDataFrame([("fluency", False)], "dimension string, trusted boolean")
+    with pytest.raises(Exception):
+        judging.judge_durably(twice, responder, "m", path, policy, **options)
+    whole = [d for d in os.listdir(f"{path}/log") if os.path.exists(f"{path}/log/{d}/_SUCCESS")]
+    before = {r.item_id for d in whole for r in spark.read.parquet(f"{path}/log/{d}").collect()}
+    assert 0 < len(before) < 24
+    tried = set(os.listdir(asked))
+    os.remove(down)
+    log = judging.judge_durably(twice, responder, "m", path, policy, **options)
+    again = {f"doc-{f.split('-')[0]}" for f in set(os.listdir(asked)) - tried}
+    assert not again & before
+    rows = {r.item_id: r for r in log.collect()}
+    assert log.count() == len(rows) == 24 and all(r.escalated for r in rows.values())
+    assert (rows["doc-5"].error, rows["doc-5"].retry_count, rows["doc-5"].score) == ("never", 1, None) and rows["doc-6"].score == 4
+    count = len(os.listdir(asked))
+    assert judging.judge_durably(twice, responder, "m", path, policy, **options).count() == 24 and len(os.listdir(asked)) == count
+    assert judging.judge_durably(jobs(spark, 0), responder, "m", str(tmp_path / "none"), **options).count() == 0
+
+
 def test_live_rollup(spark, tmp_path):
     log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
     first = [("i1", "fluency", 0.0, 10.0, True, False, 0, None), ("i2", "fluency", 30.0, 30.0, False, True, 0, None), ("i3", "fluency", 60.0, 50.0, True, False, 0, None)]
