@@ -1,5 +1,6 @@
 """Shared helpers: a scratch table in the folder all executors share, words, and the usual input guards."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,19 +27,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession):
+    """Statements run inside give their shuffle files back at their end."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before) if before is not None else spark.conf.unset(FREED)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage.
 
     The copy lives on the cluster's store, so a lost executor costs no recomputation, and the shuffle
     files of the write are given back once it is done.
     """
-    path, conf = shared_dir(df.sparkSession, name), df.sparkSession.conf
-    schema, before = df.schema, conf.get(FREED, None)
-    conf.set(FREED, "true")
-    try:
+    path, schema = shared_dir(df.sparkSession, name), df.schema
+    with freeing(df.sparkSession):
         df.write.parquet(path)
-    finally:
-        conf.set(FREED, before) if before is not None else conf.unset(FREED)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._scratch = path
     return out

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import bounded, freeing, table, text_or_empty
 
 BLOCKS = 4096
 #: Rows that one task numbers at once, about.
 CELL_ROWS = 20_000
+#: Rows of block, cell and four numbers up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def block_of(text_col: str = "text", blocks: int = BLOCKS) -> Column:
@@ -25,6 +27,15 @@ def block_of(text_col: str = "text", blocks: int = BLOCKS) -> Column:
     return F.pmod(F.xxhash64(text_or_empty(text_col)), F.lit(blocks)).cast("int")
 
 
+#: The order of a cell's rows; rows equal in all three are interchangeable.
+IN_CELL = ("doc_id", "text_crc32", "size")
+
+
+def cell_of() -> Column:
+    """The cell of a row among the ``cells`` of its block, from its id and text alone."""
+    return F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("cells")).cast("int")
+
+
 def transfers(sizes: list[int], capacities: list[int], cost=lambda i, j: 0 if i == j else 1) -> list[list[int]]:
     """Minimum-cost flow from old shards (sizes) to new ones (capacities), by successive shortest paths.
 
@@ -127,10 +138,10 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: lis
     new = place([(x.block, x.old, x.bytes) for x in found], transfers(by_old, capacities))
     cells = {x.block: -(-x.n // CELL_ROWS) for x in found}
     plan = docs.sparkSession.createDataFrame([(x.block, x.old, new[x.block], cells[x.block]) for x in found], "block int, old_shard int, shard int, cells int")
-    placed = rows.join(F.broadcast(plan), "block").withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("cells")).cast("int"))
+    placed = rows.join(F.broadcast(plan), "block").withColumn("cell", cell_of())
     counts = placed.groupBy("shard", "block", "cell").agg(F.count("*").alias("n"))
     first = counts.select("block", "cell", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block", "cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    nth = F.row_number().over(W.partitionBy("block", "cell").orderBy("doc_id", "text_crc32", "size")) - 1
+    nth = F.row_number().over(W.partitionBy("block", "cell").orderBy(*IN_CELL)) - 1
     return placed.withColumn("nth", nth).join(first, ["block", "cell"]).select("doc_id", "size", "text_crc32", "block", "old_shard", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), (F.col("old_shard") != F.col("shard")).alias("moved"))
 
 
@@ -150,22 +161,24 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, text_col: str = "text",
 def rewrite_in_order(docs: DataFrame, plan: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Write the affected shards with their texts to ``path``/shard=N, rows in slot order, and read their places back from the files.
 
-    ``plan``: a stored table of :func:`reshard`. Every file holds a run of slots of CELL_ROWS rows at most,
-    so that no task writes a whole shard. Returns doc_id, size, text_crc32, shard and slot; the first three
-    are computed from the texts in the files, and for shards that keep theirs from the documents.
+    ``plan``: a stored table of :func:`reshard`. A row's block and cell come from its own id and text, so only the
+    cells' first slots are joined to the texts, and the texts go through one shuffle, by runs of slots of some
+    CELL_ROWS rows; no task writes a whole shard. Returns doc_id, size, text_crc32, shard and slot; the first
+    three are computed from the texts in the files, and for shards that keep theirs from the documents.
     """
     named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     crc = lambda: F.crc32(text_or_empty().cast("binary"))
     size = lambda: (F.octet_length(text_or_empty()) + 1).cast("long")
-    # equal rows are interchangeable, so the n-th of each kind in the documents takes the n-th of its slots; a salt of the row's id and text keeps a hot text in many tasks
-    kind = ["_id", "text_crc32", "size", "block"]
-    nth = lambda order: F.row_number().over(W.partitionBy(*kind).orderBy(order))
-    places = table(plan.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("nth", nth("slot")).select(*kind, "nth", "old_shard", "shard", "slot"), "slots")
-    affected = places.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    rows = named.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_crc32": crc(), "size": size(), "block": block_of()})
-    placed = rows.withColumn("nth", nth(F.xxhash64("text"))).join(places, [*kind, "nth"])
-    moved = placed.join(F.broadcast(affected), "shard", "left_semi").withColumn("run", F.floor(F.col("slot") / CELL_ROWS))
-    moved.select("doc_id", "text", "slot", "shard", "run").repartition("shard", "run").sortWithinPartitions("shard", "slot").drop("run").write.partitionBy("shard").parquet(path)
+    # a row for each block
+    blocks = table(plan.groupBy("block").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"), F.first("old_shard").alias("old_shard"), F.first("shard").alias("shard")), "cells")
+    affected = blocks.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
+    changed = F.broadcast(blocks.join(affected, "shard", "left_semi").select("block", "cells", "shard"))
+    starts = table(plan.select("block", "slot", *IN_CELL).join(changed, "block").withColumn("cell", cell_of()).groupBy("block", "cell").agg(F.min("slot").alias("first")), "starts")
+    rows = named.withColumns({"text_crc32": crc(), "size": size(), "block": block_of()}).join(changed, "block").withColumn("cell", cell_of())
+    placed = rows.join(bounded(starts, BROADCAST_ROWS), ["block", "cell"]).withColumn("run", F.floor(F.col("first") / CELL_ROWS)).repartition("shard", "run")
+    nth = F.row_number().over(W.partitionBy("shard", "run", "block", "cell").orderBy(*IN_CELL)) - 1
+    with freeing(docs.sparkSession):
+        placed.withColumn("slot", F.col("first") + nth).sortWithinPartitions("shard", "slot").select("doc_id", "text", "slot", "shard").write.partitionBy("shard").parquet(path)
     read = docs.sparkSession.read.schema(named.schema.add("slot", "long").add("shard", "integer")).parquet(path)
     stays = plan.join(F.broadcast(affected), "shard", "left_anti").select("doc_id", "size", "text_crc32", "shard", "slot")
     return read.select("doc_id", size().alias("size"), crc().alias("text_crc32"), "shard", "slot").unionByName(stays)
