@@ -1,0 +1,119 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from judge_jobs.llm import pieces
+from judge_jobs.llm.queries import op13_prefix_table_pieces
+
+
+@pytest.fixture(scope="module")
+def path():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def library(path):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+ODD = ["", " ", "  ", "a", " a", "a ", "▁a", "a▁▁ b", "\0x", "x \0", "<s>", "</s> x", "<0x0A>", "\n", "\n\n a\n", "a \n b", "日本語😀 ok", "        x", " " * 40, "é ñ", "1234567 89", "Ünï cödé ’quoted’", "it's (so) \"quoted\".\nNext", "\x7f\x80�​", "aaaaaaaaaaaaaaaaaaaaaaa", "\t\ttab\r\n"]
+
+
+def check(model, library, texts):
+    got = model.encode_all(pa.array(texts, pa.string()))
+    want = [library.encode(t) for t in texts]
+    assert got.to_pylist() == want
+    decoded = model.decode_all(pa.LargeListArray.from_arrays(got.offsets, got.values))
+    assert decoded.to_pylist() == [library.decode(x) for x in want]
+
+
+def test_odd_texts(path, library):
+    model = pieces.PieceModel(path)
+    check(model, library, ODD)
+    assert model.encode_all(pa.array([None], pa.string())).to_pylist() == [[]]
+    for t in ODD:  # units don't depend on the memo or on the rest of a batch
+        check(pieces.PieceModel.of(path), library, [t])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" ▁\n.,aetnoshi'()")), max_size=60), max_size=4))
+def test_equals_the_library(path, library, texts):
+    check(pieces.PieceModel.of(path), library, texts)
+
+
+def test_pieces_in_any_order(path, library):
+    """Texts of joined pieces, where merges reach over their borders in many ways; long words without any cut."""
+    rng, model = random.Random(3), pieces.PieceModel.of(path)
+    names = [n.replace(pieces.MARK, " ") for n in model.score]
+    letters = [n for n in names if n.isascii() and n.isalpha()]
+    check(model, library, ["".join(rng.choice(names) for _ in range(30)) for _ in range(400)])
+    check(model, library, ["".join(rng.choice(letters) for _ in range(60)) for _ in range(300)])
+    check(model, library, ["x" * 300_000, "日本" * 50_000, " ".join(rng.choice(letters) for _ in range(300_000)), "ab\n" * 300_000])
+
+
+def test_whole_cells_by_merges(path):
+    """The prefix table gives what the merges give, on short texts, without the library."""
+    rng, model = random.Random(4), pieces.PieceModel.of(path)
+    for _ in range(2000):
+        text = "".join(rng.choice("▁aehinorst") for _ in range(rng.randint(1, 14)))
+        assert [model.names[k] for k in model.unit_ids(text)] == model.merged(text)
+
+
+def test_decode_of_any_ids(path, library):
+    rng, model = random.Random(5), pieces.PieceModel.of(path)
+    runs = [[1, 259, 3 + 0xE6, 3 + 0x97, 105, 2], [3 + 0xE6, 3 + 0x97], [5000, 0, 1, 5000], [], [2], [28705, 28705]]
+    runs += [[rng.randrange(3, 259) for _ in range(rng.randint(1, 12))] for _ in range(200)]
+    ends = np.cumsum([0, *map(len, runs)])
+    flat = pa.array(np.array([k for r in runs for k in r], "<u4"))
+    assert model.decode_all(pa.LargeListArray.from_arrays(ends, flat)).to_pylist() == [library.decode(r) for r in runs]
+
+
+def test_memo_starts_afresh(path, library, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 50)
+    monkeypatch.setattr(pieces, "PAIRS", 5)
+    model = pieces.PieceModel(path)
+    for _ in range(3):
+        check(model, library, ["one two three four", "five six one", ""])
+
+
+def test_other_models_are_refused(tmp_path, path):
+    from sentencepiece import sentencepiece_model_pb2 as form
+
+    with open(path, "rb") as f:
+        model = form.ModelProto.FromString(f.read())
+    model.trainer_spec.model_type = form.TrainerSpec.UNIGRAM
+    (tmp_path / "unigram.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        pieces.PieceModel(str(tmp_path / "unigram.model"))
+
+
+def digests(library, text):
+    ids = library.encode(text or "", add_bos=True, add_eos=True)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    return len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode())
+
+
+def test_query(spark, docs, texts, library, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in op13_prefix_table_pieces(spark, str(tmp_path)).collect()}
+    assert got == {i: digests(library, t) for i, t in texts}
+
+
+def test_edges(spark, odd, empty, library, path):
+    rows = pieces.decode(pieces.encode(odd.withColumnRenamed("shard", "ids"), path), path)
+    assert rows.columns == ["doc_id", "n_tokens", "text"]
+    want = sorted((str(r.doc_id), library.decode(library.encode(r.text or ""))) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.text) for r in rows.collect()) == want
+    assert pieces.decode(pieces.encode(empty, path), path).count() == 0
+    long = spark.createDataFrame([(1, "lorem ipsum dolor, " * 200_000)], "doc_id long, text string")
+    row = pieces.encode(long, path).first()
+    assert np.frombuffer(row.ids, "<u4").tolist() == library.encode(long.first().text, add_bos=True, add_eos=True)
