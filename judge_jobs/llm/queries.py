@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
-from . import decontamination, idfiles, lines, packing, pieces, prefix_tree, quality_rules, rollups, sharding, simhash, site_quality, substrings
+from . import decontamination, idfiles, lines, packing, pieces, prefix_tree, quality_rules, rollups, sharding, simhash, site_quality, substrings, turn_repair
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +68,11 @@ def op7_flow_resharding(spark, sf_dir):
     return files.join(shards, ["shard", "slot"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op11_turn_repair(spark, sf_dir):
+    rows = turn_repair.clean(conversations(spark, sf_dir))
+    return turn_repair.report(rows, turn_repair.damaged(rows))
+
+
 def op12_prefix_tree(spark, sf_dir):
     own = prefix_tree.sequences(conversations(spark, sf_dir))
     return prefix_tree.trie(prefix_tree.with_borrowed_heads(own))
@@ -79,7 +84,7 @@ def op13_prefix_table_pieces(spark, sf_dir):
     return pieces.decode(encoded, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op3_fuzzy_lines, op4_delta_rollup, op5_golay_simhash, op6_ensemble_containment, op7_flow_resharding, op8_site_bayes, op9_mcd_outliers, op10_token_id_files, op12_prefix_tree, op13_prefix_table_pieces)}
+QUERIES = {f.__name__: f for f in (op1_vector_packing, op2_difference_cover, op3_fuzzy_lines, op4_delta_rollup, op5_golay_simhash, op6_ensemble_containment, op7_flow_resharding, op8_site_bayes, op9_mcd_outliers, op10_token_id_files, op11_turn_repair, op12_prefix_tree, op13_prefix_table_pieces)}
 _ROLLUP = """
 WITH counted AS (
     SELECT doc_id, source, lang, 'words@1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents
