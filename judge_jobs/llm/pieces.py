@@ -22,9 +22,11 @@ MARK = "▁"
 #: Characters after which, or before which, a unit may end if the model allows.
 CLOSING = ".,;:!?)\"'\n"
 #: Characters of units and ids remembered in a Python worker before it starts afresh (bounds memory, not results).
-MEMO = 6_000_000
+MEMO = 3_000_000
+#: Bytes of texts encoded at once (or one text, if that is longer).
+CHUNK = 3_000_000
 #: Pair tests remembered in a Python worker before it starts afresh.
-PAIRS = 1_000_000
+PAIRS = 500_000
 
 
 class PieceModel:
@@ -33,7 +35,6 @@ class PieceModel:
     _cache: dict = {}
 
     def __init__(self, path: str):
-        import ahocorasick
         import pyarrow as pa
         from sentencepiece import sentencepiece_model_pb2 as format
 
@@ -59,22 +60,28 @@ class PieceModel:
                 surface[k] = model.trainer_spec.unk_surface.encode()
         self.surface = pa.array(surface, pa.large_binary())
         self.names = [p.piece for p in model.pieces]
+        self.automaton = None
+        self._forget()
+        self.fits: dict[int, bool] = {}
+
+    def prepare(self) -> None:
+        """What encoding needs beside the names: the automaton, and where units may end."""
+        import ahocorasick
+
         # pieces that the merges never leave whole can't occur
-        self.automaton = ahocorasick.Automaton()
-        longer = []
-        for piece in self.score:
-            if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, (ids[piece], len(piece)))
+        automaton, longer = ahocorasick.Automaton(), []
+        for k, piece in enumerate(self.names):
+            if piece in self.score and self.merged(piece) == [piece]:
+                automaton.add_word(piece, (k, len(piece)))
                 if len(piece) > 1:
                     longer.append(piece)
-        self.automaton.make_automaton()
+        automaton.make_automaton()
         inner = {p[k : k + 2] for p in longer for k in range(len(p) - 1)}
         if any(b == MARK and a != MARK for a, b in inner) or any("\n" in x for x in inner) or " " in "".join(self.score):
             raise ValueError("a piece reaches over a white space mark or a newline")
         letters = {a for a, _ in inner if a.isascii() and a.isalpha()}
         self.closing = "".join(c for c in CLOSING if not any(a + c in inner for a in letters))
-        self._forget()
-        self.fits: dict[int, bool] = {}
+        self.automaton = automaton
 
     @classmethod
     def of(cls, path: str) -> "PieceModel":
@@ -108,6 +115,8 @@ class PieceModel:
 
     def unit_ids(self, unit: str) -> list[int]:
         """The ids of a text in which the white space is marked already."""
+        if self.automaton is None:
+            self.prepare()
         last: list[int] = [0] * len(unit)  # of the prefix that ends here: its last piece, or -1 for an unknown character
         start: list[int] = [-1] * len(unit)
         fits, many = self.fits, len(self.names)
@@ -142,6 +151,8 @@ class PieceModel:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if self.automaton is None:
+            self.prepare()
         if self.held > MEMO:
             self._forget()
         if len(self.fits) > PAIRS:
@@ -204,7 +215,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
 
         pieces = PieceModel.of(model)
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, CHUNK):
                 found = pieces.encode_all(part.column(1))
                 at = found.offsets.to_numpy() + 2 * np.arange(part.num_rows + 1)
                 ids = np.empty(at[-1], dtype="<u4")
@@ -234,7 +245,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 
         pieces = PieceModel.of(model)
         for batch in batches:
-            for part in chunks(batch, len(kept)):
+            for part in chunks(batch, len(kept), CHUNK):
                 column = pc.fill_null(part.column(len(kept)), b"").cast(pa.large_binary())
                 data = column.buffers()[2]
                 ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
