@@ -12,6 +12,7 @@ from ..fixed import INSIGNIFICANT_REASON, MAX_P_VALUE, MIN_PEARSON_R, TRUSTED_RE
 from ..functions.significance import correlation_p
 from ..functions.text import fixed, render
 from .reshape import complete
+from .small import sent_if_small
 
 
 def pearson(a: str, b: str) -> Column:
@@ -74,7 +75,7 @@ def policy(calibration: DataFrame, min_pearson_r: float = MIN_PEARSON_R, max_p_v
 
 def annotate(rows: DataFrame, policy: DataFrame, dimension: str = "dimension") -> DataFrame:
     """Add escalate_to_human: true for dimensions that are not trusted or not known. The policy has a row for each dimension."""
-    known = F.broadcast(policy.select(F.col("dimension").alias("_d"), "trusted"))
+    known = sent_if_small(policy.select(F.col("dimension").alias("_d"), "trusted"))
     return rows.join(known, F.col(dimension) == F.col("_d"), "left").withColumn("escalate_to_human", F.coalesce(~F.col("trusted"), F.lit(True))).drop("_d", "trusted")
 
 

@@ -144,6 +144,7 @@ put("j1_paired_scores", "SELECT doc_id, metric, round(score_a, 6) AS score_a, ro
 put("j1_unmatched", """SELECT metric, count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS n_both, count(*) FILTER (b.doc_id IS NULL) AS only_a, count(*) FILTER (a.doc_id IS NULL) AS only_b
     FROM (FROM long WHERE model_index = 1) a FULL JOIN (FROM long WHERE model_index = 5) b USING (doc_id, metric) GROUP BY metric""")
 put("j3_judge_with_human", "SELECT doc_id, dimension, judge_score, round(human_score, 6) AS human_score FROM judged")
+put("j5_partly_done", f"SELECT item_id, dimension, judge_type FROM (SELECT DISTINCT item_id FROM telemetry) CROSS JOIN {_DIMS} CROSS JOIN (VALUES ('pointwise'), ('pairwise')) AS t(judge_type) ANTI JOIN (SELECT item_id, dimension, judge_type FROM telemetry WHERE latency_ms > 50) USING (item_id, dimension, judge_type)")
 put("j5_resume", f"SELECT item_id, dimension, 'pairwise' AS judge_type FROM (SELECT DISTINCT item_id FROM telemetry) CROSS JOIN {_DIMS} WHERE (item_id, dimension) NOT IN (SELECT (item_id, dimension) FROM telemetry WHERE judge_type = 'pairwise')")
 put(
     "j6_both_orders",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed import DIMENSIONS
 from ..functions import padding, parsing, prompts
 from ..operators import calibration as cal
-from ..operators import effects, judging, pairwise, resampling, reshape, sampling, telemetry, validation, verbosity
+from ..operators import effects, exact_draws, judging, pairwise, resampling, reshape, sampling, telemetry, validation, verbosity
 from ..sources import tables
 from .views import view
 
@@ -221,6 +221,15 @@ def j5_resume(spark, d):
     return telemetry.pending(jobs, log)
 
 
+@query
+def j5_partly_done(spark, d):
+    """Jobs of every item in the log by dimension and type, against the part of the log whose latency is over 50 ms."""
+    log = view(spark, d, "telemetry")
+    types = spark.createDataFrame([(x, t) for x in DIMENSIONS for t in ("pointwise", "pairwise")], "dimension string, judge_type string")
+    jobs = log.select("item_id").distinct().crossJoin(F.broadcast(types))  # eight rows
+    return telemetry.pending(jobs, log.where("latency_ms > 50"))
+
+
 @query
 def j6_both_orders(spark, d):
     return both_orders(spark, d).drop("flip_slot")
@@ -516,7 +525,7 @@ def e3_escalated_calls(spark, d):
 
 @query
 def r1_bootstrap(spark, d):
-    return resampling.bootstrap_by_key(pair57(spark, d), "doc_id")
+    return exact_draws.bootstrap_exact(pair57(spark, d), "doc_id")
 
 
 @query
@@ -530,7 +539,7 @@ def r2_cluster_bootstrap(spark, d):
     long = long_panel(spark, d)
     base = long.where("model_index = 0").select("doc_id", "metric", F.col("score").alias("score_b"))
     rows = long.where("model_index between 1 and 3").withColumnRenamed("score", "score_a").join(base, ["doc_id", "metric"]).withColumn("model_pair", F.lit("later v 0"))
-    return resampling.bootstrap_by_key(rows, "doc_id", cluster=True)
+    return exact_draws.bootstrap_exact(rows, "doc_id", cluster=True)
 
 
 @query
@@ -554,7 +563,12 @@ def r4_sensitivity(spark, d):
 
 @query
 def r5_median_bootstrap(spark, d):
-    return resampling.bootstrap(pair57(spark, d), statistic="median_diff")
+    return exact_draws.median_bootstrap(pair57(spark, d), "doc_id")
+
+
+@query
+def r5_median_permutation(spark, d):
+    return exact_draws.median_permutation(pair57(spark, d), "doc_id")
 
 
 # ---- judge calls and streams ----
@@ -571,14 +585,14 @@ def y1_judge_calls(spark, d):
 
 @query
 def y1_durable_run(spark, d):
-    """The same calls as one durable run, started twice: the second start finds all chunks whole and asks nothing."""
+    """The same calls as one durable run over a growing list: half of the jobs, then all, then all again, which asks nothing."""
     from uuid import uuid4
 
     text = view(spark, d, "summaries").withColumns({"dimension": F.lit("fluency"), "judge_type": F.lit("pointwise"), "item_id": F.col("doc_id").cast("string")})
     jobs = text.withColumn("prompt", prompts.pointwise(F.lit("none"), F.col("summary"), F.col("dimension")))
     path = _scratch(spark, f"judge-run-{uuid4().hex}")
-    for _ in range(2):
-        log = judging.judge_durably(jobs, lambda prompt, model: f"{len(prompt) % 5 + 1} out of 5", "rule", path, chunks=8)
+    for some in (jobs.where("doc_id % 2 = 0"), jobs, jobs):
+        log = judging.judge_durably(some, lambda prompt, model: f"{len(prompt) % 5 + 1} out of 5", "rule", path, chunks=8, max_in_flight=64)
     return log.groupBy("score", "parse_ok", "retry_count").agg(F.count("*").alias("n")).withColumns(longs("score", "retry_count"))
 
 

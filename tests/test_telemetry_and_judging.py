@@ -115,8 +115,7 @@ def test_a_lost_run_goes_on_where_it_was(spark, tmp_path):
     policy = spark.createDataFrame([("fluency", False)], "dimension string, trusted boolean")
     with pytest.raises(Exception):
         judging.judge_durably(twice, responder, "m", path, policy, **options)
-    whole = [d for d in os.listdir(f"{path}/log") if os.path.exists(f"{path}/log/{d}/_SUCCESS")]
-    before = {r.item_id for d in whole for r in spark.read.parquet(f"{path}/log/{d}").collect()}
+    before = {r.item_id for r in judging.durable_log(spark, path).collect()}
     assert 0 < len(before) < 24
     tried = set(os.listdir(asked))
     os.remove(down)
@@ -131,6 +130,74 @@ def test_a_lost_run_goes_on_where_it_was(spark, tmp_path):
     assert judging.judge_durably(jobs(spark, 0), responder, "m", str(tmp_path / "none"), **options).count() == 0
 
 
+def counting(folder):
+    """A responder that leaves a file for each call."""
+
+    def responder(prompt, model):
+        import uuid
+
+        open(f"{folder}/{prompt.split()[1]}-{uuid.uuid4().hex}", "w").close()
+        return "3"
+
+    return responder
+
+
+def test_later_jobs_under_the_same_path(spark, tmp_path):
+    """Finished jobs are never asked again, new ones are, and resume=False asks all."""
+    asked, path = str(tmp_path / "asked"), str(tmp_path / "run")
+    os.makedirs(asked)
+    options = {"chunks": 4, "threads": 2, "max_in_flight": 2}
+    calls = lambda: len(os.listdir(asked))
+    assert judging.judge_durably(jobs(spark, 2), counting(asked), "m", path, **options).count() == 2 and calls() == 2
+    assert judging.judge_durably(jobs(spark, 5), counting(asked), "m", path, **options).count() == 5 and calls() == 5
+    assert judging.judge_durably(jobs(spark, 5), counting(asked), "m", path, **options).count() == 5 and calls() == 5
+    assert judging.judge_durably(jobs(spark, 8, start=5), counting(asked), "m", path, **options).count() == 8 and calls() == 8
+    assert judging.judge_durably(jobs(spark, 3), counting(asked), "m", path, resume=False, **options).count() == 11 and calls() == 11
+    other = jobs(spark, 2).withColumn("judge_type", F.lit("pairwise"))  # the type is part of the key
+    assert judging.judge_durably(other, counting(asked), "m", path, **options).count() == 13 and calls() == 13
+    nulls = jobs(spark, 1).withColumn("item_id", F.lit(None).cast("string"))
+    for _ in range(2):
+        assert judging.judge_durably(nulls.union(nulls), counting(asked), "m", path, **options).count() == 14 and calls() == 14
+
+
+def test_other_chunks_and_half_written_ones(spark, tmp_path):
+    """A later start may deal to another number of chunks; what a lost writer left without its mark is not read."""
+    asked, path = str(tmp_path / "asked"), str(tmp_path / "run")
+    os.makedirs(asked)
+    judging.judge_durably(jobs(spark, 6), counting(asked), "m", path, chunks=3)
+    spark.range(3).write.parquet(f"{path}/rounds/000001/log/chunk=0")
+    os.remove(f"{path}/rounds/000001/log/chunk=0/_SUCCESS")
+    log = judging.judge_durably(jobs(spark, 20), counting(asked), "m", path, chunks=7)
+    assert log.count() == 20 and log.select("item_id").distinct().count() == 20 and len(os.listdir(asked)) == 20
+
+
+@pytest.mark.parametrize("bound, threads, partitions", [(1, 8, None), (3, 2, None), (4, 8, None), (6, 2, 1)])
+def test_calls_in_flight_have_one_bound(spark, tmp_path, bound, threads, partitions):
+    """Files stand for calls that run; no call ever sees more of them than the bound."""
+    going, most = str(tmp_path / "going"), str(tmp_path / "most")
+    os.makedirs(going)
+    os.makedirs(most)
+
+    def responder(prompt, model):
+        import os
+        import time
+        import uuid
+
+        name = uuid.uuid4().hex
+        open(f"{going}/{name}", "w").close()
+        time.sleep(0.02)
+        open(f"{most}/{len(os.listdir(going))}", "w").close()
+        os.remove(f"{going}/{name}")
+        return "1"
+
+    called = judging.call(jobs(spark, 40).repartition(8), responder, "m", threads=threads, partitions=partitions, max_in_flight=bound)
+    called.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    assert 1 <= max(map(int, os.listdir(most))) <= bound
+    with pytest.raises(ValueError):
+        judging.call(jobs(spark, 1), responder, "m", max_in_flight=0)
+
+
 def test_live_rollup(spark, tmp_path):
     log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
     first = [("i1", "fluency", 0.0, 10.0, True, False, 0, None), ("i2", "fluency", 30.0, 30.0, False, True, 0, None), ("i3", "fluency", 60.0, 50.0, True, False, 0, None)]
