@@ -91,3 +91,18 @@ UNANIMOUS = " (unanimous)"
 INSIGNIFICANT_REASON = "not statistically significant (p={p} >= {limit})"
 WEAK_REASON = "correlation too weak (|r|={r} < {limit})"
 TRUSTED_REASON = "significant (p={p}) and sufficiently strong (r={r})"
+
+# What the answer parsers say about how they read an answer.
+BARE_NOTE = "bare integer"
+OUT_OF_NOTE = "extracted from 'X out of 5' / 'X/5' pattern"
+SINGLE_NOTE = "single valid number embedded in text"
+AMBIGUOUS_NOTE = ("ambiguous: found ", " candidate numbers ")
+OUTSIDE_NOTE = ("found number(s) ", " but none in valid range [1,5]")
+NO_NUMBER_NOTE = "no number found in response"
+TOKEN_NOTE = "bare token"
+TIE_NOTE = "'tie' keyword found"
+LEADING_NOTE = "leading letter token"
+ONLY_NOTE = {"A": "only Summary A mentioned", "B": "only Summary B mentioned"}
+NO_WINNER_NOTE = "could not determine winner from response"
+MARKER_NOTE = "found 'VERDICT:' marker"
+FALLBACK_NOTE = "no VERDICT marker found; fallback parse: "

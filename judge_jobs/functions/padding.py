@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed import CLOSING_HEDGES, OPENING_FILLERS, RESTATEMENT_LEAD
-from .text import strip
+from .text import bound, strip
 
 _GAP = r"(?U)(?<=[.!?])\s+"
 
@@ -13,11 +13,6 @@ def _pick(values: tuple[str, ...], k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(k, F.lit(len(values))) + 1).cast("int"))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it occurs there."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _lowered(text: Column) -> Column:
     return F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
@@ -37,7 +32,7 @@ def with_fillers(summary: Column, insertions: int = 2, seed: Column | None = Non
 
         return F.array_join(F.transform(sentences, padded), " ")
 
-    return _bound(strip(summary), lambda text: F.when(text == "", summary).otherwise(_bound(F.split(text, _GAP), joined)))
+    return bound(strip(summary), lambda text: F.when(text == "", summary).otherwise(bound(F.split(text, _GAP), joined)))
 
 
 def with_restatement(summary: Column, seed: Column | None = None) -> Column:
@@ -46,10 +41,10 @@ def with_restatement(summary: Column, seed: Column | None = None) -> Column:
 
     def restated(text: Column) -> Column:
         first = F.regexp_replace(F.element_at(F.split(text, _GAP, 2), 1), r"[.!?]+\z", "")
-        return _bound(first, lambda x: F.when((text == "") | (x == ""), summary).otherwise(F.concat(text, F.lit(f" {RESTATEMENT_LEAD} "), _lowered(x), F.lit(". "), _pick(CLOSING_HEDGES, seed))))
+        return bound(first, lambda x: F.when((text == "") | (x == ""), summary).otherwise(F.concat(text, F.lit(f" {RESTATEMENT_LEAD} "), _lowered(x), F.lit(". "), _pick(CLOSING_HEDGES, seed))))
 
-    return _bound(strip(summary), restated)
+    return bound(strip(summary), restated)
 
 
 def verbose(summary: Column, seed: Column | None = None) -> Column:
-    return _bound(with_fillers(summary, 2, seed), lambda x: with_restatement(x, seed))
+    return bound(with_fillers(summary, 2, seed), lambda x: with_restatement(x, seed))

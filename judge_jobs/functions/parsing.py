@@ -6,7 +6,8 @@ Each parser returns a struct (score or winner, parse_ok, parse_note). A null ans
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import listed, strip
+from ..fixed import AMBIGUOUS_NOTE, BARE_NOTE, FALLBACK_NOTE, LEADING_NOTE, MARKER_NOTE, NO_NUMBER_NOTE, NO_WINNER_NOTE, ONLY_NOTE, OUT_OF_NOTE, OUTSIDE_NOTE, SINGLE_NOTE, TIE_NOTE, TOKEN_NOTE
+from .text import bound, listed, strip
 
 # The patterns of the rules, in their order.
 BARE_SCORE = r"\A[1-5]\z"
@@ -22,19 +23,24 @@ MARKER = r"(?iuU)verdict:\s*(a|b|tie)\b"
 
 def score(raw: Column) -> Column:
     """Score 1 to 5: a bare digit, "X out of 5" or "X/5", the only digit from 1 to 5, else null and why."""
-    text = strip(raw)
-    out_of = F.regexp_extract(text, OUT_OF_FIVE, 1)
-    found, numbers = F.regexp_extract_all(text, F.lit(SCORES), 1), F.regexp_extract_all(text, F.lit(NUMBERS), 1)
-    value = F.when(text.rlike(BARE_SCORE), text).when(out_of != "", out_of).when(F.size(found) == 1, F.try_element_at(found, F.lit(1)))
-    note = (
-        F.when(text.rlike(BARE_SCORE), "bare integer")
-        .when(out_of != "", "extracted from 'X out of 5' / 'X/5' pattern")
-        .when(F.size(found) == 1, "single valid number embedded in text")
-        .when(F.size(found) > 1, F.concat(F.lit("ambiguous: found "), F.size(found).cast("string"), F.lit(" candidate numbers "), listed(found)))
-        .when(F.size(numbers) > 0, F.concat(F.lit("found number(s) "), listed(numbers), F.lit(" but none in valid range [1,5]")))
-        .when(text.isNotNull(), "no number found in response")
-    )
-    return F.struct(value.cast("int").alias("score"), value.isNotNull().alias("parse_ok"), note.alias("parse_note"))
+
+    def read(text: Column) -> Column:
+        found, numbers = F.regexp_extract_all(text, F.lit(SCORES), 1), F.regexp_extract_all(text, F.lit(NUMBERS), 1)
+        return F.struct(text.alias("text"), text.rlike(BARE_SCORE).alias("bare"), F.regexp_extract(text, OUT_OF_FIVE, 1).alias("out_of"), found.alias("found"), numbers.alias("numbers"))
+
+    def told(x: Column) -> Column:
+        value = F.when(x.bare, x.text).when(x.out_of != "", x.out_of).when(F.size(x.found) == 1, F.try_element_at(x.found, F.lit(1)))
+        note = (
+            F.when(x.bare, BARE_NOTE)
+            .when(x.out_of != "", OUT_OF_NOTE)
+            .when(F.size(x.found) == 1, SINGLE_NOTE)
+            .when(F.size(x.found) > 1, F.concat(F.lit(AMBIGUOUS_NOTE[0]), F.size(x.found).cast("string"), F.lit(AMBIGUOUS_NOTE[1]), listed(x.found)))
+            .when(F.size(x.numbers) > 0, F.concat(F.lit(OUTSIDE_NOTE[0]), listed(x.numbers), F.lit(OUTSIDE_NOTE[1])))
+            .when(x.text.isNotNull(), NO_NUMBER_NOTE)
+        )
+        return F.struct(value.cast("int").alias("score"), value.isNotNull().alias("parse_ok"), note.alias("parse_note"))
+
+    return bound(bound(strip(raw), read), told)
 
 
 def _named(token: Column) -> Column:
@@ -43,28 +49,29 @@ def _named(token: Column) -> Column:
 
 def verdict(raw: Column) -> Column:
     """Winner A, B or tie: a bare token, a tie anywhere, a leading letter, the only summary named, else null."""
-    text = strip(raw)
-    bare, lead = F.regexp_extract(text, BARE_VERDICT, 1), F.regexp_extract(text, LEADING, 1)
-    a, b = text.rlike(MENTIONS["A"]), text.rlike(MENTIONS["B"])
-    winner = F.when(bare != "", _named(bare)).when(text.rlike(TIE), "tie").when(lead != "", F.upper(lead)).when(a & ~b, "A").when(b & ~a, "B")
-    note = (
-        F.when(bare != "", "bare token")
-        .when(text.rlike(TIE), "'tie' keyword found")
-        .when(lead != "", "leading letter token")
-        .when(a & ~b, "only Summary A mentioned")
-        .when(b & ~a, "only Summary B mentioned")
-        .when(text.isNotNull(), "could not determine winner from response")
-    )
-    return F.struct(winner.alias("winner"), winner.isNotNull().alias("parse_ok"), note.alias("parse_note"))
+
+    def read(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.regexp_extract(text, BARE_VERDICT, 1).alias("bare"), F.regexp_extract(text, LEADING, 1).alias("lead"), text.rlike(TIE).alias("tie"), text.rlike(MENTIONS["A"]).alias("a"), text.rlike(MENTIONS["B"]).alias("b"))
+
+    def told(x: Column) -> Column:
+        only_a, only_b = x.a & ~x.b, x.b & ~x.a
+        winner = F.when(x.bare != "", _named(x.bare)).when(x.tie, "tie").when(x.lead != "", F.upper(x.lead)).when(only_a, "A").when(only_b, "B")
+        note = F.when(x.bare != "", TOKEN_NOTE).when(x.tie, TIE_NOTE).when(x.lead != "", LEADING_NOTE).when(only_a, ONLY_NOTE["A"]).when(only_b, ONLY_NOTE["B"]).when(x.text.isNotNull(), NO_WINNER_NOTE)
+        return F.struct(winner.alias("winner"), winner.isNotNull().alias("parse_ok"), note.alias("parse_note"))
+
+    return bound(bound(strip(raw), read), told)
 
 
 def reasoned_verdict(raw: Column) -> Column:
     """The last verdict marker; without one, as :func:`verdict`, and the note says so."""
     last = F.try_element_at(F.regexp_extract_all(raw, F.lit(MARKER), 1), F.lit(-1))
-    plain = verdict(raw)
-    winner = F.when(last.isNotNull(), _named(last)).otherwise(plain["winner"])
-    note = F.when(last.isNotNull(), "found 'VERDICT:' marker").otherwise(F.concat(F.lit("no VERDICT marker found; fallback parse: "), plain["parse_note"]))
-    return F.struct(winner.alias("winner"), winner.isNotNull().alias("parse_ok"), note.alias("parse_note"))
+
+    def told(x: Column) -> Column:
+        winner = F.when(x.last.isNotNull(), _named(x.last)).otherwise(x.plain.winner)
+        note = F.when(x.last.isNotNull(), MARKER_NOTE).otherwise(F.concat(F.lit(FALLBACK_NOTE), x.plain.parse_note))
+        return F.struct(winner.alias("winner"), winner.isNotNull().alias("parse_ok"), note.alias("parse_note"))
+
+    return bound(F.struct(last.alias("last"), verdict(raw).alias("plain")), told)
 
 
 #: Parsers by judge type.

@@ -31,3 +31,8 @@ def render(template: str, **values: Column) -> Column:
     """A template with the columns in the places of their names."""
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts) if p])
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -1,16 +1,16 @@
 """Agreement of judge and human scores by dimension, and the policy that follows from it.
 
-Four dimensions are four hot keys, so everything is sums that combine before the shuffle. Ranks come from
-the histogram of distinct values, not from a window over the rows.
+Four dimensions are four hot keys, so everything is sums that combine before the shuffle, over counts of distinct
+pairs of scores. Ranks come from counts of parts of the values, not from a window over a dimension.
 """
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed import INSIGNIFICANT_REASON, MAX_P_VALUE, MIN_PEARSON_R, TRUSTED_REASON, WEAK_REASON
 from ..functions.significance import correlation_p
 from ..functions.text import fixed, render
+from .ordered import running_counts
 from .reshape import complete
 from .small import sent_if_small
 
@@ -22,15 +22,21 @@ def pearson(a: str, b: str) -> Column:
 
 def average_ranks(rows: DataFrame, value: str, by: str = "dimension", name: str = "rank") -> DataFrame:
     """Average rank of each distinct value within its group: by, value, rank."""
-    counted = rows.groupBy(by, value).count()
-    before = F.coalesce(F.sum("count").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counted.select(by, value, (before + (F.col("count") + 1) / 2).alias(name))
+    counted = running_counts(rows.groupBy(by, value).count(), value, (by,))
+    return counted.select(by, value, (F.col("before") + (F.col("count") + 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, a: str = "judge_score", b: str = "human_score", by: str = "dimension") -> DataFrame:
     """Pearson correlation of average ranks, over counts of distinct value pairs."""
-    pairs = rows.groupBy(by, a, b).count()
-    ranked = pairs.join(average_ranks(rows, a, by, "ra"), [by, a]).join(average_ranks(rows, b, by, "rb"), [by, b])
+    return _spearman(rows.groupBy(by, a, b).count(), a, b, by)
+
+
+def _spearman(pairs: DataFrame, a: str, b: str, by: str) -> DataFrame:
+    def ranks(value, name):
+        counted = running_counts(pairs.groupBy(by, value).agg(F.sum("count").alias("count")), value, (by,))
+        return counted.select(by, value, (F.col("before") + (F.col("count") + 1) / 2).alias(name))
+
+    ranked = pairs.join(ranks(a, "ra"), [by, a]).join(ranks(b, "rb"), [by, b])
     w, s = F.col("count"), lambda e: F.sum(w * e)
     sums = ranked.groupBy(by).agg(F.sum(w).alias("n"), s(F.col("ra")).alias("a"), s(F.col("rb")).alias("b"), s(F.col("ra") * F.col("ra")).alias("aa"), s(F.col("rb") * F.col("rb")).alias("bb"), s(F.col("ra") * F.col("rb")).alias("ab"))
     top = F.col("ab") / F.col("n") - F.col("a") / F.col("n") * F.col("b") / F.col("n")

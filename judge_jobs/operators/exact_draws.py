@@ -5,10 +5,12 @@ A resample's n draws are split over the leaves from the top down, each split a b
 that every task that needs a split draws the same one; within its leaf a task draws uniformly. Every resample has
 exactly n draws, and no draw depends on partitions or retries.
 
-Medians: a resample's median stays near the group's own, so a window of values around that is enough. A pass adds up, for
-each draw, the weight below the window and the weight of each value in it, a sum for each partition; the order statistics
-of a draw follow from those. If any draw's median lies outside, the window is widened and the pass repeated, so
-the result is exact. A window of some 16 sqrt(n) rows moves, not the group.
+Medians: a resample's median stays near the group's own, so a window of values around that is enough. Rows below it, above it, or
+at one value in it are exchangeable, so counting them is all that a pass over the group does: how many of a resample's draws
+fall to each such class is multinomial (of sign flips: binomial), and the order statistics follow. Where whole clusters are drawn, their units go to
+leaves as above and partitions add up the classes' weights. If any draw's median lies outside its window, the window is
+widened and all is drawn again (the first one reaches eight standard deviations, so that this doesn't tell on the law). Some
+16 sqrt(n) values move, not the group.
 """
 
 import zlib
@@ -17,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .resampling import ALTERNATIVES, CELLS, GROUP, GROUPS, _mixed, _seed_key
+from .resampling import ALTERNATIVES, CELLS, GROUP, GROUPS, _seed_key
 from .small import sent_if_small
 
 #: Units that a leaf should have, and the bits of the deepest tree (the driver holds up to 2^bits counts for each group).
 LEAF = 4096
 MOST_BITS = 16
+#: Units that a task draws at once.
+DRAWN = 1_000_000
 #: Draws whose weights travel together.
 BLOCK = 100
 #: Values of a window that a task adds up at once for one group (each holds a number for every draw).
@@ -56,18 +60,37 @@ def leaf_draws(seed: int, group: tuple, leaf: int, bits: int, upto, draws: int,
     return counts
 
 
-def uniform_weights(seed: int, group: tuple, leaf: int, counts, units: int):
-    """(first draw, weights of its block's draws x units) of one leaf, a block of bounded size after another."""
+def uniform_draws(seed: int, group: tuple, leaf: int, counts, units: int):
+    """(first draw, counts, units drawn) of one leaf, a block of draws of bounded size after another."""
     import numpy as np
 
     rng = np.random.default_rng([seed, zlib.crc32(repr(group).encode()), 1 << 20, leaf])
-    step = max(1, CELLS // max(1, units))
+    step = max(1, DRAWN // max(1, units))
+    kind = np.uint16 if units <= 1 << 16 else np.uint32
     for a in range(0, len(counts), step):
         c = counts[a : a + step]
-        drawn = rng.integers(0, units, size=int(c.sum()))
+        yield a, c, rng.integers(0, units, size=int(c.sum()), dtype=kind)
+
+
+def uniform_weights(seed: int, group: tuple, leaf: int, counts, units: int):
+    """As :func:`uniform_draws`, as (first draw, how often each unit is drawn: draws x units)."""
+    import numpy as np
+
+    for a, c, drawn in uniform_draws(seed, group, leaf, counts, units):
         yield a, np.bincount(np.repeat(np.arange(len(c)) * units, c) + drawn, minlength=len(c) * units).reshape(len(c), units)
 
 
+def _added(values, counts):
+    """Sums of consecutive runs of ``values``, of which run k has ``counts[k]``."""
+    import numpy as np
+
+    out = np.zeros(len(counts))
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
 def leaved(units: DataFrame, by: tuple[str, ...], ids: str | None = None) -> tuple[DataFrame, dict]:
     """``units`` (by, h, ...) with their leaf, and for each group the bits of its tree and the units before each leaf.
 
@@ -138,9 +161,10 @@ def bootstrap_exact(pairs: DataFrame, key: str, n_resamples: int = 10_000, ci_le
                 yield from emitted()
                 sums.clear()
             bits, upto = shape[group]
-            total, values = sums.setdefault(group, np.zeros((n_resamples, 2))), part[["d", "m"]].to_numpy(float)
-            for a, w in uniform_weights(seed, group, leaf, leaf_draws(seed, group, leaf, bits, upto, n_resamples, memo), len(part)):
-                total[a : a + len(w)] += w @ values
+            total, d, m = sums.setdefault(group, np.zeros((n_resamples, 2))), part["d"].to_numpy(float), part["m"].to_numpy(float)
+            for a, c, drawn in uniform_draws(seed, group, leaf, leaf_draws(seed, group, leaf, bits, upto, n_resamples, memo), len(part)):
+                total[a : a + len(c), 0] += _added(d[drawn], c)
+                total[a : a + len(c), 1] += _added(m[drawn], c) if cluster else c
         yield from emitted()
 
     order = [*by, "leaf", "h", "unit", "d"]
@@ -216,16 +240,9 @@ def _draw_medians(parts: DataFrame, by: tuple[str, ...]) -> DataFrame:
         kind, value = rows["kind"].to_numpy(), rows["value"].to_numpy(float)
         total, below = weights[kind == 0].sum(axis=0), weights[kind == 1].sum(axis=0)
         at, inverse = np.unique(value[kind == 2], return_inverse=True)
-        upto = np.zeros((len(at), weights.shape[1]), np.int64)
-        np.add.at(upto, inverse, weights[kind == 2])
-        upto = below + np.cumsum(upto, axis=0)
-
-        def ranked(rank):
-            place = (upto <= rank).sum(axis=0)
-            inside = (rank >= below) & (place < len(at))
-            return np.where(inside, at[np.minimum(place, len(at) - 1)] if len(at) else np.nan, np.nan)
-
-        median = (ranked((total - 1) // 2) + ranked(total // 2)) / 2
+        sums = np.zeros((len(at), weights.shape[1]), np.int64)
+        np.add.at(sums, inverse, weights[kind == 2])
+        median = _median(total, below, sums.T, at)
         first = key[-1] * BLOCK
         out = pd.DataFrame({"draw": np.arange(first, first + len(median)), "median": median})
         for name, k in zip([*by, "side"], key):
@@ -277,21 +294,21 @@ def median_bootstrap(pairs: DataFrame, key: str, n_resamples: int = 10_000, ci_l
     ``cluster``: all rows of a ``key`` (null and empty are one) are drawn together. Result as that of ``resampling.bootstrap``.
     """
     rows = pairs.select(*[c.alias(n) for n, c in _text(by).items()], F.coalesce(F.col(key).cast("string"), F.lit("")).alias("unit"), F.col("score_a").cast("double").alias("a"), F.col("score_b").cast("double").alias("b"))
-    # of what the windows leave alone, so that draws don't depend on them
-    rows = rows.withColumn("h", _seed_key(seed, "unit") if cluster else _seed_key(seed, "unit", "a", "b"))
+    rows = rows.withColumn("h", _seed_key(seed, "unit"))
     number = F.count_distinct("unit") if cluster else F.count("*")
     while True:
         ends = windows(rows, ("a", "b"), number, reach, by)
         placed = _same_groups(rows, sent_if_small(ends), by)
         spot = lambda x: F.when(F.col(x) < F.col(f"{x}_low"), 1).when(F.col(x) <= F.col(f"{x}_high"), 2).otherwise(3)
-        placed = placed.select(*by, "unit", "h", *[spot(x).alias(f"k{x}") for x in "ab"], *[F.when(spot(x) == 2, F.col(x)).alias(x) for x in "ab"])
-        if cluster:  # what a large cluster holds outside the windows is one row for each side of them
-            placed = placed.groupBy(*by, "unit", "h", "ka", "kb", "a", "b").agg(F.count("*").alias("c"))
+        spots = [*[spot(x).alias(f"k{x}") for x in "ab"], *[F.when(spot(x) == 2, F.col(x)).alias(x) for x in "ab"]]
+        # what a group, or a large cluster of it, holds outside the windows is one row for each side of them
+        placed = placed.select(*by, *["unit", "h"] * cluster, *spots).groupBy(*by, *["unit", "h"] * cluster, "ka", "kb", "a", "b").agg(F.count("*").alias("c"))
+        if cluster:
+            side = lambda s: F.max(F.when(F.col("side") == s, F.col("median")))
+            drawn = _draw_medians(_cluster_parts(placed, n_resamples, seed, by), by)
+            stats = drawn.groupBy(*by, "draw").agg((side("a") - side("b")).alias("stat"))
         else:
-            placed = placed.withColumn("c", F.lit(1))
-        drawn = _draw_medians(_bootstrap_parts(placed, n_resamples, cluster, seed, by), by)
-        side = lambda s: F.max(F.when(F.col("side") == s, F.col("median")))
-        stats = drawn.groupBy(*by, "draw").agg((side("a") - side("b")).alias("stat"))
+            stats = _class_medians(placed, n_resamples, seed, by)
         tail = (1 - ci_level) / 2
         bounds = stats.groupBy(*by).agg(F.percentile("stat", [tail, 1 - tail]).alias("ci"), F.count("*").cast("int").alias("n_resamples"), F.count_if(F.col("stat").isNull()).alias("outside"))
         middle = lambda x: own_medians(rows, ends, x, by).withColumnRenamed("median", f"m{x}")
@@ -303,8 +320,71 @@ def median_bootstrap(pairs: DataFrame, key: str, n_resamples: int = 10_000, ci_l
         reach *= 4
 
 
-def _bootstrap_parts(placed: DataFrame, draws: int, cluster: bool, seed: int, by: tuple[str, ...]) -> DataFrame:
-    units, shape = leaved(placed, by, "unit" if cluster else None)
+def _ranked(below, upto, at, rank):
+    """The value at each draw's rank, NaN outside the window. ``upto``: draws x values, weights up to each value in ``at``, those below included."""
+    import numpy as np
+
+    place = (upto <= rank[:, None]).sum(axis=1)
+    inside = (rank >= below) & (place < len(at))
+    return np.where(inside, at[np.minimum(place, len(at) - 1)] if len(at) else np.nan, np.nan)
+
+
+def _median(total, below, weights, at):
+    import numpy as np
+
+    upto = below[:, None] + np.cumsum(weights, axis=1)
+    return (_ranked(below, upto, at, (total - 1) // 2) + _ranked(below, upto, at, total // 2)) / 2
+
+
+def _in_blocks(counted: DataFrame, draws: int, by: tuple[str, ...]):
+    """Counted classes once for each block of draws, grouped by both."""
+    return counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // BLOCK) - 1)))).groupBy(*by, "block")
+
+
+def _drawn_frame(by, key, draws, stats):
+    import numpy as np
+    import pandas as pd
+
+    first = key[-1] * BLOCK
+    out = pd.DataFrame({"draw": np.arange(first, first + len(stats)), "stat": stats})[: max(0, draws - first)]
+    for name, k in zip(by, key):
+        out[name] = k
+    return out[[*by, "draw", "stat"]]
+
+
+def _draw_schema(by) -> str:
+    return ", ".join(f"{c} string" for c in by) + ", draw int, stat double"
+
+
+def _class_medians(counted: DataFrame, draws: int, seed: int, by: tuple[str, ...]) -> DataFrame:
+    """by, draw, stat: the difference of medians of each resample; ``counted``: the rows of each class (ka, kb, a, b, c)."""
+
+    def run(key, rows):
+        import numpy as np
+
+        rows = rows.sort_values(["ka", "kb", "a", "b"])
+        c = rows["c"].to_numpy(np.int64)
+        n, stats = int(c.sum()), []
+        rng = np.random.default_rng([seed, zlib.crc32(repr(_named(key[:-1])).encode()), 1 << 21, key[-1]])
+        step = max(1, CELLS // len(c))
+        for a in range(0, BLOCK, step):
+            w = rng.multinomial(n, c / n, size=min(step, BLOCK - a))
+            each = []
+            for x in "ab":
+                kind, value = rows[f"k{x}"].to_numpy(), rows[x].to_numpy(float)
+                at, place = np.unique(value[kind == 2], return_inverse=True)
+                sums = np.zeros((len(w), len(at)), np.int64)
+                np.add.at(sums.T, place, w[:, kind == 2].T)
+                each.append(_median(np.full(len(w), n), w[:, kind == 1].sum(axis=1), sums, at))
+            stats.append(each[0] - each[1])
+        return _drawn_frame(by, key, draws, np.concatenate(stats))
+
+    found = _in_blocks(counted, draws, by).applyInPandas(run, _draw_schema(by))
+    return found.withColumn("stat", F.when(~F.isnan("stat"), F.col("stat")))
+
+
+def _cluster_parts(placed: DataFrame, draws: int, seed: int, by: tuple[str, ...]) -> DataFrame:
+    units, shape = leaved(placed, by, "unit")
 
     def run(batches):
         import numpy as np
@@ -312,23 +392,24 @@ def _bootstrap_parts(placed: DataFrame, draws: int, cluster: bool, seed: int, by
 
         sums, memo = _Sums(draws, by), {}
         for group, leaf, part in _leaves(batches, by):
-            bits, upto = shape[group]
-            own = pd.factorize(part["unit"])[0] if cluster else np.arange(len(part))
-            times = part["c"].to_numpy(float)
-            # what a unit adds to each sum: all its rows, those below a window, those at each of its values
-            which = {}
+            counts = leaf_draws(seed, group, leaf, *shape[group], draws, memo)
+            own, times = pd.factorize(part["unit"])[0], part["c"].to_numpy(float)
+            names, each = [], []
             for x in "ab":
                 kind, value = part[f"k{x}"].to_numpy(), part[x].to_numpy(float)
-                which[x, 0, None], which[x, 1, None] = np.ones(len(part), bool), kind == 1
-                which |= {(x, 2, float(v)): (kind == 2) & (value == v) for v in np.unique(value[kind == 2])}
-            each = np.zeros((own.max() + 1, len(which)))
-            for k, rows in enumerate(which.values()):
-                np.add.at(each[:, k], own[rows], times[rows])
-            counts = leaf_draws(seed, group, leaf, bits, upto, draws, memo)
-            for a, w in uniform_weights(seed, group, leaf, counts, len(each)):
-                found = np.rint(w.astype(float) @ each).astype(np.int64)
-                for k, (side, kind, value) in enumerate(which):
-                    sums.add(group, side, kind, value, a, found[:, k])
+                values = np.unique(value[kind == 2])
+                # the rows above a window, below it, and at each of its values
+                code = np.where(kind == 1, 1, np.where(kind == 2, 2 + np.searchsorted(values, value), 0))
+                table = np.zeros((own.max() + 1, 2 + len(values)))
+                np.add.at(table, (own, code), times)
+                each.append(table)
+                names.append([(1, None), *[(2, float(v)) for v in values]])
+            for a, w in uniform_weights(seed, group, leaf, counts, own.max() + 1):
+                for x, table, named in zip("ab", each, names):
+                    found = np.rint(w.astype(float) @ table).astype(np.int64)
+                    sums.add(group, x, 0, None, a, found.sum(axis=1))
+                    for k, (kind, value) in enumerate(named, 1):
+                        sums.add(group, x, kind, value, a, found[:, k])
             yield from sums.rows(4 * VALUES)
         yield from sums.rows()
 
@@ -337,44 +418,41 @@ def _bootstrap_parts(placed: DataFrame, draws: int, cluster: bool, seed: int, by
     return dealt.mapInArrow(run, _partial_schema(by))
 
 
-def median_permutation(pairs: DataFrame, key: str, n_permutations: int = 10_000, alternative: str = "two-sided", seed: int = 42, by: tuple[str, ...] = GROUP, reach: float = 2 * REACH) -> DataFrame:
-    """Sign-flip test of the median of score_a - score_b for groups of any size, with one sign for each ``key``."""
+def median_permutation(pairs: DataFrame, n_permutations: int = 10_000, alternative: str = "two-sided", seed: int = 42, by: tuple[str, ...] = GROUP, reach: float = 2 * REACH) -> DataFrame:
+    """Sign-flip test of the median of score_a - score_b for groups of any size, with a sign for each row."""
     if alternative not in ALTERNATIVES:
         raise ValueError(f"unsupported alternative: {alternative}")
     d = (F.col("score_a") - F.col("score_b")).cast("double")
-    rows = pairs.select(*[c.alias(n) for n, c in _text(by).items()], _seed_key(seed, key).alias("k"), d.alias("d"), F.abs(d).alias("size"))
-    observed = _kept(own_medians(rows, windows(rows, ("d",), F.count("*"), reach, by), "d", by)).withColumnRenamed("median", "observed_statistic")
+    rows = pairs.select(*[c.alias(n) for n, c in _text(by).items()], d.alias("d"), F.abs(d).alias("size"))
+    observed = _kept(own_medians(rows, windows(rows, ("d",), F.count("*"), reach, by), "d", by).withColumnRenamed("median", "observed_statistic"))
+
+    def run(key, counted):
+        import numpy as np
+
+        counted = counted.sort_values("v")
+        n, outside = int(counted["c"].sum()), int(counted["c"][counted["v"].isna()].sum())
+        inside = counted[counted["v"].notna()]
+        size, c = inside["v"].to_numpy(float), inside["c"].to_numpy(np.int64)
+        rng = np.random.default_rng([seed, zlib.crc32(repr(_named(key[:-1])).encode()), 1 << 22, key[-1]])
+        stats, step = [], max(1, CELLS // max(1, len(c)))
+        at = np.concatenate([-size[size > 0][::-1], size])
+        for a in range(0, BLOCK, step):
+            draws = min(step, BLOCK - a)
+            below = rng.binomial(outside, 0.5, size=draws)
+            flipped = rng.binomial(c, 0.5, size=(draws, len(c)))
+            flipped[:, size == 0] = 0
+            weights = np.concatenate([flipped[:, size > 0][:, ::-1], c - flipped], axis=1)
+            stats.append(_median(np.full(draws, n), below, weights, at))
+        return _drawn_frame(by, key, n_permutations, np.concatenate(stats))
+
     while True:
         # flipped values stand around zero: the window is the rows of the smallest sizes
         counted = rows.groupBy(*by).agg(F.count("*").alias("units"), F.percentile_approx("size", [2 * s for s in STEPS], ACCURACY).alias("sizes"))
         ends = _kept(counted.select(*by, F.col("sizes")[_step(F.lit(reach) / F.sqrt("units") / 2)].alias("most")))
-        placed = _same_groups(rows, sent_if_small(ends), by).withColumn("inside", F.col("size") <= F.col("most"))
-
-        def run(batches):
-            import numpy as np
-
-            sums, number = _Sums(n_permutations, by), np.arange(n_permutations, dtype=np.uint64)
-            for batch in batches:
-                for group, part in batch.to_pandas().groupby(list(by), dropna=False, sort=False):
-                    group, step = _named(group), max(1, CELLS // len(part))
-                    keys, d, size, inside = part["k"].to_numpy().view(np.uint64), part["d"].to_numpy(float), part["size"].to_numpy(float), part["inside"].to_numpy(bool)
-                    values = {float(v): np.flatnonzero(inside & (size == v)) for v in np.unique(size[inside])}
-                    for a in range(0, n_permutations, step):
-                        flip = (_mixed(keys, number[a : a + step]) >> np.uint64(63)).astype(bool)
-                        negative = (flip != (d < 0)[:, None]) & (d != 0)[:, None]
-                        sums.add(group, "d", 0, None, a, np.full(negative.shape[1], len(part)))
-                        sums.add(group, "d", 1, None, a, negative[~inside].sum(axis=0))
-                        for v, at in values.items():
-                            below = negative[at].sum(axis=0)
-                            sums.add(group, "d", 2, v, a, len(at) - below)
-                            if v:
-                                sums.add(group, "d", 2, -v, a, below)
-                    yield from sums.rows(4 * VALUES)
-            yield from sums.rows()
-
-        null = _draw_medians(placed.select(*by, "k", "d", "size", "inside").mapInArrow(run, _partial_schema(by)), by)
+        placed = _same_groups(rows, sent_if_small(ends), by).groupBy(*by, F.when(F.col("size") <= F.col("most"), F.col("size")).alias("v")).agg(F.count("*").alias("c"))
+        null = _in_blocks(placed, n_permutations, by).applyInPandas(run, _draw_schema(by)).withColumn("stat", F.when(~F.isnan("stat"), F.col("stat")))
         seen, slack = F.col("observed_statistic"), 1e-9 * F.greatest(F.lit(1.0), F.abs("observed_statistic"))
-        stat = F.col("median")
+        stat = F.col("stat")
         extreme = {"two-sided": F.abs(stat) >= F.abs(seen) - slack, "greater": stat >= seen - slack, "less": stat <= seen + slack}[alternative]
         both = _same_groups(null, sent_if_small(observed), by)
         out = both.groupBy(*by, "observed_statistic").agg(F.avg(extreme.cast("double")).alias("p_value"), F.count("*").cast("int").alias("n_permutations"), F.stddev_pop(stat).alias("null_distribution_std"), F.count_if(stat.isNull()).alias("outside")).collect()

@@ -114,6 +114,7 @@ _FOUR = "coherence, consistency, fluency, relevance"
 _SHARES = "avg(CAST(parse_ok AS INT)) AS ok_share, avg(CAST(escalated AS INT)) AS escalated_share, avg(latency_ms) AS mean_latency_ms"
 
 put("s4_s6_telemetry_roundtrip", f"SELECT dimension, n, {_r('ok_share', 'escalated_share', 'mean_latency_ms')} FROM (SELECT dimension, count(*) AS n, {_SHARES} FROM telemetry GROUP BY ALL)")
+SQL["s5_committed_append"] = SQL["s4_s6_telemetry_roundtrip"]
 SQL["g18_by_dimension"] = SQL["s4_s6_telemetry_roundtrip"]
 put("s7_partitioned_results", "SELECT model_pair, metric, count(*) AS n, round(sum(score_a), 6) AS sum_a, round(sum(score_b), 6) AS sum_b FROM pair WHERE metric = 'fluency' GROUP BY ALL")
 put("s8_resumed_append", "SELECT dimension, count(*) AS n, count(judge_score) AS n_scored FROM judged GROUP BY ALL")
@@ -240,3 +241,29 @@ put(
     "y1_durable_run",
     f"SELECT CAST(length(prompt) % 5 + 1 AS BIGINT) AS score, true AS parse_ok, CAST(0 AS BIGINT) AS retry_count, count(*) AS n FROM (SELECT {_prompt(POINTWISE_PROMPT, article=_q('none'), summary='summary')} AS prompt FROM (SELECT *, 'fluency' AS dimension FROM summaries)) GROUP BY 1",
 )
+put(
+    "m1_live_rollup",
+    """SELECT CAST(floor(started_at / 3600) * 3600 AS BIGINT) AS starts_at, dimension, count(*) AS n, round(avg(CAST(parse_ok AS DOUBLE)), 6) AS ok_share, round(avg(CAST(escalated AS DOUBLE)), 6) AS escalated_share, round(avg(latency_ms), 6) AS mean_latency_ms
+    FROM telemetry WHERE started_at IS NOT NULL GROUP BY 1, 2""",
+)
+put("m2_each_job_once", "SELECT DISTINCT item_id, dimension, judge_type FROM telemetry")
+_SCORES = ("coherence", "consistency", "fluency", "relevance")
+put("s1_read_raw", f"SELECT CAST(i - 1 AS BIGINT) AS model_index, count(*) AS n, {', '.join(f'round(sum({c}[i]), 6) AS {c}' for c in _SCORES)} FROM wide, range(1, 17) AS t(i) GROUP BY i")
+put(
+    "s2_read_csv",
+    """SELECT dimension, count(*) AS n, CAST(sum(length(raw_response) + CASE WHEN model_index % 2 = 0 THEN 18 ELSE 0 END) AS BIGINT) AS n_chars, count(judge_score) AS n_scored FROM judged WHERE model_index <> 3 GROUP BY dimension
+    UNION ALL SELECT 'quarantine', count(*), NULL, NULL FROM judged WHERE model_index = 3""",
+)
+put("s3_read_summaries", "SELECT 'm1' AS model_pair, metric, CAST(25 AS BIGINT) AS sample_size, CASE WHEN metric < 'f' THEN count(*) END AS n_trials, round(avg(score), 6) AS full_sample_estimate FROM long GROUP BY metric")
+_MODELS = "(SELECT doc_id, count(DISTINCT model_index) AS m FROM panel GROUP BY doc_id)"
+put(
+    "v3_checked",
+    f"""SELECT faults, faults = '' AS good, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
+        SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 10 = 2 THEN 'null_relevance' END, CASE WHEN doc_id % 10 = 1 AND fluency + 5 > 5 THEN 'out_fluency' END, CASE WHEN m <> 4 THEN 'models' END) AS faults
+        FROM panel JOIN {_MODELS} USING (doc_id)) GROUP BY faults""",
+)
+put(
+    "v3_report",
+    f"SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_unique_docs, count(DISTINCT CASE WHEN m <> 4 THEN doc_id END) AS n_bad_docs, count(*) FILTER (m <> 4) AS n_bad_rows, false AS passed, count(*) FILTER (m <> 4) AS n_models_fault FROM panel JOIN {_MODELS} USING (doc_id)",
+)
+put("u4_missing_columns", "SELECT count(*) AS n_panel, CAST(0 AS BIGINT) AS n_rows, false AS passed, 'missing columns: [''article'', ''summary'', ''relevance'']' AS error FROM panel")

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..fixed import DIMENSIONS
 from ..functions import padding, parsing, prompts
 from ..operators import calibration as cal
@@ -67,6 +68,44 @@ def pair57(spark, d) -> DataFrame:
 # ---- sources and sinks ----
 
 
+@query
+def s1_read_raw(spark, d):
+    """The wide table written as JSON lines, read with its schema, and long again."""
+    from uuid import uuid4
+
+    path, wide = _scratch(spark, f"raw-{uuid4().hex}"), view(spark, d, "wide").withColumns({"text": F.lit(""), "machine_summaries": F.transform("coherence", lambda x: F.lit(""))})
+    wide.write.json(path)
+    long = reshape.to_long(tables.read_raw(spark, path, "json"))
+    return long.groupBy("model_index").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 6).alias(c) for c in DIMENSIONS]).withColumns(longs("model_index"))
+
+
+@query
+def s2_read_csv(spark, d):
+    """Judge results written as CSV with quotes and line feeds in the answers, and read again; records that don't fit go to quarantine."""
+    from uuid import uuid4
+
+    path = _scratch(spark, f"results-{uuid4().hex}")
+    odd = F.concat(F.lit('said "'), F.col("raw_response"), F.lit('",\nthen more'))
+    results = judged(spark, d).withColumns({"raw_response": F.when(F.col("model_index") % 2 == 0, odd).otherwise(F.col("raw_response")), "doc_id": F.col("doc_id").cast("string")})
+    kept = results.select(schemas.JUDGE_RESULTS.fieldNames())
+    tables.write_csv(kept.withColumn("model_index", F.when(F.col("model_index") == 3, "three").otherwise(F.col("model_index").cast("string"))), path)
+    good, bad = tables.read_quarantined(spark, path, schemas.JUDGE_RESULTS)
+    rows = good.groupBy("dimension").agg(F.count("*").alias("n"), F.sum(F.length("raw_response")).alias("n_chars"), F.count("judge_score").alias("n_scored"))
+    return rows.unionByName(bad.agg(F.lit("quarantine").alias("dimension"), F.count("*").alias("n"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("long").alias("n_scored")))
+
+
+@query
+def s3_read_summaries(spark, d):
+    """Two studies' summaries in files of different column order and number, read by a pattern."""
+    from uuid import uuid4
+
+    path = _scratch(spark, f"studies-{uuid4().hex}")
+    full = long_panel(spark, d).groupBy("metric").agg(F.count("*").alias("n_trials"), F.avg("score").alias("full_sample_estimate")).withColumns({"model_pair": F.lit("m1"), "sample_size": F.lit(25)})
+    tables.write_csv(full.where("metric < 'f'").select("model_pair", "metric", "sample_size", "n_trials", "full_sample_estimate"), f"{path}/a_summary.csv")
+    tables.write_csv(full.where("metric >= 'f'").select("full_sample_estimate", "metric", "sample_size", "model_pair"), f"{path}/b_summary.csv")
+    return tables.read_summaries(spark, f"{path}/*_summary.csv").select("model_pair", "metric", F.col("sample_size").cast("long").alias("sample_size"), "n_trials", F.round("full_sample_estimate", 6).alias("full_sample_estimate"))
+
+
 @query
 def s4_s6_telemetry_roundtrip(spark, d):
     """The log written as JSON lines and read again."""
@@ -77,6 +116,18 @@ def s4_s6_telemetry_roundtrip(spark, d):
     return telemetry.by_dimension(tables.read_telemetry(spark, path)).withColumns(r6("ok_share", "escalated_share", "mean_latency_ms"))
 
 
+@query
+def s5_committed_append(spark, d):
+    """The log appended by two runs, each delivered twice, merged into few files, and read again."""
+    from uuid import uuid4
+
+    path, log = _scratch(spark, f"log-{uuid4().hex}"), view(spark, d, "telemetry")
+    for run, part in (("even", "started_at % 2 < 1"), ("odd", "started_at % 2 >= 1"), ("even", "true"), ("odd", "true")):
+        tables.append_telemetry_once(log.where(part), path, run)
+    tables.CommittedTable(spark, path, "value string", "text").compact()
+    return telemetry.by_dimension(tables.read_committed_telemetry(spark, path)).withColumns(r6("ok_share", "escalated_share", "mean_latency_ms"))
+
+
 @query
 def s7_partitioned_results(spark, d):
     """Trials written by pair and metric, one metric read back."""
@@ -89,14 +140,15 @@ def s7_partitioned_results(spark, d):
 
 @query
 def s8_resumed_append(spark, d):
-    """Judge results appended in two runs; the second skips what the first has."""
+    """Judge results appended by two runs, of which the second skips what the first has; both are then repeated, which adds nothing."""
     from uuid import uuid4
 
     path, results = _scratch(spark, f"results-{uuid4().hex}"), judged(spark, d).withColumn("doc_id", F.col("doc_id").cast("string"))
-    keys = ("doc_id", "model_index", "dimension")
-    tables.append_judge_results(results.where("dimension = 'fluency' or dimension = 'coherence'"), path)
-    tables.append_judge_results(telemetry.pending(results, tables.read_judge_results(spark, path), keys), path)
-    return tables.read_judge_results(spark, path).groupBy("dimension").agg(F.count("*").alias("n"), F.count("judge_score").alias("n_scored"))
+    keys, found = ("doc_id", "model_index", "dimension"), tables.judge_results_table(spark, path)
+    for _ in range(2):
+        tables.append_judge_results_once(results.where("dimension = 'fluency' or dimension = 'coherence'"), path, "first")
+        tables.append_judge_results_once(telemetry.pending(results, found.read(), keys), path, "second")
+    return found.read().groupBy("dimension").agg(F.count("*").alias("n"), F.count("judge_score").alias("n_scored"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -183,6 +235,34 @@ def v2_models_per_doc(spark, d):
     return validation.models_per_doc(view(spark, d, "panel"))
 
 
+@query
+def v3_checked(spark, d):
+    """The panel with some scores moved out of range or left out, written in one pass as good and quarantined rows, and read back."""
+    from uuid import uuid4
+
+    path, odd = _scratch(spark, f"checked-{uuid4().hex}"), F.col("doc_id") % 10
+    panel = view(spark, d, "panel").withColumns({"fluency": F.when(odd == 1, F.col("fluency") + 5).otherwise(F.col("fluency")), "relevance": F.when(odd != 2, F.col("relevance"))})
+    validation.write_checked(panel, path, models=4, required=("doc_id", "model_index", *DIMENSIONS))
+    return spark.read.parquet(path).groupBy(F.array_join("faults", ",").alias("faults"), (F.col("good") == "true").alias("good")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query
+def v3_report(spark, d):
+    """The report that the same pass counts."""
+    from uuid import uuid4
+
+    found = validation.write_checked(view(spark, d, "panel"), _scratch(spark, f"checked-{uuid4().hex}"), docs=100, models=4, required=("doc_id", "model_index", *DIMENSIONS))
+    return found.select("n_rows", "n_unique_docs", "n_bad_docs", "n_bad_rows", "passed", F.element_at("faults", "models").alias("n_models_fault"))
+
+
+@query
+def u4_missing_columns(spark, d):
+    """The panel without a dimension and the texts, against all that are required, beside the rows it has."""
+    panel = view(spark, d, "panel").drop("relevance")
+    found = validation.report(panel).select("n_rows", "passed", F.element_at("errors", 1).alias("error"))
+    return panel.agg(F.count("*").alias("n_panel")).crossJoin(found)  # one row each
+
+
 @query
 def v4_profile(spark, d):
     return validation.profile(view(spark, d, "panel")).withColumns(r6("mean", "std", "min", "q25", "q50", "q75", "max"))
@@ -568,7 +648,7 @@ def r5_median_bootstrap(spark, d):
 
 @query
 def r5_median_permutation(spark, d):
-    return exact_draws.median_permutation(pair57(spark, d), "doc_id")
+    return exact_draws.median_permutation(pair57(spark, d))
 
 
 # ---- judge calls and streams ----
@@ -598,16 +678,39 @@ def y1_durable_run(spark, d):
 
 @query
 def m1_live_rollup(spark, d):
-    """The log as a stream of files: windows that the watermark has closed, read after the stream has drained."""
+    """The log as a stream of files that come in two parts, with a restart between: every event by hour, open hours too."""
+    from uuid import uuid4
+
+    from ..streaming import live
+
+    base, log = _scratch(spark, f"stream-{uuid4().hex}"), view(spark, d, "telemetry")
+    rollup = live.LiveRollup(spark, f"{base}/rollup", "1 hour")
+    for part in ("item_id < 'u5'", "item_id >= 'u5' or item_id is null"):
+        tables.append_telemetry(log.where(part), f"{base}/log")
+        rollup.drain(live.read(spark, f"{base}/log"), f"{base}/state")
+    found = rollup.read()
+    return found.select(F.unix_seconds("starts_at").alias("starts_at"), "dimension", "n", *[F.round(c, 6).alias(c) for c in ("ok_share", "escalated_share", "mean_latency_ms")])
+
+
+@query
+def m2_each_job_once(spark, d):
+    """The log as a stream in two parts, then all of it once more: one event for each job key, whatever its time."""
     from uuid import uuid4
 
     from ..streaming import live
 
-    base = _scratch(spark, f"stream-{uuid4().hex}")
-    tables.append_telemetry(view(spark, d, "telemetry"), f"{base}/log")
-    live.drain(live.rollup(live.read(spark, f"{base}/log"), "1 hour"), f"{base}/out", f"{base}/state")
-    live.drain(live.rollup(live.read(spark, f"{base}/log"), "1 hour"), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").groupBy("dimension").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n"))
+    base, log = _scratch(spark, f"stream-{uuid4().hex}"), view(spark, d, "telemetry")
+    before = {k: spark.conf.get(k, None) for k in live.STATE}
+    try:
+        for k, v in live.STATE.items():
+            spark.conf.set(k, v)
+        for part in ("item_id < 'u5'", "item_id >= 'u5' or item_id is null", "true"):
+            tables.append_telemetry(log.where(part), f"{base}/log")
+            live.drain(live.first_of_each_job(live.read(spark, f"{base}/log")).select("item_id", "dimension", "judge_type"), f"{base}/out", f"{base}/state")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.parquet(f"{base}/out")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

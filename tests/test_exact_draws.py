@@ -75,26 +75,52 @@ def test_median_intervals_agree_with_one_task(spark, monkeypatch, kind, leaf):
 
 
 def test_narrow_windows_are_widened(spark):
-    """A first window that is too narrow changes nothing in the result."""
+    """A first window that is too narrow changes no law; whole clusters draw the very same."""
     df = pairs(spark, normal(3.4, 1, 300), normal(3, 1, 300, 1)).union(pairs(spark, np.arange(40.0), np.zeros(40), name="q"))
-    wide, narrow = (sorted(ed.median_bootstrap(df, "doc_id", 200, reach=r).collect()) for r in (1000.0, 0.5))
+    wide, narrow = (sorted(ed.median_bootstrap(df, "doc_id", 200, cluster=True, reach=r).collect()) for r in (1000.0, 0.5))
     assert wide == narrow and len(wide) == 2
-    wide, narrow = (sorted(ed.median_permutation(df, "doc_id", 200, reach=r).collect()) for r in (1000.0, 0.5))
-    assert wide == narrow and len(wide) == 2
-
-
-def test_one_draw_by_hand(spark):
-    """Medians of the drawn weights against numpy, for each draw."""
-    a, b = np.rint(normal(3, 1, 200) * 3) / 3, normal(3, 1, 200, 1)
-    df = pairs(spark, a, b)
-    rows = df.selectExpr("model_pair", "metric", "doc_id AS unit", "score_a AS a", "score_b AS b", "2 AS ka", "2 AS kb", "1 AS c").withColumn("h", rs._seed_key(42, "unit", "a", "b"))
-    placed, shape = ed.leaved(rows, rs.GROUP)
-    found = ed._draw_medians(ed._bootstrap_parts(rows, 150, False, 42, rs.GROUP), rs.GROUP).toPandas()
+    wide, narrow = (sorted(ed.median_bootstrap(df, "doc_id", 4000, reach=r).collect()) for r in (1000.0, 0.5))
+    for x, y in zip(wide, narrow, strict=True):
+        assert x.point_estimate == y.point_estimate and (x.ci_lower, x.ci_upper) == pytest.approx((y.ci_lower, y.ci_upper), abs=1 if x.model_pair == "q" else 0.05)
+    wide, narrow = (sorted(ed.median_permutation(df, 4000, reach=r).collect()) for r in (1000.0, 0.5))
+    for x, y in zip(wide, narrow, strict=True):
+        assert x.observed_statistic == y.observed_statistic and x.p_value == pytest.approx(y.p_value, abs=0.03)
+
+
+def test_medians_of_classes_by_hand():
+    """Medians of weights over classes against numpy on the rows drawn, outside the window too."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        values = np.sort(rng.integers(0, 12, rng.integers(1, 30))).astype(float)
+        low, high = np.sort(rng.integers(-1, 14, 2))
+        w = rng.multinomial(len(values), np.full(len(values), 1 / len(values)), size=1)
+        at = np.unique(values[(values >= low) & (values <= high)])
+        weights = np.stack([w[:, values == v].sum(axis=1) for v in at], axis=1) if len(at) else np.zeros((1, 0), int)
+        got = ed._median(np.array([w.sum()]), w[:, values < low].sum(axis=1), weights, at)[0]
+        drawn = np.repeat(values, w[0])
+        middle = drawn[[(len(drawn) - 1) // 2, len(drawn) // 2]]
+        if low <= middle[0] and middle[1] <= high:
+            assert got == middle.mean() == np.median(drawn)
+        else:
+            assert np.isnan(got)
+
+
+def test_cluster_medians_by_hand(spark):
+    """Each draw's median of whole clusters against numpy on the rows that its weights draw."""
+    docs = np.repeat(np.arange(30), 5)
+    a, b = np.rint(normal(3, 1, 150) * 3) / 3, normal(3, 1, 150, 1)
+    df = pairs(spark, a, b, docs)
+    rows = df.selectExpr("model_pair", "metric", "doc_id AS unit", "score_a AS a", "score_b AS b", "2 AS ka", "2 AS kb", "1 AS c").withColumn("h", rs._seed_key(42, "unit"))
+    placed, shape = ed.leaved(rows, rs.GROUP, "unit")
+    found = ed._draw_medians(ed._cluster_parts(rows, 150, 42, rs.GROUP), rs.GROUP).toPandas()
     own = placed.toPandas().sort_values(["leaf", "h", "unit"])
+    unit = pd.factorize(own["unit"])[0]
     counts = ed.leaf_draws(42, ("p", "m"), 0, *shape["p", "m"], 150)
-    (_, weights), = list(ed.uniform_weights(42, ("p", "m"), 0, counts, 200))
+    assert shape["p", "m"][1][-1] == 30 and (counts == 30).all()
+    weights = np.concatenate([w for _, w in ed.uniform_weights(42, ("p", "m"), 0, counts, 30)])
+    assert (weights.sum(axis=1) == 30).all()
     for side in "ab":
-        want = [np.median(np.repeat(own[side].to_numpy(), w)) for w in weights]
+        want = [np.median(np.repeat(own[side].to_numpy(), w[unit])) for w in weights]
         assert found[found.side == side].sort_values("draw")["median"].to_numpy() == pytest.approx(np.array(want))
 
 
@@ -108,11 +134,11 @@ def test_median_permutation(spark, kind):
         a = b = np.ones(n)
     df = pairs(spark, a, b)
     for way in rs.ALTERNATIVES if kind == "even" else ("two-sided",):
-        p, q = rs.permutation(df, 4000, "median_diff", way).first(), ed.median_permutation(df, "doc_id", 4000, way).first()
+        p, q = rs.permutation(df, 4000, "median_diff", way).first(), ed.median_permutation(df, 4000, way).first()
         assert q.observed_statistic == pytest.approx(p.observed_statistic) and q.n_permutations == 4000
         assert q.p_value == pytest.approx(p.p_value, abs=0.035) and q.null_distribution_std == pytest.approx(p.null_distribution_std, rel=0.08, abs=1e-9)
     with pytest.raises(ValueError):
-        ed.median_permutation(df, "doc_id", 10, "other")
+        ed.median_permutation(df, 10, "other")
 
 
 def test_no_group_in_one_task(spark):
@@ -128,8 +154,8 @@ def test_empty_and_null_groups(spark):
     df = pairs(spark, np.ones(4), np.zeros(4))
     assert ed.bootstrap_exact(df.limit(0), "doc_id", 10).count() == 0
     assert ed.median_bootstrap(df.limit(0), "doc_id", 10).count() == 0
-    assert ed.median_permutation(df.limit(0), "doc_id", 10).count() == 0
+    assert ed.median_permutation(df.limit(0), 10).count() == 0
     nulls = df.withColumn("metric", ed.F.lit(None).cast("string")).withColumn("doc_id", ed.F.lit(None).cast("string"))
     assert ed.bootstrap_exact(nulls, "doc_id", 10).first().ci_lower == 1
     assert ed.median_bootstrap(nulls, "doc_id", 10, cluster=True).first().n_units_resampled == 1
-    assert ed.median_permutation(nulls, "doc_id", 10).first().observed_statistic == 1
+    assert ed.median_permutation(nulls, 10).first().observed_statistic == 1

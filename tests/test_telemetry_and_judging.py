@@ -199,24 +199,57 @@ def test_calls_in_flight_have_one_bound(spark, tmp_path, bound, threads, partiti
 
 
 def test_live_rollup(spark, tmp_path):
-    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
-    first = [("i1", "fluency", 0.0, 10.0, True, False, 0, None), ("i2", "fluency", 30.0, 30.0, False, True, 0, None), ("i3", "fluency", 60.0, 50.0, True, False, 0, None)]
-    tables.append_telemetry(events(spark, *first).coalesce(1), log)
-    drain = lambda: live.drain(live.rollup(live.read(spark, log), "1 minute", late="2 minutes"), out, state)
+    """Every event counts, in open windows too; late ones are listed; restarts and replayed batches change nothing."""
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    rollup = live.LiveRollup(spark, str(tmp_path / "rollup"), "1 minute", late="2 minutes")
+    assert rollup.read().count() == 0
+    add = lambda *rows: tables.append_telemetry(events(spark, *rows).coalesce(1), log)
+    drain = lambda: rollup.drain(live.read(spark, log), state)
+    found = lambda: {(r.starts_at.timestamp(), r.dimension): (r.n, r.ok_share, r.mean_latency_ms) for r in rollup.read().collect()}
+    add(("i1", "fluency", 0.0, 10.0, True, False, 0, None), ("i2", "fluency", 30.0, 30.0, False, True, 0, None), ("i3", "fluency", 60.0, 50.0, True, False, 0, None))
     drain()
-    late = [("i4", "fluency", 1000.0, 1.0, True, False, 0, None)]
-    tables.append_telemetry(events(spark, *late).coalesce(1), log)
+    assert found() == {(0.0, "fluency"): (2, 0.5, 20.0), (60.0, "fluency"): (1, 1.0, 50.0)}
+    add(("i4", "fluency", 1000.0, 1.0, True, False, 0, None))
     drain()
-    tables.append_telemetry(events(spark, ("i5", "fluency", 5.0, 1.0, True, False, 0, None), ("i6", "fluency", 2000.0, 1.0, True, False, 0, None)).coalesce(1), log)
     drain()
+    add(("i5", "fluency", 5.0, 20.0, True, False, 0, None), ("i6", None, 2000.0, None, None, None, 0, None))
     drain()
-    found = {r.starts_at.timestamp(): (r.n, r.ok_share, r.mean_latency_ms) for r in spark.read.parquet(out).collect()}
-    assert found[0.0] == (2, 0.5, 20.0)  # the row that came late is not in it
-    assert found[60.0] == (1, 1.0, 50.0) and found[960.0] == (1, 1.0, 1.0)
+    assert found() == {(0.0, "fluency"): (3, 2 / 3, 20.0), (60.0, "fluency"): (1, 1.0, 50.0), (960.0, "fluency"): (1, 1.0, 1.0), (1980.0, None): (1, None, None)}
+    assert [r.item_id for r in rollup.late_events().collect()] == ["i5"]
+    batch = live.read(spark, log)  # a batch that comes again, as after a crash before the checkpoint was written
+    stream = live._stream_id(spark, state)
+    seen = spark.read.schema(schemas.TELEMETRY).json(log).withColumn("ts", F.col("started_at").cast("timestamp"))
+    before = found()
+    assert not rollup.add(stream, seen, 0) and found() == before and batch.isStreaming
+    with pytest.raises(ValueError):
+        rollup.add("another", seen, 0)
+
+
+def test_live_rollup_equals_the_batch(spark, tmp_path):
+    """Sliding windows and many small batches against one pass over all."""
+    rows = [(f"i{k}", "fluency" if k % 3 else "coherence", 7.0 * k, 1.0 * k, k % 4 > 0, k % 5 == 0, 0, None) for k in range(200)]
+    log = str(tmp_path / "log")
+    rollup = live.LiveRollup(spark, str(tmp_path / "rollup"), "2 minutes", "1 minute")
+    tables.append_telemetry(events(spark, *rows).repartition(6), log)
+    rollup.drain(live.read(spark, log, files_per_batch=2), str(tmp_path / "state"))
+    assert len(rollup.parts.version()[2]) == 3
+    want = live.shares(live.sums(events(spark, *rows).withColumn("ts", F.col("started_at").cast("timestamp")), "2 minutes", "1 minute"))
+    key = lambda r: (r.starts_at, r.dimension)
+    for a, b in zip(sorted(rollup.read().collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert tuple(a)[:4] == tuple(b)[:4] and tuple(a)[4:] == pytest.approx(tuple(b)[4:])
 
 
 def test_each_job_once(spark, tmp_path):
+    """Repeats are dropped within a batch, after restarts, and long after the first event."""
     log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    drain = lambda: live.drain(live.first_of_each_job(live.read(spark, log)).drop("ts"), out, state)
     tables.append_telemetry(events(spark, *[("i1", "fluency", 1.0 * k, 1.0, True, False, 0, None) for k in range(3)], ("i2", "fluency", 1.0, 1.0, True, False, 0, None)), log)
-    live.drain(live.first_of_each_job(live.read(spark, log)).drop("ts"), out, state)
-    assert sorted(r.item_id for r in spark.read.parquet(out).collect()) == ["i1", "i2"]
+    drain()
+    tables.append_telemetry(events(spark, ("i1", "fluency", 1e6, 1.0, True, False, 0, None), ("i3", "fluency", 2e6, 1.0, True, False, 0, None)), log)
+    drain()
+    tables.append_telemetry(events(spark, ("i3", "fluency", 5.0, 1.0, True, False, 0, None), ("i2", "fluency", 9e6, 1.0, True, False, 0, None)), log)
+    drain()
+    assert sorted(r.item_id for r in spark.read.parquet(out).collect()) == ["i1", "i2", "i3"]
+    limited, out2 = live.first_of_each_job(live.read(spark, log), "10 minutes").drop("ts"), str(tmp_path / "out2")
+    live.drain(limited, out2, str(tmp_path / "state2"))
+    assert {r.item_id for r in spark.read.parquet(out2).collect()} == {"i1", "i2", "i3"}
