@@ -142,26 +142,14 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: lis
     counts = placed.groupBy("shard", "block", "cell").agg(F.count("*").alias("n"))
     first = counts.select("block", "cell", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("block", "cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     nth = F.row_number().over(W.partitionBy("block", "cell").orderBy(*IN_CELL)) - 1
-    return placed.withColumn("nth", nth).join(first, ["block", "cell"]).select("doc_id", "size", "text_crc32", "block", "old_shard", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), (F.col("old_shard") != F.col("shard")).alias("moved"))
-
-
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, text_col: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """Write the rows of affected shards (those that lose or gain a block) to ``path``/shard=N.
-
-    A shard that neither loses nor gains a block keeps its files. Returns the affected shards.
-    """
-    places = table(plan.select("block", "old_shard", "shard").distinct(), "places")  # a row for each block at most
-    affected = places.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    wanted = places.join(affected, "shard", "left_semi").select(F.col("block").alias("_block"), "shard")
-    rows = docs.withColumn("_block", block_of(text_col, blocks)).join(F.broadcast(wanted), "_block").drop("_block")
-    rows.write.partitionBy("shard").parquet(path)
-    return affected
+    return placed.withColumn("nth", nth).join(first, ["block", "cell"]).select("doc_id", "size", "text_crc32", "block", "old_shard", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"), (F.col("old_shard") != F.col("shard")).alias("moved")).withMetadata("block", {"blocks": blocks})
 
 
 def rewrite_in_order(docs: DataFrame, plan: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Write the affected shards with their texts to ``path``/shard=N, rows in slot order, and read their places back from the files.
 
-    ``plan``: a stored table of :func:`reshard`. A row's block and cell come from its own id and text, so only the
+    ``plan``: a stored table of :func:`reshard` over these documents, whose column ``block`` tells the number of blocks; if the files
+    don't hold every row that the plan gives them, that is an error (ValueError). A row's block and cell come from its own id and text, so only the
     cells' first slots are joined to the texts, and the texts go through one shuffle, by runs of slots of some
     CELL_ROWS rows; no task writes a whole shard. Returns doc_id, size, text_crc32, shard and slot; the first
     three are computed from the texts in the files, and for shards that keep theirs from the documents.
@@ -169,16 +157,20 @@ def rewrite_in_order(docs: DataFrame, plan: DataFrame, path: str, text_col: str
     named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     crc = lambda: F.crc32(text_or_empty().cast("binary"))
     size = lambda: (F.octet_length(text_or_empty()) + 1).cast("long")
+    count = plan.schema["block"].metadata.get("blocks", BLOCKS)
     # a row for each block
     blocks = table(plan.groupBy("block").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"), F.first("old_shard").alias("old_shard"), F.first("shard").alias("shard")), "cells")
     affected = blocks.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     changed = F.broadcast(blocks.join(affected, "shard", "left_semi").select("block", "cells", "shard"))
     starts = table(plan.select("block", "slot", *IN_CELL).join(changed, "block").withColumn("cell", cell_of()).groupBy("block", "cell").agg(F.min("slot").alias("first")), "starts")
-    rows = named.withColumns({"text_crc32": crc(), "size": size(), "block": block_of()}).join(changed, "block").withColumn("cell", cell_of())
+    rows = named.withColumns({"text_crc32": crc(), "size": size(), "block": block_of(blocks=count)}).join(changed, "block").withColumn("cell", cell_of())
     placed = rows.join(bounded(starts, BROADCAST_ROWS), ["block", "cell"]).withColumn("run", F.floor(F.col("first") / CELL_ROWS)).repartition("shard", "run")
     nth = F.row_number().over(W.partitionBy("shard", "run", "block", "cell").orderBy(*IN_CELL)) - 1
     with freeing(docs.sparkSession):
         placed.withColumn("slot", F.col("first") + nth).sortWithinPartitions("shard", "slot").select("doc_id", "text", "slot", "shard").write.partitionBy("shard").parquet(path)
     read = docs.sparkSession.read.schema(named.schema.add("slot", "long").add("shard", "integer")).parquet(path)
     stays = plan.join(F.broadcast(affected), "shard", "left_anti").select("doc_id", "size", "text_crc32", "shard", "slot")
+    written, planned = read.count(), plan.join(F.broadcast(affected), "shard", "left_semi").count()
+    if written != planned:
+        raise ValueError(f"{written} rows were written and {planned} planned: the plan is of other documents or blocks")
     return read.select("doc_id", size().alias("size"), crc().alias("text_crc32"), "shard", "slot").unionByName(stays)

@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 from judge_jobs.llm import sharding
-from judge_jobs.llm.common import shared_dir
+from judge_jobs.llm.common import shared_dir, table
 from pyspark.sql import functions as F
 
 
@@ -91,15 +91,24 @@ def test_hot_text_stays_whole(spark):
 
 def test_rewrite_touches_affected_shards(spark, docs):
     old = F.pmod(F.col("block"), F.lit(4))
-    plan = sharding.reshard(docs, old, shards=4, capacities=[10**9] * 4)
+    plan, path = table(sharding.reshard(docs, old, shards=4, capacities=[10**9] * 4), "plan"), shared_dir(spark, "shards")
     assert plan.where("moved").count() == 0
-    path = shared_dir(spark, "shards")
-    assert sharding.rewrite(docs, plan, path).count() == 0
-    plan = sharding.reshard(docs, F.lit(0), shards=2)
-    path = shared_dir(spark, "shards")
-    assert {r.shard for r in sharding.rewrite(docs, plan, path).collect()} == {0, 1}
-    got = {(r.doc_id, r.shard) for r in spark.read.parquet(path).select("doc_id", "shard").collect()}
-    assert got == {(r.doc_id, r.shard) for r in plan.collect()}
+    assert sharding.rewrite_in_order(docs, plan, path).count() == docs.count()
+    assert spark.read.schema("doc_id long").parquet(path).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 16, 500])
+def test_any_number_of_blocks(spark, docs, blocks):
+    plan, path = table(sharding.reshard(docs, F.lit(0), shards=2, blocks=blocks), "plan"), shared_dir(spark, "shards")
+    got = {(r.doc_id, r.shard, r.slot) for r in sharding.rewrite_in_order(docs, plan, path).collect()}
+    assert got == {(r.doc_id, r.shard, r.slot) for r in plan.collect()} and len(got) == docs.count()
+    if blocks == 1:  # the one block stays where it is
+        return
+    other = plan.withMetadata("block", {"blocks": 4096})
+    with pytest.raises(ValueError, match="planned"):
+        sharding.rewrite_in_order(docs, other, shared_dir(spark, "shards"))
+    with pytest.raises(ValueError, match="planned"):
+        sharding.rewrite_in_order(docs.where("doc_id > 100"), plan, shared_dir(spark, "shards"))
 
 
 def test_edges(empty, odd):
