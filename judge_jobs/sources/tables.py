@@ -30,10 +30,10 @@ def read_quarantined(spark: SparkSession, paths: str | list[str], schema: T.Stru
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} | (_CSV if form == "csv" else {})
     rows = spark.read.schema(wide).options(**options).format(form).load(paths)
-    # Spark refuses to ask for the record column alone, so the filter looks at the others too
+    # a field that isn't read isn't checked, and the record column alone can't be asked for: both filters look at all
     read = F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in schema.names])) >= 0
     bad = rows.where(F.col(CORRUPT).isNotNull() & read).select(CORRUPT, F.input_file_name().alias("file"))
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
+    return rows.where(F.col(CORRUPT).isNull() & read).drop(CORRUPT), bad
 
 
 def read_drifted(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
@@ -93,8 +93,8 @@ def read_committed_telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Replace a small result table by one with a header."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    """Replace a small result table by one with a header; white space around values stays."""
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_results(df: DataFrame, path: str, by: tuple[str, ...] = ("model_pair", "metric")) -> None:

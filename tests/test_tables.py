@@ -79,6 +79,49 @@ def test_summary_glob(spark, tmp_path):
     assert tables.read_summaries(spark, str(tmp_path / "*.csv")).columns == schemas.SENSITIVITY.fieldNames()
 
 
+def test_quarantine(spark, tmp_path):
+    """Records that don't fit go aside whole, whatever columns are asked for."""
+    (tmp_path / "r.csv").write_text("dimension,n,pearson_r\nfluency,5,0.5\ncoherence,many,0.25\n\"a,b\",,\n")
+    schema = "dimension string, n long, pearson_r double"
+    good, bad = tables.read_quarantined(spark, str(tmp_path / "r.csv"), spark.createDataFrame([], schema).schema)
+    assert sorted(map(tuple, good.collect()), key=str) == [("a,b", None, None), ("fluency", 5, 0.5)]
+    assert good.count() == 2 and good.select("dimension").count() == 2
+    assert [r._corrupt_record for r in bad.collect()] == ["coherence,many,0.25"] and bad.count() == 1
+    (tmp_path / "r.json").write_text('{"dimension": "fluency", "n": 5}\n{broken\n')
+    good, bad = tables.read_quarantined(spark, str(tmp_path / "r.json"), good.schema, "json")
+    assert [tuple(r) for r in good.collect()] == [("fluency", 5, None)] and [r._corrupt_record for r in bad.collect()] == ["{broken"]
+
+
+def test_drifted_headers(spark, tmp_path):
+    (tmp_path / "a_s.csv").write_text("model_pair,metric,sample_size\nm1,fluency,25\n")
+    (tmp_path / "b_s.csv").write_text("sample_size,extra,metric\n50,x,coherence\n")
+    (tmp_path / "c_s.csv").write_text("model_pair,metric,sample_size\nm2,fluency,100\n")
+    found = tables.read_summaries(spark, str(tmp_path / "*_s.csv"))
+    assert found.columns == schemas.SENSITIVITY.fieldNames()
+    assert sorted((str(r.model_pair), r.metric, r.sample_size) for r in found.collect()) == [("None", "coherence", 50), ("m1", "fluency", 25), ("m2", "fluency", 100)]
+
+
+def test_checked_in_one_pass(spark, tmp_path):
+    """Good and bad rows are written at once, with a report of the same pass; every bad document is in the table."""
+    long = reshape.to_long(raw(spark, 40))
+    bad = long.withColumns({"coherence": F.when(F.col("doc_id") == "d0", 7.0).otherwise(F.col("coherence")), "summary": F.when((F.col("model_index") == 1) & (F.col("doc_id") == "d1"), " ").otherwise(F.col("summary"))})
+    bad = bad.where("not (doc_id in ('d2', 'd3') and model_index = 0)").unionByName(long.where("doc_id = 'd4'").withColumn("doc_id", F.lit(None).cast("string")))
+    path = str(tmp_path / "checked")
+    found = validation.write_checked(bad, path, docs=40, models=4).first()
+    assert (found.n_rows, found.n_unique_docs, found.n_bad_docs, found.passed) == (162, 40, 2, False)
+    assert found.faults == {"null_doc_id": 4, "out_coherence": 4, "blank": 1, "models": 6} and found.n_bad_rows == 15
+    held = spark.read.parquet(path)
+    assert {r.doc_id for r in held.where(F.array_contains("faults", "models")).collect()} == {"d2", "d3"}
+    assert held.where("good = 'true'").count() == 147 and held.where("good = 'true' and size(faults) > 0").count() == 0
+    assert validation.write_checked(long, path, docs=40, models=4).first().passed
+    with pytest.raises(ValueError, match="missing columns"):
+        validation.checked(long.drop("fluency"))
+    plan = validation.checked(bad)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0
+    empty = validation.write_checked(long.limit(0), path, docs=0, models=4).first()
+    assert (empty.n_rows, empty.passed) == (0, True)
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 8])
 def test_samples_do_not_depend_on_partitions(spark, partitions):
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("model_index")).repartition(partitions)
