@@ -161,14 +161,19 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, **colu
     Returns doc_id, item_id, n_shared, n_item (distinct shingles of the item, those in the document and
     all) and containment. Texts are normalised as in line deduplication (ASCII case and punctuation don't matter).
 
-    Null or wordless texts match nothing. Null ids are kept. Repeated rows and repeated items match each.
+    Null or wordless texts match nothing. Null ids are kept. Repeated rows and repeated items match each. A text of any
+    length is shingled whole, in one task.
     Other columns are not read. An empty table on either side gives no rows.
     """
     return _matches(docs, items, least, **columns).drop("tag")
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", id_col: str = "doc_id", **columns) -> DataFrame:
-    """The documents without any such match: the input's rows and columns."""
+    """The documents without any such match: the input's rows and columns.
+
+    Null, empty and wordless texts stay, repeated rows stay or go together, null ids are told apart by their texts. Clashing
+    names do no harm, since a row travels as one value. Empty tables: no documents, or no items and all documents stay.
+    """
     found = table(_matches(docs, items, least, text_col=text_col, id_col=id_col, **columns).select("doc_id", "tag").distinct(), "matches")
     tagged = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("d"), F.xxhash64(docs[f"`{text_col}`"]).alias("t"))
     kept = tagged.join(bounded(found, 500_000), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tag")), "left_anti")

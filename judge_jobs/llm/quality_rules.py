@@ -174,8 +174,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Statistics and verdict of each document: doc_id, the five counts, base_failed, distance, kept.
 
     The texts are read once; everything after works on the stored narrow table. Other columns of
-    ``docs`` are not read and may have any name. Null text: no words, so base_failed. An empty table
-    gives no rows. Repeated rows are judged each; equal rows get equal verdicts.
+    ``docs`` are not read and may have any name. Null text: no words, so base_failed. A text of any length is
+    counted whole, in one task. An empty table gives no rows. Repeated rows are judged each; equal rows get equal verdicts.
     """
     named = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in ((id_col, "doc_id"), (text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     stats = statistics(named).select("doc_id", "lang", "source", *COUNTS)
@@ -183,7 +183,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that :func:`judge` keeps: the input's rows and columns. Rows are told apart by id, text, language and source."""
+    """The documents that :func:`judge` keeps: the input's rows and columns. Rows are told apart by id, text, language and source.
+
+    Null and empty texts go (they fail the base rules), repeated rows stay or go together, null ids, languages and sources are values
+    like others. Clashing names do no harm, since a row travels as one value. An empty table gives no rows.
+    """
     mark = F.xxhash64(*[docs[f"`{c}`"] for c in (text_col, lang_col, source_col)])
     named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].alias("lang"), docs[f"`{source_col}`"].alias("source"), mark.alias("mark"))
     stats = table(statistics(named).select("doc_id", "mark", "lang", "source", *COUNTS), "statistics")

@@ -28,7 +28,11 @@ PATTERNS = {
 
 
 def counts(docs: DataFrame, counters: dict[str, Column] | None = None, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens: a row for each document and counter. Null text has no tokens."""
+    """doc_id, source, lang, tokenizer, n_tokens: a row for each document and counter.
+
+    Null and empty texts have no tokens, null ids and keys are kept, repeated rows count each, a text of any length is counted whole,
+    other columns aren't read, and an empty table gives no rows.
+    """
     text = text_or_empty(text_col)
     counters = counters or {name: F.regexp_count(text, F.lit(p)) for name, p in PATTERNS.items()}
     each = F.array(*[F.struct(F.lit(name).alias("tokenizer"), n.cast("long").alias("n_tokens")) for name, n in counters.items()])
@@ -127,7 +131,7 @@ def maintained(docs: DataFrame, path: str) -> DataFrame:
 
     Batch 1 inserts every document under each counter. Batch 2 deletes those whose id ends in 3.
     Batch 3 counts every seventh of the rest (id modulo 7 is 1) anew, with an end token. Then batch 2
-    is delivered again. Returns the totals.
+    is delivered again. Returns the totals. Null ids are never deleted or counted again; for the rest see :func:`counts`.
     """
     first = table(counts(docs), "counts")
     gone = F.coalesce(F.col("doc_id") % 10 == 3, F.lit(False))

@@ -122,7 +122,8 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: lis
     ``slot`` numbers a shard's rows from 0 without gaps: blocks in order, and within a block cells of
     some ``CELL_ROWS`` rows each, so that no task numbers a whole shard or a hot block.
 
-    Null text: no bytes, crc 0. Null ids and repeated rows are placed like any other. Other columns
+    Null text: no bytes, crc 0. Null ids and repeated rows are placed like any other. A text of any length is one row of one
+    block and is read whole, in one task. Other columns
     of ``docs`` are not read. An empty table gives no rows.
     """
     text = text_or_empty(text_col)

@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, text_col: str = "text", id_col:
     Equal fingerprints are one node however many documents share them, so copies never make pairs.
     Texts without words all have fingerprint zero and are linked like any other. Null text: no words.
     Null ids are kept; they take the group's smallest id, or null if it has none. Repeated rows come
-    back each. Other columns of ``docs`` are not read. An empty table gives no rows.
+    back each. A text of any length is hashed whole, in one task. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     return _grouped(docs, n, text_col, id_col).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -253,7 +253,7 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
     texts of the same words, and those with the same fingerprint in all views, are one to begin with.
     Candidates come from the Golay keys of three independent fingerprints and are verified on the
     sets, so nothing is removed that isn't similar to what stays or to a chain of removed ones. A pair
-    at the limit is met with a chance of some 0.8, a closer one more surely (see README).
+    at the limit is met with a chance of some 0.97, a closer one more surely (README has the figures).
 
     Columns and values are the input's. Null texts count as empty; texts without words are one group.
     Of rows with equal id and text one stays, that with the smallest other values. An empty table gives

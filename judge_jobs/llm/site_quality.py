@@ -169,7 +169,7 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str
 
     ``labels`` has doc_id and quality (1 good, 0 not); several labels of a document are averaged, nulls
     ignored. Without labels every document's evidence is 0. Null text has no words; null ids are scored
-    like others. Repeated rows count each. Other columns are not read. An empty table gives no rows.
+    like others. Repeated rows count each. A text of any length is read whole, in one task. Other columns are not read. An empty table gives no rows.
     """
     named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{host_col}`"].cast("string").alias("host"), docs[f"`{path_col}`"].cast("string").alias("path"), docs[f"`{text_col}`"].alias("text"))
     weights, middle = train(named, labels.select(F.col("doc_id").cast("long"), "quality"))

@@ -193,7 +193,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     one space; null where nothing was removed, as the text itself is at hand then, and empty where all was).
 
     Null text: no words. Rows that share an id don't remove from each other; rows with a null id lose
-    nothing and take nothing. Texts of fewer than 50 words have no windows. Other columns of ``docs``
+    nothing and take nothing. Texts of fewer than 50 words have no windows; one of any length is cut into words whole,
+    in one task. Repeated rows keep the same words each. Other columns of ``docs``
     are not read. An empty table gives no rows.
     """
     named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
