@@ -1,53 +1,58 @@
-"""Two-sided p-value of a correlation coefficient, for a few result rows at a time."""
+"""Two-sided p-value of a correlation coefficient, in built-in expressions."""
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    out = d
-    for m in range(1, 500):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + top / c
-            c = c if abs(c) > tiny else tiny
-            out *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
+#: Half-steps of the continued fraction; the slowest cases (p near 0.07 over a million pairs) take some 110.
+STEPS = 400
+#: Steps by which a half-integer gamma ratio is moved to where its series holds to the last digits.
+SHIFT = 16
+#: The series of log gamma(z + 1/2) - log gamma(z) - log(z) / 2 by odd powers of 1 / z.
+GAMMA_SERIES = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
+
+
+def log_gamma_step(a: Column) -> Column:
+    """log gamma(a + 1/2) - log gamma(a), without the difference of two large numbers."""
+    z = a + SHIFT
+    out = F.log(z) / 2
+    for k, c in enumerate(GAMMA_SERIES):
+        out = out + F.lit(c) / F.pow(z, F.lit(2 * k + 1))
+    for k in range(SHIFT):
+        out = out + F.log((a + k) / (a + (k + 0.5)))
     return out
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _fraction(b, a, 1 - x) / b
-
+def beta_fraction(a: Column, b: Column, x: Column, steps: int = STEPS) -> Column:
+    """Continued fraction of the incomplete beta function, evaluated from the front by a fold over its terms."""
+    away = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(F.lit(1e-300))
 
-def p_of_r(r: float | None, n: int | None) -> float | None:
-    """P-value of correlation r over n pairs under Student's t with n - 2 degrees; null without one. Two pairs: 1."""
-    if r is None or n is None or math.isnan(r) or n < 2:
-        return None
-    if n == 2:
-        return 1.0
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    return incomplete_beta(df / 2, 0.5, 1 - r * r)
+    def term(k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.when(k % 2 == 0, even).otherwise(odd)
 
+    def step(s: Column, k: Column) -> Column:
+        t = term(k)
+        d, c = F.lit(1.0) / away(1 + t * s["d"]), away(1 + t / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["out"] * d * c).alias("out"))
 
-def correlation_p(r: Column, n: Column) -> Column:
-    """P-value column; vectorised, over result rows."""
+    first = F.lit(1.0) / away(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("out"))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(steps + 1)), start, step)["out"]
 
-    def run(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([p_of_r(None if pd.isna(a) else float(a), None if pd.isna(b) else int(b)) for a, b in zip(r, n)], dtype="float64")
 
-    return F.pandas_udf(run, "double")(r, n)
+def correlation_p(r: Column, n: Column) -> Column:
+    """P-value of correlation ``r`` over ``n`` pairs under Student's t with n - 2 degrees of freedom.
+
+    Null without a correlation or with fewer than two pairs; two pairs give 1, a perfect correlation of more gives 0.
+    """
+    a, half = (n.cast("double") - 2) / 2, F.lit(0.5)
+    square = r * r
+    front = F.exp(log_gamma_step(a) - 0.5 * math.log(math.pi) + a * F.log1p(-square) + F.log(square) / 2)
+    tail = 1 - square < (a + 1) / (a + 2.5)
+    p = F.when(tail, front * beta_fraction(a, half, 1 - square) / a).otherwise(1 - 2 * front * beta_fraction(half, a, square))
+    known = r.isNotNull() & ~F.isnan(r) & (n >= 2)
+    return F.when(known, F.when(n == 2, 1.0).when(F.abs(r) >= 1, 0.0).when(r == 0, 1.0).otherwise(p))

@@ -79,8 +79,12 @@ _SHARED = {name: views.sql(name, "duckdb") for name in views.NAMES} | {
     "agreement": """SELECT dimension, count(*) AS n, corr(judge_score, human_score) AS pearson_r, corr(rj, rh) AS spearman_r, avg(abs(judge_score - human_score)) AS mae, avg(judge_score - human_score) AS mse
         FROM (SELECT *, rank() OVER (PARTITION BY dimension ORDER BY judge_score) + (count(*) OVER (PARTITION BY dimension, judge_score) - 1) / 2.0 AS rj,
             rank() OVER (PARTITION BY dimension ORDER BY human_score) + (count(*) OVER (PARTITION BY dimension, human_score) - 1) / 2.0 AS rh FROM scored) GROUP BY ALL HAVING count(*) >= 2""",
-    # trusted as far as SQL can tell: at these sizes a correlation of 0.3 is significant beyond doubt
-    "trusted": "SELECT dimension, abs(pearson_r) >= 0.3 AS trusted FROM agreement",
+    # the tail of the density of r by Simpson's rule, over 20,000 parts of what lies within forty standard deviations
+    "tails": f"""SELECT dimension, {', '.join(f"""CASE WHEN n = 2 THEN 1.0 WHEN abs({r}) >= 1 THEN 0.0 ELSE 2 * exp(lgamma(n / 2 - 0.5) - lgamma(n / 2 - 1) - 0.5 * ln(pi())) * sum(w * pow(1 - pow(least(abs({r}) + i * (top_{r} - abs({r})) / 20000, 1.0), 2), n / 2 - 2)) * any_value(top_{r} - abs({r})) / 60000 END AS {p}""" for r, p in (("pearson_r", "pearson_p"), ("spearman_r", "spearman_p")))}
+        FROM (SELECT *, least(1.0, abs(pearson_r) + 40 / sqrt(n)) AS top_pearson_r, least(1.0, abs(spearman_r) + 40 / sqrt(n)) AS top_spearman_r FROM agreement),
+            (SELECT i, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, 20001) AS t(i)) GROUP BY dimension, n, pearson_r, spearman_r""",
+    "calibrated": "SELECT * FROM agreement JOIN tails USING (dimension)",
+    "trusted": "SELECT dimension, abs(pearson_r) >= 0.3 AND pearson_p < 0.05 AS trusted FROM calibrated",
     "ends": "SELECT min(started_at) AS t0, max(started_at) AS t1, greatest(max(started_at) - min(started_at), 1e-6) / 20 AS width FROM telemetry",
 }
 
@@ -267,3 +271,11 @@ put(
     f"SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_unique_docs, count(DISTINCT CASE WHEN m <> 4 THEN doc_id END) AS n_bad_docs, count(*) FILTER (m <> 4) AS n_bad_rows, false AS passed, count(*) FILTER (m <> 4) AS n_models_fault FROM panel JOIN {_MODELS} USING (doc_id)",
 )
 put("u4_missing_columns", "SELECT count(*) AS n_panel, CAST(0 AS BIGINT) AS n_rows, false AS passed, 'missing columns: [''article'', ''summary'', ''relevance'']' AS error FROM panel")
+put("g3_calibration_p", "SELECT dimension, n, round(pearson_r, 6) AS pearson_r, round(pearson_p, 6) AS pearson_p, round(spearman_r, 6) AS spearman_r, round(spearman_p, 6) AS spearman_p, round(mae, 6) AS mean_absolute_error, round(mse, 6) AS mean_signed_error FROM calibrated")
+put(
+    "e1_policy",
+    """SELECT dimension, round(pearson_r, 6) AS pearson_r, round(pearson_p, 6) AS pearson_p, n, trusted,
+        CASE WHEN pearson_p >= 0.05 THEN printf('not statistically significant (p=%.4f >= 0.05)', pearson_p) WHEN abs(pearson_r) < 0.3 THEN printf('correlation too weak (|r|=%.3f < 0.3)', abs(pearson_r))
+          ELSE printf('significant (p=%.4f) and sufficiently strong (r=%.3f)', pearson_p, pearson_r) END AS reason
+    FROM calibrated JOIN trusted USING (dimension)""",
+)

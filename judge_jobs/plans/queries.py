@@ -354,8 +354,8 @@ def g1_g2_calibration(spark, d):
 
 @query
 def g3_calibration_p(spark, d):
-    """With p-values; SQL has no t distribution."""
-    return cal.by_dimension(judged(spark, d)).withColumns(r6("pearson_r", "spearman_r", "mean_absolute_error", "mean_signed_error"))
+    """With p-values."""
+    return cal.by_dimension(judged(spark, d)).withColumns(r6("pearson_r", "pearson_p", "spearman_r", "spearman_p", "mean_absolute_error", "mean_signed_error"))
 
 
 @query
@@ -586,8 +586,8 @@ def k3_without_tie_break(spark, d):
 
 @query
 def e1_policy(spark, d):
-    """Trust and reasons; the p-values come from a helper."""
-    return _policy(spark, d).withColumns(r6("pearson_r"))
+    """Trust and reasons."""
+    return _policy(spark, d).withColumns(r6("pearson_r", "pearson_p"))
 
 
 @query

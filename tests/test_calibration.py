@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from judge_jobs.functions.significance import p_of_r
+from judge_jobs.functions.significance import correlation_p
 from judge_jobs.operators import calibration as cal
 from pyspark.sql import functions as F
 
@@ -39,13 +39,47 @@ def test_spearman_with_ties(spark):
     assert metrics(spark, [("d", float(x), y) for x, y in zip(a, b)])["d"].spearman_r == pytest.approx(want)
 
 
-@pytest.mark.parametrize(("r", "p"), [(0.5504, 2.98e-9), (0.5507, 2.93e-9), (0.1550, 0.1235), (0.4826, 3.69e-7)])
-def test_published_p_values(r, p):
-    assert p_of_r(r, 100) == pytest.approx(p, rel=0.02)
+def p_values(spark, *cases):
+    rows = spark.createDataFrame([(k, r, n) for k, (r, n) in enumerate(cases)], "k int, r double, n long")
+    return [x.p for x in rows.coalesce(1).select("k", correlation_p(F.col("r"), F.col("n")).alias("p")).orderBy("k").collect()]
 
 
-def test_p_edges():
-    assert p_of_r(1.0, 10) == 0 and p_of_r(0.0, 10) == pytest.approx(1) and p_of_r(0.3, 2) == 1 and p_of_r(None, 5) is None and p_of_r(0.5, 1) is None
+def test_published_p_values(spark):
+    cases = {0.5504: 2.98e-9, 0.5507: 2.93e-9, 0.1550: 0.1235, 0.4826: 3.69e-7}
+    assert p_values(spark, *[(r, 100) for r in cases]) == [pytest.approx(p, rel=0.02) for p in cases.values()]
+
+
+def integrated(r, n):
+    """The same tail by Simpson's rule over the density of r."""
+    import numpy as np
+
+    a = (n - 2) / 2
+    top = min(1.0, abs(r) + 40 / math.sqrt(n)) if n > 50 else 1.0
+    # u = 1 - v^2 takes the edge off the density where a is below 1
+    v = np.linspace(math.sqrt(1 - top), math.sqrt(1 - abs(r)), 200_001)
+    f = (v * v * (2 - v * v)) ** (a - 1) * 2 * v if a != 1 else 2 * v
+    f = np.where(np.isfinite(f), f, 2 * math.sqrt(2) if a == 0.5 else 0)
+    w = np.ones(len(v))
+    w[1:-1:2], w[2:-1:2] = 4, 2
+    area = float((f * w).sum() * (v[1] - v[0]) / 3)
+    return 2 * area * math.exp(math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(math.pi))
+
+
+def test_p_values_against_integration(spark):
+    cases = [(r, n) for n in (3, 4, 5, 10, 47, 1000, 100_000) for r in (0.001, -0.01, 0.05, 0.3, -0.7, 0.95)]
+    for (r, n), p in zip(cases, p_values(spark, *cases), strict=True):
+        assert p == pytest.approx(integrated(r, n), rel=2e-5, abs=1e-280), (r, n)
+    large = p_values(spark, *[(t / 1e4, 10**8) for t in (0.01, 0.5, 1.2, 1.8, 2.5, 6)])
+    assert large == [pytest.approx(math.erfc(t / math.sqrt(2)), rel=2e-5) for t in (0.01, 0.5, 1.2, 1.8, 2.5, 6)]
+
+
+def test_p_edges(spark):
+    assert p_values(spark, (1.0, 10), (-1.0, 3), (0.0, 10), (0.3, 2), (None, 5), (0.5, 1), (float("nan"), 9), (0.5, None)) == [0, 0, 1, 1, None, None, None, None]
+
+
+def test_no_python_worker_in_the_policy(spark):
+    policy = cal.policy(cal.by_dimension(spark.createDataFrame([("a", 1.0, 2.0)], SCHEMA)))
+    assert "Python" not in policy._jdf.queryExecution().executedPlan().toString()
 
 
 RESULTS = [("coherence", 0.55, 1e-9, 100), ("consistency", 0.55, 1e-9, 100), ("fluency", 0.155, 0.123, 100), ("relevance", 0.48, 1e-6, 100), ("weak", 0.1, 0.001, 10000)]

@@ -16,7 +16,7 @@ def test_every_sql_has_its_query():
 
 
 CHECKED = ("g1_g2_calibration", "j6_both_orders", "k3_k5_debiased", "x4_parse_score", "x9_verbose_variant", "g19_latency_percentiles", "p10_contract")
-CHECKED += ("s1_read_raw", "s2_read_csv", "s3_read_summaries", "s5_committed_append", "s8_resumed_append", "u4_missing_columns", "v3_checked", "v3_report", "v4_profile", "w6_average_ranks", "j5_partly_done", "m1_live_rollup", "m2_each_job_once", "y1_durable_run", "x6_parse_reasoned_verdict")
+CHECKED += ("s1_read_raw", "s2_read_csv", "s3_read_summaries", "s5_committed_append", "s8_resumed_append", "u4_missing_columns", "v3_checked", "v3_report", "v4_profile", "w6_average_ranks", "j5_partly_done", "m1_live_rollup", "m2_each_job_once", "y1_durable_run", "x6_parse_reasoned_verdict", "g3_calibration_p", "e1_policy", "e2_annotated", "g12_escalation")
 
 
 @pytest.mark.parametrize("name", CHECKED)

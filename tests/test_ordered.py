@@ -12,7 +12,7 @@ def rows(spark, kind, n=900, seed=0):
 
 
 @pytest.mark.parametrize("kind", ["continuous", "whole", "one", "skewed"])
-@pytest.mark.parametrize("parts", [2, 17, 18, 256])
+@pytest.mark.parametrize("parts", [2, 18, 256])
 def test_running_counts(spark, kind, parts):
     frame = rows(spark, kind)
     counted = spark.createDataFrame(frame).groupBy("g", "v").count()
@@ -22,7 +22,7 @@ def test_running_counts(spark, kind, parts):
 
 
 @pytest.mark.parametrize("kind", ["continuous", "whole", "one", "skewed"])
-@pytest.mark.parametrize("around", [0.0, 0.001, 0.2])
+@pytest.mark.parametrize("around", [0.0, 0.2])
 def test_exact_quantiles(spark, kind, around):
     frame, probabilities = rows(spark, kind), (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)
     df = spark.createDataFrame(frame).union(spark.createDataFrame([("g1", None)], "g string, v double"))

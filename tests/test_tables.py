@@ -145,3 +145,12 @@ def test_effects(spark):
     flat = long.withColumn("score", F.lit(2.0))
     assert {r.cohens_d for r in effects.effect_sizes(flat).collect()} == {0.0}
     assert effects.unmatched(long.where("not (doc_id = 0 and model_index = 1)"), 0, 1).first().asDict() == {"metric": "x", "n_both": 2, "only_a": 1, "only_b": 0}
+
+
+def test_samples_are_cut_before_they_move(spark):
+    """Each partition keeps its own smallest hashes of a trial before the shuffle."""
+    df = spark.range(1000).withColumnRenamed("id", "doc_id").repartition(3)
+    plan = sampling.subsamples(df, 7, 3, 1)._jdf.queryExecution().executedPlan().toString()
+    limits = [k for k in range(len(plan)) if plan.startswith("WindowGroupLimit", k)]
+    exchange = plan.index("Exchange hashpartitioning(trial")
+    assert any(k > exchange for k in limits) and any(k < exchange for k in limits)
