@@ -8,5 +8,6 @@ SENT = 10_000
 
 
 def sent_if_small(small: DataFrame, most: int = SENT) -> DataFrame:
-    """``small`` marked for broadcast if it has at most ``most`` rows (counted up to there), else as it is: the join then shuffles."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+    """``small``, computed once and marked for broadcast, if it has at most ``most`` rows (no more are fetched); else as it is: the join then shuffles."""
+    rows = small.take(most + 1)
+    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema)) if len(rows) <= most else small
