@@ -165,8 +165,8 @@ put("a1_sample_rows", "SELECT doc_id, CAST(model_index AS BIGINT) AS model_index
 put("a2_sample_documents", "SELECT doc_id FROM (SELECT DISTINCT doc_id FROM panel) ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 15")
 put("a3_two_models", """SELECT doc_id, CAST(max(CASE WHEN r = 1 THEN model_index END) AS BIGINT) AS model_a_idx, CAST(max(CASE WHEN r = 2 THEN model_index END) AS BIGINT) AS model_b_idx
     FROM (SELECT doc_id, model_index, row_number() OVER (PARTITION BY doc_id ORDER BY md5(concat('42:', doc_id, ':', model_index)), model_index) AS r FROM panel) WHERE r <= 2 GROUP BY doc_id HAVING count(*) = 2""")
-put("a4_subsamples", """SELECT CAST(trial AS BIGINT) AS trial, doc_id, round(score_a - score_b, 6) AS diff FROM (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY md5(concat('42:', trial, ':', doc_id)), doc_id) AS r
-    FROM pair CROSS JOIN range(4) AS t(trial) WHERE metric = 'relevance') WHERE r <= 25""")
+put("a4_subsamples", """SELECT metric, CAST(trial AS BIGINT) AS trial, doc_id, round(score_a - score_b, 6) AS diff FROM (SELECT *, row_number() OVER (PARTITION BY metric, trial ORDER BY md5(concat('42:', trial, ':', doc_id)), doc_id) AS r
+    FROM pair CROSS JOIN range(4) AS t(trial)) WHERE r <= 25""")
 put("g1_g2_calibration", "SELECT dimension, n, round(pearson_r, 6) AS pearson_r, round(spearman_r, 6) AS spearman_r, round(mae, 6) AS mean_absolute_error, round(mse, 6) AS mean_signed_error FROM agreement")
 put("g4_judge_histogram", "SELECT judge_score AS score, count(*) AS count FROM scored GROUP BY ALL")
 put("g5_human_histogram", "SELECT CAST(round_even(human_score, 0) AS BIGINT) AS score, count(*) AS count FROM judge_results GROUP BY 1")

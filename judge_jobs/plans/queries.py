@@ -340,8 +340,8 @@ def a3_two_models(spark, d):
 
 @query
 def a4_subsamples(spark, d):
-    found = sampling.subsamples(pair57(spark, d).where("metric = 'relevance'"), 25, 4, 42)
-    return found.select(F.col("trial").cast("long").alias("trial"), "doc_id", F.round(F.col("score_a") - F.col("score_b"), 6).alias("diff"))
+    found = sampling.subsamples(pair57(spark, d), 25, 4, 42, by=("metric",))
+    return found.select("metric", F.col("trial").cast("long").alias("trial"), "doc_id", F.round(F.col("score_a") - F.col("score_b"), 6).alias("diff"))
 
 
 # ---- aggregations ----

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from judge_jobs import schemas
 from judge_jobs.operators import effects, reshape, sampling, validation
@@ -148,9 +150,25 @@ def test_effects(spark):
 
 
 def test_samples_are_cut_before_they_move(spark):
-    """Each partition keeps its own smallest hashes of a trial before the shuffle."""
+    """Hashes that can't be among a sample's smallest are dropped before the sort and the shuffle."""
     df = spark.range(1000).withColumnRenamed("id", "doc_id").repartition(3)
-    plan = sampling.subsamples(df, 7, 3, 1)._jdf.queryExecution().executedPlan().toString()
-    limits = [k for k in range(len(plan)) if plan.startswith("WindowGroupLimit", k)]
-    exchange = plan.index("Exchange hashpartitioning(trial")
-    assert any(k > exchange for k in limits) and any(k < exchange for k in limits)
+    found = sampling.subsamples(df, 7, 3, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the plan is printed from its end to its start: what is cut is kept, and only then moved
+    moved, held, made = (plan.index(x) for x in ("Exchange hashpartitioning(trial", "InMemoryRelation", "Generate explode"))
+    assert moved < held < made and "Filter" in plan[held:made] and "Exchange" not in plan[held:made]
+    assert found.count() == 21
+
+
+def test_subsamples_by_group_are_the_smallest_hashes(spark):
+    """A group smaller than its sample, a null group, and a key with most rows, which the first cut may leave out; against brute force."""
+    rows = [("large", k) for k in range(3000)] + [("small", k) for k in range(5)] + [(None, k) for k in range(40)]
+    rows += [("hot", 1)] * 2000 + [("hot", k) for k in range(2, 12)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "g string, doc_id long, row long")
+    found = {}
+    for r in sampling.subsamples(df, 20, 6, 3, by=("g",)).collect():
+        found.setdefault((r.g, r.trial), []).append(r.doc_id)
+    hashed = lambda t, k: hashlib.md5(f"3:{t}:{k}".encode()).hexdigest()
+    want = {(g, t): sorted((k for x, k in rows if x == g), key=lambda k: hashed(t, k))[:20] for g in ("large", "small", "hot", None) for t in range(6)}
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sampling.subsamples(df.where("false"), 20, 6, 3).count() == 0 and sampling.subsamples(df.where("false"), 20, 6, 3, by=("g",)).count() == 0
