@@ -152,10 +152,12 @@ def s8_resumed_append(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A path in the folder all executors share."""
+    """A path in the folder all executors share. Only a single machine may go without such a folder."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{name}"
 
 
