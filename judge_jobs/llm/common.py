@@ -18,10 +18,12 @@ FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (single-machine tests) a temporary folder stands in for it.
+    Only on a single machine (tests) a temporary folder stands in for it; on a cluster its lack is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
