@@ -1,12 +1,14 @@
 """Quality rules: text statistics, base rules, and robust multivariate outliers. DataFrame functions only.
 
 The verdict comes from minimum-covariance-determinant estimates for each (language, source) group
-(Rousseeuw & Van Driessen 1999), started deterministically from medians and MADs (as in Hubert,
-Rousseeuw & Verdonck 2012) and refined by concentration steps, each one grouped aggregation over the
-narrow statistics table. Statistics are transformed to shrunken log or square-root rates, so that the
+(Rousseeuw & Van Driessen 1999). They start deterministically (as in Hubert, Rousseeuw & Verdonck 2012)
+at medians and MADs, at the medians with the scatter of spatial signs, and, for each axis, at the mean and
+scatter of the rows within a MAD of its median. Each start takes ``TRIALS`` concentration steps, the one of least determinant goes on, and further steps are taken
+as long as the determinant of any group falls. A step is one grouped aggregation over the narrow
+statistics table. Statistics are transformed to shrunken log or square-root rates, so that the
 noise of short texts doesn't count against them. The scatter gets a floor on each axis (regularised
-MCD), since most clean groups have no symbols or repeats at all. A document is rejected if its squared
-Mahalanobis distance exceeds ``CUTOFF``.
+MCD), since most clean groups have no symbols or repeats at all; steps lower its determinant all the same
+(Boudt et al. 2020). A document is rejected if its squared Mahalanobis distance exceeds ``CUTOFF``.
 
 Quantiles are taken over values rounded to a fixed grid, so a task holds a bounded histogram however
 large a group is. Nothing but one row for each group moves between steps.
@@ -17,13 +19,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bounded, table, text_or_empty
+from .common import WS, bounded, drop_table, table, text_or_empty
 
 #: Words of prior weight in the rates.
 PRIOR_WORDS = 20
 #: Share of a group that the estimate covers.
 SHARE = 0.75
-STEPS = 3
+#: Concentration steps of each start, and of the best one at most, should its determinant fall for so long.
+TRIALS, MOST_STEPS = 2, 20
 #: Groups with fewer documents are judged with the other small ones of their language, or with all that is left; the floors hold where that is little, too.
 LEAST_GROUP = 200
 #: Up to so many groups the estimates (about 200 bytes each) are broadcast; beyond, they are joined.
@@ -92,12 +95,13 @@ def consistency(share: float = SHARE) -> float:
     return share / (1 - math.exp(-low / 2) * (1 + low / 2 + low**2 / 8))
 
 
-def moments() -> dict[str, str]:
-    """SQL aggregates of one concentration step: means and the regularised covariance (lower triangle)."""
-    out = {f"m{a}": f"avg({x})" for a, x in enumerate(AXES)}
+def moments(where: str = "") -> dict[str, str]:
+    """SQL aggregates of one concentration step: means and the regularised covariance (lower triangle), of the rows with ``where``."""
+    avg = lambda e: f"avg({e})" + (f" FILTER (WHERE {where})" if where else "")
+    out = {f"m{a}": avg(x) for a, x in enumerate(AXES)}
     for a, x in enumerate(AXES):
         for b, y in enumerate(AXES[: a + 1]):
-            out[f"s{a}{b}"] = f"{consistency():.12f} * (avg({x} * {y}) - avg({x}) * avg({y}))" + (f" + {FLOOR[x] ** 2:.6f}" if a == b else "")
+            out[f"s{a}{b}"] = f"{consistency():.12f} * ({avg(f'{x} * {y}')} - {avg(x)} * {avg(y)})" + (f" + {FLOOR[x] ** 2:.6f}" if a == b else "")
     return out
 
 
@@ -111,6 +115,25 @@ def cholesky() -> list[dict[str, str]]:
     return out
 
 
+def starts() -> list[dict[str, str]]:
+    """SQL aggregates for means and scatter of each start, over x1.. and their group's medians c0.. and MADs d0.. (group keys)."""
+    n = range(len(AXES))
+    z = [f"(({x} - c{a}) / d{a})" for a, x in enumerate(AXES)]
+    norm = "greatest(" + " + ".join(f"{v} * {v}" for v in z) + ", 0.000001)"
+    middle = {f"m{a}": f"c{a}" for a in n}
+    mads, signs = {}, {}
+    for a in n:
+        for b in range(a + 1):
+            mads[f"s{a}{b}"] = f"d{a} * d{b}" if a == b else "0.0"
+            # the ridge keeps it positive where all rows lie on a line
+            signs[f"s{a}{b}"] = f"d{a} * d{b} * ({len(AXES)} * avg({z[a]} * {z[b]} / {norm})" + (" + 0.1)" if a == b else ")")
+    return [middle | mads, middle | signs, *[moments(f"abs({v}) <= 0.6745") for v in z]]
+
+
+#: Log of the square root of the scatter's determinant; on a grid, so that engines agree on what is less.
+DETERMINANT = "round(" + " + ".join(f"ln(l{a}{a})" for a in range(len(AXES))) + ", 6)"
+
+
 def whitened() -> list[dict[str, str]]:
     """SQL for z = inverse(l) (x - m), axis by axis; the squared distance is their sum of squares."""
     return [{f"z{a}": f"({x} - m{a}" + "".join(f" - l{a}{k} * z{k}" for k in range(a)) + f") / l{a}{a}"} for a, x in enumerate(AXES)]
@@ -126,11 +149,63 @@ def _with(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
     return df
 
 
+M = [f"m{a}" for a in range(len(AXES))]
+L = [f"l{a}{b}" for a in range(len(AXES)) for b in range(a + 1)]
+
+
+def _started(passed: DataFrame, hint) -> DataFrame:
+    """A row for each _group and start: m0.., and the factor l00.. of its scatter."""
+    median = lambda e: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {e})")
+    axes = list(enumerate(AXES))
+    centres, scales = [f"c{a}" for a, _ in axes], [f"d{a}" for a, _ in axes]
+    medians = table(passed.groupBy("_group").agg(*[median(x).alias(f"c{a}") for a, x in axes]), "medians")
+    spread = passed.join(hint(medians), "_group").groupBy("_group", *centres).agg(*[median(f"round(abs({x} - c{a}), 4)").alias(f"d{a}") for a, x in axes])
+    mads = table(spread.select("_group", *centres, *[F.expr(f"greatest(1.4826 * d{a}, {FLOOR[x]})").alias(f"d{a}") for a, x in axes]), "mads")
+    rows = passed.join(hint(mads), "_group").groupBy("_group", *centres, *scales)
+    each = [F.struct(F.lit(k).alias("_start"), *[F.expr(e).cast("double").alias(c) for c, e in found.items()]).alias(f"start{k}") for k, found in enumerate(starts())]
+    found = table(rows.agg(*each).select("_group", F.inline(F.array(*[f"start{k}" for k in range(len(each))]))), "starts")
+    drop_table(medians, mads)
+    return _with(found, cholesky()).select("_group", "_start", *M, *L)
+
+
+def _concentrated(passed: DataFrame, estimate: DataFrame, by: list[str], hint) -> DataFrame:
+    """One concentration step: m, l and det from the ``SHARE`` of rows nearest to the estimate of each ``by``."""
+    placed = _with(passed.join(hint(estimate), "_group"), whitened()).select(*by, *AXES, F.expr(DISTANCE).alias("d"))
+    reach = placed.groupBy(*by).agg(F.expr(f"percentile_disc({SHARE}) WITHIN GROUP (ORDER BY d)").alias("reach"))
+    spread = placed.join(hint(reach), by).where("d <= reach").groupBy(*by).agg(*[F.expr(e).alias(k) for k, e in moments().items()])
+    return _with(spread, cholesky()).select(*by, *M, *L, F.expr(DETERMINANT).alias("det"))
+
+
+def estimates(passed: DataFrame, hint=lambda x: x) -> DataFrame:
+    """For rows of _group and x1.. to x4 (no nulls): _group, means m0.., the scatter's Cholesky factor l00.., det.
+
+    ``hint`` is put on the small sides of joins (six rows for each group). Of starts with equal
+    determinants the first goes on, and a step counts only if it lowers the determinant, so the result is
+    the same on any partitioning. No rows give no estimates; one row gives itself and the floors.
+    """
+    estimate = _started(passed, hint)
+    for _ in range(TRIALS):
+        estimate = table(_concentrated(passed, estimate, ["_group", "_start"], hint), "trial")
+    best = F.min_by(F.struct(*M, *L, "det"), F.struct("det", "_start")).alias("e")
+    estimate = table(estimate.groupBy("_group").agg(best).select("_group", "e.*"), "estimate")
+    for _ in range(MOST_STEPS):
+        step = _concentrated(passed, estimate, ["_group"], hint).select("_group", F.struct(*M, *L, "det").alias("new"))
+        lower = F.col("new.det") < F.col("det")
+        both = estimate.join(hint(step), "_group").select("_group", lower.alias("fell"), *[F.when(lower, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*M, *L, "det")])
+        found = table(both, "estimate")
+        drop_table(estimate)
+        estimate = found
+        if not estimate.where("fell").limit(1).count():
+            break
+    return estimate.drop("fell")
+
+
 def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Add base_failed, distance (null if base_failed) and kept.
 
     ``stats`` should be a stored table: each step reads its few numeric columns once. A null language
-    or source is a group of its own. Groups are those of documents that pass the base rules.
+    or source is a group of its own. Groups are those of documents that pass the base rules; for their
+    estimates see :func:`estimates`.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("-"))
     key = F.concat_ws("\x01", mark(lang_col), mark(source_col))
@@ -149,19 +224,10 @@ def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
     sizes = passed.groupBy("_group").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY round(word_chars / n_words, 2))").alias("word_size"))
     featured = rows.join(hint(sizes), "_group", "left").withColumns({x: F.expr(f"CASE WHEN base_failed THEN NULL ELSE round({e}, 4) END") for x, e in FEATURES.items()})
     featured = featured.drop("word_size")
-    passed = featured.where(~F.col("base_failed")).select("_group", *AXES)
-    median = lambda e: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {e})")
-    medians = passed.groupBy("_group").agg(*[median(x).alias(f"m{a}") for a, x in enumerate(AXES)])
-    mads = passed.join(hint(medians), "_group").groupBy("_group").agg(*[F.first(f"m{a}").alias(f"m{a}") for a in range(len(AXES))], *[median(f"round(abs({x} - m{a}), 4)").alias(f"d{a}") for a, x in enumerate(AXES)])
-    estimate = mads.select(
-        "_group", *[f"m{a}" for a in range(len(AXES))], *[(F.greatest(1.4826 * F.col(f"d{a}"), F.lit(FLOOR[x])) if a == b else F.lit(0.0)).alias(f"l{a}{b}") for a, x in enumerate(AXES) for b in range(a + 1)]
-    )
-    for _ in range(STEPS):
-        placed = _with(passed.join(hint(estimate), "_group"), whitened()).select("_group", *AXES, F.expr(DISTANCE).alias("d"))
-        reach = placed.groupBy("_group").agg(F.expr(f"percentile_disc({SHARE}) WITHIN GROUP (ORDER BY d)").alias("reach"))
-        inner = placed.join(hint(reach), "_group").where("d <= reach")
-        spread = inner.groupBy("_group").agg(*[F.expr(e).alias(k) for k, e in moments().items()])
-        estimate = table(_with(spread, cholesky()).select("_group", *[f"m{a}" for a in range(len(AXES))], *[f"l{a}{b}" for a in range(len(AXES)) for b in range(a + 1)]), "estimate")
+    # narrow, and read by each step
+    passed = table(featured.where(~F.col("base_failed")).select("_group", *AXES), "features")
+    estimate = estimates(passed, hint)
+    drop_table(passed)
     judged = _with(featured.join(hint(estimate), "_group", "left"), whitened())
     distance = F.when(~F.col("base_failed"), F.expr(DISTANCE))
     return judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).select(*stats.columns, "base_failed", "distance", "kept")

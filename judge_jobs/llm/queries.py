@@ -118,13 +118,24 @@ GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n_item)
 
 
 def _outliers() -> str:
-    """The estimate of quality_rules as one statement: each concentration step is three expressions."""
-    from .quality_rules import AXES, CUTOFF, DISTANCE, FEATURES, FLOOR, LEAST_GROUP, SHARE, STEPS, cholesky, moments, whitened
+    """The estimate of quality_rules as one statement: each concentration step is a few expressions, and one that lowers no determinant changes nothing."""
+    from .quality_rules import AXES, CUTOFF, DETERMINANT, DISTANCE, FEATURES, FLOOR, LEAST_GROUP, MOST_STEPS, SHARE, TRIALS, cholesky, moments, starts, whitened
 
     n = range(len(AXES))
     m, lower = [f"m{a}" for a in n], [f"l{a}{b}" for a in n for b in range(a + 1)]
     nest = lambda source, steps: source if not steps else f"(SELECT *, {', '.join(f'{e} AS {k}' for k, e in steps[-1].items())} FROM {nest(source, steps[:-1])})"
-    diagonal = ", ".join(f"greatest(1.4826 * d{a}, {FLOOR[x]}) AS l{a}{b}" if a == b else f"0.0 AS l{a}{b}" for a, x in enumerate(AXES) for b in range(a + 1))
+    axes, scales = list(enumerate(AXES)), ", ".join(f"{c}{a}" for c in "cd" for a in n)
+    each = " UNION ALL ".join(f"SELECT g, {k} AS start, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in found.items())} FROM x JOIN mads USING (g) GROUP BY g, {scales}" for k, found in enumerate(starts()))
+
+    def step(k: int, estimate: str, by: str) -> list[str]:
+        """Expressions p, i and c: c has the means, factor and determinant of the rows nearest to the estimate."""
+        spread = f"(SELECT {by}, {', '.join(f'{e} AS {c}' for c, e in moments().items())} FROM i{k} GROUP BY {by})"
+        return [
+            f"p{k} AS MATERIALIZED (SELECT {by}, {', '.join(AXES)}, {DISTANCE} AS d FROM {nest(f'(SELECT * FROM x JOIN {estimate} USING (g))', whitened())})",
+            f"i{k} AS (SELECT {by}, {', '.join(AXES)} FROM p{k} JOIN (SELECT {by}, quantile_disc(d, {SHARE}) AS reach FROM p{k} GROUP BY {by}) USING ({by}) WHERE d <= reach)",
+            f"c{k} AS MATERIALIZED (SELECT {by}, {', '.join(m + lower)}, {DETERMINANT} AS det FROM {nest(spread, cholesky())})",
+        ]
+
     parts = [
         r"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS lang, coalesce('=' || source, '-') AS source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)",
         "spans AS (SELECT r, p, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM d))",
@@ -137,16 +148,18 @@ def _outliers() -> str:
         "passed AS (SELECT r, g, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words FROM judged JOIN names USING (lang, source) WHERE NOT base_failed)",
         "sizes AS (SELECT g, quantile_disc(round(word_chars / n_words, 2), 0.5) AS word_size, count(*) AS n FROM passed GROUP BY g)",
         f"x AS (SELECT r, g, n, {', '.join(f'round({e}, 4) AS {x}' for x, e in FEATURES.items())} FROM passed JOIN sizes USING (g))",
-        f"medians AS (SELECT g, {', '.join(f'quantile_disc({x}, 0.5) AS m{a}' for a, x in enumerate(AXES))} FROM x GROUP BY g)",
-        f"e0 AS (SELECT g, {', '.join(m)}, {diagonal} FROM (SELECT g, {', '.join(f'any_value(m{a}) AS m{a}' for a in n)}, {', '.join(f'quantile_disc(round(abs({x} - m{a}), 4), 0.5) AS d{a}' for a, x in enumerate(AXES))} FROM x JOIN medians USING (g) GROUP BY g))",
+        f"medians AS (SELECT g, {', '.join(f'quantile_disc({x}, 0.5) AS c{a}' for a, x in axes)} FROM x GROUP BY g)",
+        f"mads AS MATERIALIZED (SELECT g, {', '.join(f'any_value(c{a}) AS c{a}' for a in n)}, {', '.join(f'greatest(1.4826 * quantile_disc(round(abs({x} - c{a}), 4), 0.5), {FLOOR[x]}) AS d{a}' for a, x in axes)} FROM x JOIN medians USING (g) GROUP BY g)",
+        f"c0 AS MATERIALIZED (SELECT g, start, {', '.join(m + lower)} FROM {nest(f'({each})', cholesky())})",
     ]
-    for k in range(STEPS):
-        parts += [
-            f"p{k} AS (SELECT *, {DISTANCE} AS d FROM {nest(f'(SELECT * FROM x JOIN e{k} USING (g))', whitened())})",
-            f"i{k} AS (SELECT g, {', '.join(AXES)} FROM p{k} JOIN (SELECT g, quantile_disc(d, {SHARE}) AS reach FROM p{k} GROUP BY g) USING (g) WHERE d <= reach)",
-            f"e{k + 1} AS (SELECT g, {', '.join(m + lower)} FROM {nest('(SELECT g, ' + ', '.join(f'{e} AS {c}' for c, e in moments().items()) + f' FROM i{k} GROUP BY g)', cholesky())})",
-        ]
-    parts.append(f"far AS (SELECT r, {DISTANCE} AS d, n FROM {nest(f'(SELECT * FROM x JOIN e{STEPS} USING (g))', whitened())})")
+    for k in range(TRIALS):
+        parts += step(k + 1, f"c{k}", "g, start")
+    parts.append(f"e{TRIALS} AS MATERIALIZED (SELECT g, {', '.join(m + lower)}, det FROM c{TRIALS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1)")
+    last = TRIALS + MOST_STEPS
+    for k in range(TRIALS, last):
+        better = ", ".join(f"CASE WHEN c.det < e.det THEN c.{c} ELSE e.{c} END AS {c}" for c in (*m, *lower, "det"))
+        parts += [*step(k + 1, f"e{k}", "g"), f"e{k + 1} AS MATERIALIZED (SELECT e.g, {better} FROM e{k} e JOIN c{k + 1} c ON e.g = c.g)"]
+    parts.append(f"far AS (SELECT r, {DISTANCE} AS d FROM {nest(f'(SELECT * FROM x JOIN e{last} USING (g))', whitened())})")
     return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d > {CUTOFF}, false) AS kept FROM judged LEFT JOIN far USING (r)"
 
 
