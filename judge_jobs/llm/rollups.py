@@ -41,13 +41,14 @@ def counts(docs: DataFrame, counters: dict[str, Column] | None = None, text_col:
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Signed rows that turn the counts ``old`` into ``new`` (both as from :func:`counts`, one row for each doc_id and tokenizer)."""
-    columns = ("source", "lang", "n_tokens")
-    a = old.select("doc_id", "tokenizer", F.struct(*columns).alias("was"))
-    b = new.select("doc_id", "tokenizer", F.struct(*columns).alias("now"))
-    both = a.join(b, ["doc_id", "tokenizer"], "full").where(~F.col("was").eqNullSafe(F.col("now")))
-    signed = F.array(F.struct(F.lit(-1).alias("sign"), F.col("was").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("at")))
-    return both.select("doc_id", "tokenizer", F.explode(signed).alias("e")).where("e.at is not null").select("doc_id", "e.at.source", "e.at.lang", "tokenizer", "e.at.n_tokens", "e.sign")
+    """Signed rows that turn the counts ``old`` into ``new`` (both as from :func:`counts`): doc_id, source, lang, tokenizer, n_tokens, sign.
+
+    Both sides are summed as one signed set, so nothing is joined: equal rows on both sides cancel, and a count that changed is a
+    delete and an insert. Repeated rows count each (a sign of 2 is two inserts); nulls are values like others; empty tables have no changes.
+    """
+    columns = ["doc_id", "source", "lang", "tokenizer", "n_tokens"]
+    signed = old.select(*columns, F.lit(-1).alias("sign")).union(new.select(*columns, F.lit(1).alias("sign")))
+    return signed.groupBy(*columns).agg(F.sum("sign").alias("sign")).where("sign <> 0")
 
 
 class Totals:
@@ -130,17 +131,18 @@ def maintained(docs: DataFrame, path: str) -> DataFrame:
     """A history over a corpus: all documents come, some go, some are counted again, one batch comes twice.
 
     Batch 1 inserts every document under each counter. Batch 2 deletes those whose id ends in 3.
-    Batch 3 counts every seventh of the rest (id modulo 7 is 1) anew, with an end token. Then batch 2
+    Batch 3 revises every seventh of the rest (id modulo 7 is 1): a last word is put to the text, the whole text is
+    counted anew, and :func:`changes` takes the old counts off for the new. Then batch 2
     is delivered again. Returns the totals. Null ids are never deleted or counted again; for the rest see :func:`counts`.
     """
     first = table(counts(docs), "counts")
     gone = F.coalesce(F.col("doc_id") % 10 == 3, F.lit(False))
-    again = F.coalesce((F.col("doc_id") % 7 == 1) & ~gone, F.lit(False))
+    again = lambda i: F.coalesce((i % 7 == 1) & (i % 10 != 3), F.lit(False))
     totals = Totals(docs.sparkSession, path)
     deleted = first.where(gone).withColumn("sign", F.lit(-1))
     totals.commit("batch-1", first.withColumn("sign", F.lit(1)))
     totals.commit("batch-2", deleted)
-    old = first.where(again)
-    totals.commit("batch-3", old.withColumn("sign", F.lit(-1)).union(old.withColumns({"n_tokens": F.col("n_tokens") + 1, "sign": F.lit(1)})))
+    revised = docs.where(again(docs["doc_id"])).select("doc_id", "source", "lang", F.concat(text_or_empty(), F.lit(" end")).alias("text"))
+    totals.commit("batch-3", changes(first.where(again(F.col("doc_id"))), counts(revised)))
     totals.commit("batch-2", deleted)
     return totals.read()

@@ -49,6 +49,20 @@ def test_changes_turn_old_into_new(spark):
     assert got == {(1, 5, -1), (2, 6, -1), (2, 9, 1), (4, 1, 1)}
 
 
+def test_changes_of_repeated_rows_and_nulls(spark):
+    columns = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
+    row = (1, "s", "en", "w", 5)
+    old = spark.createDataFrame([row, row, (None, None, None, "w", None)], columns)
+    new = spark.createDataFrame([row, (2, "s", "en", "w", 6), (2, "s", "en", "w", 6)], columns)
+    got = {(r.doc_id, r.n_tokens, r.sign) for r in rollups.changes(old, new).collect()}
+    assert got == {(1, 5, -1), (None, None, -1), (2, 6, 2)}
+    totals = rollups.Totals(spark, shared_dir(spark, "totals"))
+    totals.commit("a", rollups.changes(old.limit(0), old))
+    totals.commit("b", rollups.changes(old, new))
+    assert state(totals) == {("s", "en", "w"): (3, 17)}
+    assert rollups.changes(old, old).count() == 0
+
+
 def test_history_over_a_corpus(spark, docs, texts, odd, empty):
     import re
 
