@@ -4,7 +4,8 @@ A logistic classifier on word shapes gives each document its evidence. Sites are
 and paths within hosts. A host's share of good documents is shrunk towards the global share, a path's
 towards its host's; how strongly is estimated from the data (method of moments for the beta-binomial),
 so sites with few documents say little. A document's posterior adds its own log-odds to its path's, with
-the document itself left out of the record of its site, and takes the prior off.
+the document itself left out of the record of its site. The prior that the classifier's log-odds hold, the
+share of good documents in its labelled sample, is taken off first.
 
 Grouped sums carry the hierarchy: one row for each path and host. Only the classifier's training sample,
 which is bounded, and a few global sums reach the driver.
@@ -78,7 +79,7 @@ def fit(x, y, ridge: float = 1e-4, steps: int = 25):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """Weights, and the average evidence, from at most ``rows`` labelled ids (columns doc_id, text; doc_id, quality). An id counts once, with the mean features of its rows."""
+    """Weights, the average evidence, and the sample's prior log-odds, from at most ``rows`` labelled ids (columns doc_id, text; doc_id, quality). An id counts once, with the mean features of its rows."""
     import numpy as np
 
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
@@ -102,8 +103,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     x = np.zeros((len(found), SHAPES))
     for k, row in enumerate(found):
         x[k, [f.at for f in row.f]] = [round(f.x / row.f[-1].x, 12) for f in row.f]
-    weights = fit(x, np.array([r.quality for r in found], dtype=float))
-    return weights, float((x @ weights).mean()) if len(x) else 0.0
+    good = np.array([r.quality for r in found], dtype=float)
+    weights = fit(x, good)
+    base = math.log((good.sum() + 0.5) / (len(good) - good.sum() + 0.5))
+    return weights, float((x @ weights).mean()) if len(x) else 0.0, base
 
 
 def evidence(docs: DataFrame, weights, middle: float, text_col: str = "text") -> DataFrame:
@@ -138,9 +141,23 @@ def _strength(groups: DataFrame) -> float:
     return float(min(1e6, max(1.0, middle / variance - 1))) if variance > 1e-9 else 1e6
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
+def sites(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Add ``host`` and ``path`` (the first folder or page name, if any) of an address; both null if there is no host.
+
+    Hosts are lower-cased, without user, port and a leading ``www.``. Columns of these names are replaced. An address of any
+    length is read whole; null, empty and malformed ones have no site; repeated rows stay, an empty table gives no rows.
+    """
+    url = F.col(f"`{url_col}`")
+    host = F.nullif(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.(?=.)", ""), F.lit(""))
+    first = F.nullif(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/*([^/]+)", 1), F.lit(""))
+    return pages.withColumns({"host": host, "path": F.when(host.isNotNull(), first)})
+
+
+def posteriors(scored: DataFrame, base: float | None = None) -> DataFrame:
     """For a stored table with evidence, host and path: add host_posterior, path_posterior and posterior.
 
+    ``base`` is the prior that the evidence holds, as log-odds (see :func:`train`); without it, that of the rows' own mean.
+
     A null host or path is a site of its own. The site figures given are those of the whole site; the
     document's posterior uses them without the document itself.
     """
@@ -160,7 +177,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     joined = rows.join(sites, ["_host", "_path"])
     other_host = share(F.col("host_s") - F.col("_p"), F.col("host_n") - 1, k_host, F.lit(prior))
     other = share(F.col("path_s") - F.col("_p"), F.col("path_n") - 1, k_path, other_host)
-    odds = F.col("evidence") + F.ln(other / (1 - other)) - math.log(prior / (1 - prior))
+    odds = F.col("evidence") + F.ln(other / (1 - other)) - (math.log(prior / (1 - prior)) if base is None else base)
     return joined.withColumn("posterior", 1 / (1 + F.exp(-odds))).select(*scored.columns, "host_posterior", "path_posterior", "posterior")
 
 
@@ -172,7 +189,7 @@ def judge(docs: DataFrame, labels: DataFrame, least: float = 0.5, text_col: str
     like others. Repeated rows count each. A text of any length is read whole, in one task. Other columns are not read. An empty table gives no rows.
     """
     named = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{host_col}`"].cast("string").alias("host"), docs[f"`{path_col}`"].cast("string").alias("path"), docs[f"`{text_col}`"].alias("text"))
-    weights, middle = train(named, labels.select(F.col("doc_id").cast("long"), "quality"))
+    weights, middle, base = train(named, labels.select(F.col("doc_id").cast("long"), "quality"))
     scored = table(evidence(named, weights, middle), "evidence")
-    found = posteriors(scored)
+    found = posteriors(scored, base)
     return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior")], (F.col("posterior") >= least).alias("kept"))

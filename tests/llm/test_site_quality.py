@@ -68,6 +68,38 @@ def test_posteriors_against_plain_formulas(spark):
     assert abs(got[61].posterior - 1 / (1 + math.exp(-1.0))) < 1e-6
 
 
+def test_the_samples_prior_is_taken_off(spark):
+    """The sample's log-odds come from its labels alone, and shift every posterior's log-odds by just that."""
+    rows, truth = corpus(600)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    even = [(i, q) for i, q in truth.items()]
+    skewed = [(i, q) for i, q in truth.items() if not q or i % 5 == 0]
+    bases = [sq.train(docs.select("doc_id", "text"), spark.createDataFrame(x, "doc_id long, quality int"))[2] for x in (even, skewed)]
+    for base, x in zip(bases, (even, skewed)):
+        good = sum(q for _, q in x)
+        assert abs(base - math.log((good + 0.5) / (len(x) - good + 0.5))) < 1e-9
+    scored = [(k, 0.3 * (k % 7) - 1 + bases[0], f"h{k % 4}", "p") for k in range(80)]
+    from judge_jobs.llm.common import table
+
+    df = table(spark.createDataFrame(scored, "doc_id long, evidence double, host string, path string"), "t")
+    odds = lambda p: math.log(p / (1 - p))
+    a, b = ({r.doc_id: r.posterior for r in sq.posteriors(df, base).collect()} for base in bases)
+    assert all(abs(odds(b[k]) - odds(a[k]) - (bases[0] - bases[1])) < 1e-6 for k in a)
+
+
+def test_sites_of_addresses(spark):
+    rows = [("https://user@WWW.Example.org:8080/blog/2020/a.html?q=1#x", "example.org", "blog"), ("http://a.b.net", "a.b.net", None), ("http://a.b.net/", "a.b.net", None),
+            ("https://c.net//deep/er", "c.net", "deep"), ("not an address", None, None), ("http://bad host/x", None, None), ("", None, None), (None, None, None)]
+    df = spark.createDataFrame([(u, 7) for u, _, _ in rows], "url string, host int")
+    got = {r.url: (r.host, r.path) for r in sq.sites(df).collect()}
+    assert got == {u: (h, p) for u, h, p in rows}
+    assert sq.sites(df.limit(0)).count() == 0
+    docs = sq.sites(spark.createDataFrame([(k, f"some words of text {k}", f"https://h{k % 3}.net/p{k % 2}/x") for k in range(30)], "doc_id long, text string, url string"))
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(30)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in sq.judge(docs, labels, host_col="host", path_col="path").collect()}
+    assert len(found) == 30 and len({round(r.host_posterior, 6) for r in found.values()}) <= 3
+
+
 def test_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert sq.judge(empty, none).count() == 0
