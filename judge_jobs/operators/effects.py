@@ -11,6 +11,13 @@ def paired(long: DataFrame, a: int, b: int, keys: tuple[str, ...] = ("doc_id", "
     return side(a, "score_a").join(side(b, "score_b"), list(keys))
 
 
+def paired_dimensions(panel: DataFrame, a: int, b: int, dimensions: tuple[str, ...], key: str = "doc_id") -> DataFrame:
+    """As :func:`paired` for a column of scores by dimension: key, metric, score_a, score_b. Articles meet once, and not once by metric."""
+    side = lambda m, name: panel.where(F.col("model_index") == m).select(key, *[F.col(d).alias(f"{d}_{name}") for d in dimensions])
+    each = F.array(*[F.struct(F.lit(d).alias("metric"), F.col(f"{d}_a").alias("score_a"), F.col(f"{d}_b").alias("score_b")) for d in dimensions])
+    return side(a, "a").join(side(b, "b"), key).select(key, F.inline(each))
+
+
 def unmatched(long: DataFrame, a: int, b: int, keys: tuple[str, ...] = ("doc_id", "metric")) -> DataFrame:
     """By metric: articles that both have, and that only one has."""
     side = lambda m, name: long.where(F.col("model_index") == m).select(*keys, F.lit(1).alias(name))

@@ -62,7 +62,7 @@ def padded_scores(spark, d) -> DataFrame:
 
 def pair57(spark, d) -> DataFrame:
     """Scores of models 1 and 2 on the same articles."""
-    return effects.paired(long_panel(spark, d), 1, 2).withColumn("model_pair", F.lit("m1v2"))
+    return effects.paired_dimensions(view(spark, d, "panel"), 1, 2, DIMENSIONS).withColumn("model_pair", F.lit("m1v2"))
 
 
 # ---- sources and sinks ----

@@ -128,3 +128,27 @@ def test_subsamples_are_whole_and_without_replacement(spark):
     assert len(drawn) == 60 and all(v.is_unique and len(v) == k[0] for k, v in drawn.items())
     assert len({tuple(sorted(v)) for k, v in drawn.items() if k[0] == 10}) == 30
     assert set(np.concatenate([v for k, v in drawn.items() if k[0] == 10])) == set(range(50))
+
+
+def test_weights_by_hex_digits(spark):
+    """Weights by comparing hex digits are those by numbers; each md5 is worked out once for a row and draw."""
+    words = ["00000000", *[f"{int(p * 2**32) + k:08x}" for p in rs.POISSON for k in (-1, 0, 1, 2)], "ffffffff"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(rs.poisson_weight(rs.F.col("w")), rs.reaches(rs.F.col("w"), 0.5)).collect()
+    assert [tuple(r) for r in got] == [(sum(int(w, 16) / 2**32 >= p for p in rs.POISSON), int(w, 16) >= 2**31) for w in words]
+    plan = rs.bootstrap_large(pairs(spark, np.ones(3), np.zeros(3)), "doc_id", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+
+
+def test_resamples_without_rows_are_left_out(spark):
+    found = rs.bootstrap_large(pairs(spark, np.ones(1), np.zeros(1)), "doc_id", 200).first()
+    assert found.n_resamples == pytest.approx(200 * (1 - np.exp(-1)), abs=30) and found.ci_lower == found.ci_upper == 1
+
+
+def test_pairs_of_all_dimensions_at_once(spark):
+    from judge_jobs.operators import effects
+
+    panel = spark.createDataFrame([(1, 1, 2.0, 3.0), (1, 2, 4.0, None), (2, 1, 1.0, 1.0), (None, 1, 1.0, 1.0), (None, 2, 1.0, 1.0), (3, 0, 1.0, 1.0), (4, 2, 5.0, 5.0), (4, 1, 2.0, 2.5)], "doc_id int, model_index int, x double, y double")
+    long = panel.unpivot(["doc_id", "model_index"], ["x", "y"], "metric", "score")
+    wide = effects.paired_dimensions(panel, 1, 2, ("x", "y"))
+    assert wide.columns == effects.paired(long, 1, 2).columns
+    assert sorted(map(str, wide.collect())) == sorted(map(str, effects.paired(long, 1, 2).collect())) and wide.count() == 4
