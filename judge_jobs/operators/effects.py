@@ -18,6 +18,18 @@ def paired_dimensions(panel: DataFrame, a: int, b: int, dimensions: tuple[str, .
     return side(a, "a").join(side(b, "b"), key).select(key, F.inline(each))
 
 
+def best_rows(panel: DataFrame, dimensions: tuple[str, ...], keys: tuple[str, ...] = ("doc_id", "model_index")) -> DataFrame:
+    """metric, keys, score: the row with the highest score (to six places) of each dimension; of equal ones that with the least keys, nulls last.
+
+    A dimension without scores has no row. A task keeps one row by dimension: a maximum of structs by
+    metric would sort all rows, since only plain numbers have room in a hash table.
+    """
+    order = lambda d: F.struct(F.round(d, 6), *[-F.col(k) for k in keys])
+    best = panel.agg(*[F.max_by(F.struct(*keys, F.round(d, 6).alias("score")), F.when(F.col(d).isNotNull(), order(d))).alias(d) for d in dimensions])
+    each = best.select(F.explode(F.array(*[F.struct(F.lit(d).alias("metric"), F.col(d).alias("best")) for d in dimensions])).alias("e")).select("e.*")
+    return each.where("best is not null").select("metric", "best.*")
+
+
 def unmatched(long: DataFrame, a: int, b: int, keys: tuple[str, ...] = ("doc_id", "metric")) -> DataFrame:
     """By metric: articles that both have, and that only one has."""
     side = lambda m, name: long.where(F.col("model_index") == m).select(*keys, F.lit(1).alias(name))

@@ -470,8 +470,7 @@ def w3_median_pairs(spark, d):
 
 @query
 def w4_best_row(spark, d):
-    best = F.max_by(F.struct("doc_id", "model_index"), F.struct(F.round("score", 6), -F.col("doc_id"), -F.col("model_index")))
-    return long_panel(spark, d).groupBy("metric").agg(best.alias("b"), F.round(F.max("score"), 6).alias("score")).select("metric", "b.doc_id", F.col("b.model_index").cast("long").alias("model_index"), "score")
+    return effects.best_rows(view(spark, d, "panel"), DIMENSIONS).withColumn("model_index", F.col("model_index").cast("long"))
 
 
 @query
