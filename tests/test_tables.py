@@ -172,3 +172,15 @@ def test_subsamples_by_group_are_the_smallest_hashes(spark):
     want = {(g, t): sorted((k for x, k in rows if x == g), key=lambda k: hashed(t, k))[:20] for g in ("large", "small", "hot", None) for t in range(6)}
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
     assert sampling.subsamples(df.where("false"), 20, 6, 3).count() == 0 and sampling.subsamples(df.where("false"), 20, 6, 3, by=("g",)).count() == 0
+
+
+def test_checks_sort_once(spark, tmp_path):
+    """Rows are sorted for the document's figures once, and not again by the folder they are written to."""
+    long = reshape.to_long(raw(spark, 5))
+    plan = validation.checked(long)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 1
+    before = spark.conf.get(validation.OPEN_FILES)
+    with validation._open_files(spark, 2):
+        assert spark.conf.get(validation.OPEN_FILES) == "2"
+    validation.write_checked(long, str(tmp_path / "checked"), docs=5)
+    assert spark.conf.get(validation.OPEN_FILES) == before
