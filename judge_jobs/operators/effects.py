@@ -1,6 +1,6 @@
 """Effect sizes of model pairs, from per-model moments (the rows are aggregated before models are paired)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,9 +11,12 @@ def paired(long: DataFrame, a: int, b: int, keys: tuple[str, ...] = ("doc_id", "
     return side(a, "score_a").join(side(b, "score_b"), list(keys))
 
 
-def paired_dimensions(panel: DataFrame, a: int, b: int, dimensions: tuple[str, ...], key: str = "doc_id") -> DataFrame:
-    """As :func:`paired` for a column of scores by dimension: key, metric, score_a, score_b. Articles meet once, and not once by metric."""
-    side = lambda m, name: panel.where(F.col("model_index") == m).select(key, *[F.col(d).alias(f"{d}_{name}") for d in dimensions])
+def paired_dimensions(panel: DataFrame, a: int | Column, b: int | Column, dimensions: tuple[str, ...], key: str = "doc_id") -> DataFrame:
+    """As :func:`paired` for a column of scores by dimension: key, metric, score_a, score_b. Articles meet once, and not once by metric.
+
+    A side is a model, or what its rows must fulfil.
+    """
+    side = lambda m, name: panel.where(m if isinstance(m, Column) else F.col("model_index") == m).select(key, *[F.col(d).alias(f"{d}_{name}") for d in dimensions])
     each = F.array(*[F.struct(F.lit(d).alias("metric"), F.col(f"{d}_a").alias("score_a"), F.col(f"{d}_b").alias("score_b")) for d in dimensions])
     return side(a, "a").join(side(b, "b"), key).select(key, F.inline(each))
 

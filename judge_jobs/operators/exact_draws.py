@@ -5,6 +5,9 @@ A resample's n draws are split over the leaves from the top down, each split a b
 that every task that needs a split draws the same one; within its leaf a task draws uniformly. Every resample has
 exactly n draws, and no draw depends on partitions or retries.
 
+Units of equal values are exchangeable. Where a table has few values (scores on a scale), they are counted once, and a resample is drawn over
+the counts: multinomial ones for a bootstrap, binomial ones for sign flips. The law is the same, and what is drawn doesn't grow with the rows.
+
 Medians: a resample's median stays near the group's own, so a window of values around that is enough. Rows below it, above it, or
 at one value in it are exchangeable, so counting them is all that a pass over the group does: how many of a resample's draws
 fall to each such class is multinomial (of sign flips: binomial), and the order statistics follow. Where whole clusters are drawn, their units go to
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .resampling import ALTERNATIVES, CELLS, GROUP, GROUPS, _seed_key
+from .resampling import ALTERNATIVES, CELLS, GROUP, GROUPS, _seed_key, null_summary, permutation_by_key
 from .small import sent_if_small
 
 #: Units that a leaf should have, and the bits of the deepest tree (the driver holds up to 2^bits counts for each group).
@@ -31,6 +34,9 @@ DRAWN = 1_000_000
 BLOCK = 100
 #: Values of a window that a task adds up at once for one group (each holds a number for every draw).
 VALUES = 128
+#: Classes of equal values (of all groups) up to which resamples are drawn over their counts, and not over the units. They are fetched once, so that float sums,
+#: which depend on the order of their rows, are the same in all that follows.
+CLASSES = 100_000
 #: Half the first window's share of the ranks, in units of 1 / sqrt(n).
 REACH = 4.0
 
@@ -91,15 +97,33 @@ def _added(values, counts):
     return out
 
 
-def leaved(units: DataFrame, by: tuple[str, ...], ids: str | None = None) -> tuple[DataFrame, dict]:
+def class_draws(seed: int, group: tuple, leaf: int, counts, units):
+    """As :func:`uniform_weights`, for a leaf of classes with ``units`` units each: draws x classes."""
+    import numpy as np
+
+    rng = np.random.default_rng([seed, zlib.crc32(repr(group).encode()), 1 << 23, leaf])
+    step = max(1, CELLS // len(units))
+    for a in range(0, len(counts), step):
+        yield a, rng.multinomial(counts[a : a + step], units / units.sum())
+
+
+def _weighed(weights, values):
+    """Sums of the values by weights, draw by draw. A value that is no number tells only where it is drawn."""
+    import numpy as np
+
+    return weights @ values if np.isfinite(values).all() else np.where(weights > 0, weights * values, 0.0).sum(axis=1)
+
+
+def leaved(units: DataFrame, by: tuple[str, ...], ids: str | None = None, counted: str | None = None) -> tuple[DataFrame, dict]:
     """``units`` (by, h, ...) with their leaf, and for each group the bits of its tree and the units before each leaf.
 
-    A row is a unit; with ``ids`` the rows of one such value are one.
+    A row is a unit; with ``ids`` the rows of one such value are one, with ``counted`` a row is so many.
     """
     import numpy as np
 
     number = F.count_distinct(ids) if ids else F.count("*")
     sizes = units.groupBy(*by).agg(number.alias("units"))
+    number = F.sum(counted) if counted else number
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("units") / LEAF)), F.lit(0)), F.lit(MOST_BITS)).cast("int")
     known = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], bits.alias("bits"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
@@ -139,10 +163,15 @@ def bootstrap_exact(pairs: DataFrame, key: str, n_resamples: int = 10_000, ci_le
     d, unit = (F.col("score_a") - F.col("score_b")).cast("double"), F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = pairs.select(*[c.alias(n) for n, c in _text(by).items()], unit.alias("unit"), d.alias("d"))
     if cluster:
-        units = rows.groupBy(*by, "unit").agg(F.sum("d").alias("d"), F.count("*").cast("double").alias("m")).withColumn("h", _seed_key(seed, "unit"))
+        units = rows.groupBy(*by, "unit").agg(F.sum("d").alias("d"), F.count("*").cast("double").alias("m")).withColumn("c", F.lit(1).cast("long"))
+    else:
+        units = rows.withColumns({"m": F.lit(1.0), "c": F.lit(1).cast("long")})
+    classes = _few(units.groupBy(*by, "d", "m").agg(F.count("*").alias("c")))
+    if classes is None:
+        units = units.withColumn("h", _seed_key(seed, "unit", *["d"] * (not cluster)))
     else:
-        units = rows.withColumns({"m": F.lit(1.0), "h": _seed_key(seed, "unit", "d")})
-    placed, shape = leaved(units, by)
+        units = classes.withColumns({"unit": F.lit(""), "h": _seed_key(seed, "d", "m")})
+    placed, shape = leaved(units, by, counted="c")
     names = [*by, "draw", "total", "weight"]
 
     def run(batches):
@@ -161,22 +190,61 @@ def bootstrap_exact(pairs: DataFrame, key: str, n_resamples: int = 10_000, ci_le
                 yield from emitted()
                 sums.clear()
             bits, upto = shape[group]
-            total, d, m = sums.setdefault(group, np.zeros((n_resamples, 2))), part["d"].to_numpy(float), part["m"].to_numpy(float)
-            for a, c, drawn in uniform_draws(seed, group, leaf, leaf_draws(seed, group, leaf, bits, upto, n_resamples, memo), len(part)):
+            total, d, m, size = sums.setdefault(group, np.zeros((n_resamples, 2))), part["d"].to_numpy(float), part["m"].to_numpy(float), part["c"].to_numpy(np.int64)
+            counts = leaf_draws(seed, group, leaf, bits, upto, n_resamples, memo)
+            if (size > 1).any():
+                for a, w in class_draws(seed, group, leaf, counts, size):
+                    total[a : a + len(w)] += np.stack([_weighed(w, d), _weighed(w, m)], axis=1)
+                continue
+            for a, c, drawn in uniform_draws(seed, group, leaf, counts, len(part)):
                 total[a : a + len(c), 0] += _added(d[drawn], c)
                 total[a : a + len(c), 1] += _added(m[drawn], c) if cluster else c
         yield from emitted()
 
     order = [*by, "leaf", "h", "unit", "d"]
-    dealt = placed.select(*order, "m").repartition(*by, "leaf").sortWithinPartitions(*order)
+    # a leaf is few bytes and much work, so that partitions shouldn't be put together by their bytes
+    number = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select(*order, "m", "c").repartition(number, *by, "leaf").sortWithinPartitions(*order, "m")
     parts = dealt.mapInArrow(run, ", ".join(f"{c} string" for c in by) + ", draw int, total double, weight double")
     tail = (1 - ci_level) / 2
     drawn = parts.groupBy(*by, "draw").agg((F.sum("total") / F.sum("weight")).alias("stat"))
     bounds = drawn.groupBy(*by).agg(F.percentile("stat", [tail, 1 - tail]).alias("ci"), F.count("*").cast("int").alias("n_resamples"))
-    point = units.groupBy(*by).agg((F.sum("d") / F.sum("m")).alias("point_estimate"), F.count("*").alias("n_units_resampled"))
+    point = units.groupBy(*by).agg((F.sum(F.col("c") * F.col("d")) / F.sum(F.col("c") * F.col("m"))).alias("point_estimate"), F.sum("c").alias("n_units_resampled"))
     return _same_groups(point, bounds, by).select(*by, "point_estimate", F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper"), "n_resamples", F.lit(key if cluster else None).cast("string").alias("cluster_by"), "n_units_resampled")
 
 
+def permutation_exact(pairs: DataFrame, key: str, n_permutations: int = 10_000, alternative: str = "two-sided", seed: int = 42, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """Sign-flip test of means for groups of any size, with one sign for each key: over the counts of equal sizes, or row by row if there are many.
+
+    Result as that of ``resampling.permutation``. A difference that is null makes its group's null distribution NaN.
+    """
+    if alternative not in ALTERNATIVES:
+        raise ValueError(f"unsupported alternative: {alternative}")
+    d = F.coalesce((F.col("score_a") - F.col("score_b")).cast("double"), F.lit(float("nan")))
+    units = pairs.select(*[c.alias(n) for n, c in _text(by).items()], F.col(key).alias("unit"), d.alias("d")).groupBy(*by, "unit").agg(F.sum("d").alias("d"), F.count("*").alias("m"))
+    classes = _few(units.groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.sum("m").alias("m")))
+    if classes is None:
+        return permutation_by_key(pairs, key, n_permutations, alternative, seed, by)
+
+    def run(at, counted):
+        import numpy as np
+
+        counted = counted.sort_values("size")
+        size, c, n = counted["size"].to_numpy(float), counted["c"].to_numpy(np.int64), int(counted["m"].sum())
+        rng = np.random.default_rng([seed, zlib.crc32(repr(_named(at[:-1])).encode()), 1 << 24, at[-1]])
+        step = max(1, CELLS // len(c))
+        stats = [(2 * rng.binomial(c, 0.5, size=(min(step, BLOCK - a), len(c))) - c) @ size / n for a in range(0, BLOCK, step)]
+        return _drawn_frame(by, at, n_permutations, np.concatenate(stats))
+
+    return null_summary(_in_blocks(classes, n_permutations, by).applyInPandas(run, _draw_schema(by)), pairs, alternative, by)
+
+
+def _few(classes: DataFrame) -> DataFrame | None:
+    """The classes, fetched once, if there are at most CLASSES of them."""
+    rows = classes.take(CLASSES + 1)
+    return classes.sparkSession.createDataFrame(rows, classes.schema) if len(rows) <= CLASSES else None
+
+
 def _same_groups(left: DataFrame, right: DataFrame, by: tuple[str, ...], how: str = "inner") -> DataFrame:
     other = right.withColumnsRenamed({c: f"_{c}" for c in by})
     return left.join(other, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], how).drop(*[f"_{c}" for c in by])

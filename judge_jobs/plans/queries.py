@@ -617,9 +617,7 @@ def r1_bootstrap_hashed(spark, d):
 @query
 def r2_cluster_bootstrap(spark, d):
     """Whole articles are drawn: rows are all models up to 3 against the article's model 0."""
-    long = long_panel(spark, d)
-    base = long.where("model_index = 0").select("doc_id", "metric", F.col("score").alias("score_b"))
-    rows = long.where("model_index between 1 and 3").withColumnRenamed("score", "score_a").join(base, ["doc_id", "metric"]).withColumn("model_pair", F.lit("later v 0"))
+    rows = effects.paired_dimensions(view(spark, d, "panel"), F.col("model_index").between(1, 3), 0, DIMENSIONS).withColumn("model_pair", F.lit("later v 0"))
     return exact_draws.bootstrap_exact(rows, "doc_id", cluster=True)
 
 

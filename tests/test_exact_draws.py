@@ -154,3 +154,35 @@ def test_empty_and_null_groups(spark):
     assert ed.bootstrap_exact(nulls, "doc_id", 10).first().ci_lower == 1
     assert ed.median_bootstrap(nulls, "doc_id", 10, cluster=True).first().n_units_resampled == 1
     assert ed.median_permutation(nulls, 10).first().observed_statistic == 1
+
+
+def scale(spark, n, docs=None, name="p"):
+    """Scores on a scale of thirds: few classes of equal differences."""
+    return pairs(spark, np.rint(normal(3.2, 1, n) * 3) / 3, np.rint(normal(3, 1, n, 1) * 3) / 3, docs, name)
+
+
+@pytest.mark.parametrize("leaf", [4096, 4])
+def test_resamples_over_counts_of_equal_values(spark, monkeypatch, leaf):
+    """The law is that of one task, for rows and for whole clusters, and of units drawn one by one."""
+    monkeypatch.setattr(ed, "LEAF", leaf)
+    for df, cluster in ((scale(spark, 600), False), (scale(spark, 600, np.arange(600) // 2), True)):
+        small = rs.bootstrap(df, 4000, cluster="doc_id" if cluster else None).first()
+        large = ed.bootstrap_exact(df, "doc_id", 4000, cluster=cluster).first()
+        assert large.point_estimate == pytest.approx(small.point_estimate) and large.n_units_resampled == small.n_units_resampled and large.cluster_by == small.cluster_by
+        assert (large.ci_lower, large.ci_upper) == pytest.approx((small.ci_lower, small.ci_upper), abs=0.02)
+        monkeypatch.setattr(ed, "CLASSES", 3)  # more classes are drawn unit by unit
+        each = ed.bootstrap_exact(df, "doc_id", 4000, cluster=cluster).first()
+        monkeypatch.setattr(ed, "CLASSES", 100_000)
+        assert each.point_estimate == pytest.approx(large.point_estimate) and each.n_units_resampled == large.n_units_resampled
+        assert (each.ci_lower, each.ci_upper) == pytest.approx((large.ci_lower, large.ci_upper), abs=0.02)
+
+
+def test_class_draws_are_multinomial():
+    units = np.array([5, 1, 0, 40, 7])
+    counts = np.full(6000, 60)
+    drawn = np.concatenate([w for _, w in ed.class_draws(1, ("g",), 2, counts, units)])
+    share = units / units.sum()
+    assert (drawn.sum(axis=1) == counts).all() and (drawn[:, 2] == 0).all()
+    assert drawn.mean(axis=0) == pytest.approx(60 * share, rel=0.05) and drawn.var(axis=0) == pytest.approx(60 * share * (1 - share), rel=0.1)
+    values = np.array([1.0, np.nan, np.nan, 2.0, 3.0])
+    assert (np.isnan(ed._weighed(drawn, values)) == (drawn[:, 1] > 0)).all()
