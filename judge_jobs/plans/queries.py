@@ -623,7 +623,7 @@ def r2_cluster_bootstrap(spark, d):
 
 @query
 def r3_permutation(spark, d):
-    return resampling.permutation_by_key(pair57(spark, d), "doc_id")
+    return exact_draws.permutation_exact(pair57(spark, d), "doc_id")
 
 
 @query

@@ -186,3 +186,32 @@ def test_class_draws_are_multinomial():
     assert drawn.mean(axis=0) == pytest.approx(60 * share, rel=0.05) and drawn.var(axis=0) == pytest.approx(60 * share * (1 - share), rel=0.1)
     values = np.array([1.0, np.nan, np.nan, 2.0, 3.0])
     assert (np.isnan(ed._weighed(drawn, values)) == (drawn[:, 1] > 0)).all()
+
+
+def test_sign_flips_over_counts_of_equal_sizes(spark, monkeypatch):
+    df = scale(spark, 500)
+    for way in rs.ALTERNATIVES:
+        p, q = rs.permutation(df, 4000, alternative=way).first(), ed.permutation_exact(df, "doc_id", 4000, way).first()
+        assert q.observed_statistic == pytest.approx(p.observed_statistic) and q.n_permutations == 4000
+        assert q.null_distribution_std == pytest.approx(p.null_distribution_std, rel=0.05) and q.p_value == pytest.approx(p.p_value, abs=0.03)
+    whole = scale(spark, 600, np.arange(600) // 3)
+    q = ed.permutation_exact(whole, "doc_id", 4000).first()
+    d = whole.selectExpr("doc_id", "score_a - score_b AS d").groupBy("doc_id").sum("d").toPandas()["sum(d)"].to_numpy()
+    assert q.null_distribution_std == pytest.approx((d**2).sum() ** 0.5 / 600, rel=0.05)
+    monkeypatch.setattr(ed, "CLASSES", 3)  # more classes: row by row
+    assert ed.permutation_exact(whole, "doc_id", 4000).first().null_distribution_std == pytest.approx(q.null_distribution_std, rel=0.06)
+    assert ed.permutation_exact(df.limit(0), "doc_id", 10).count() == 0
+    with pytest.raises(ValueError):
+        ed.permutation_exact(df, "doc_id", 10, "other")
+
+
+def test_signs_are_even_and_unlike(spark):
+    """Signs of 300 draws, some of one hash each: even for every key, and unlike by key and by draw."""
+    d = np.zeros((60, 300))
+    for k in range(3):
+        rows = spark.createDataFrame(pd.DataFrame({"model_pair": "p", "metric": [str(i) for i in range(20)], "doc_id": [f"{k}-{i}" for i in range(20)], "score_a": 1.0, "score_b": 0.0}))
+        got = rs.draw_sums(rows, "doc_id", 300, "sign", 1).toPandas()
+        assert set(got.total) == {-1.0, 1.0} and (got.weight == 1).all()
+        d[20 * k : 20 * k + 20] = got.pivot(index="metric", columns="draw", values="total").to_numpy()
+    assert abs(d.mean()) < 0.03 and np.abs(d.mean(axis=1)).max() < 0.3
+    assert np.abs(np.corrcoef(d)[~np.eye(60, dtype=bool)]).max() < 0.35 and np.unique(d.T, axis=0).shape[0] == 300
