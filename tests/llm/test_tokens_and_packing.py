@@ -104,3 +104,13 @@ def test_pack_edges(empty, odd, vocabulary):
     rows = packing.pack(odd, vocabulary).collect()
     assert sum(r.length for r in rows if r.doc_id == 4) == 1  # empty text: the end id
     assert sum(r.start == 0 for r in rows) == odd.count()  # null and repeated ids: each row packed
+
+
+def test_pieces_of_text_are_small():
+    """What a worker tokenizes at once is bounded: ids and units of a piece are held several times over."""
+    import pyarrow as pa
+    from judge_jobs.llm.tokens import chunks
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 900_000] * 9 + ["y" * 5_000_000, None])], names=["text"])
+    sizes = [sum(len(t or "") for t in c.column(0).to_pylist()) for c in chunks(batch, 0)]
+    assert sum(sizes) == 13_100_000 and max(s for s in sizes if s != 5_000_000) <= 2_000_000
