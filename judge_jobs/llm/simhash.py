@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, text_col: str = "text", id_col:
 #: Fingerprints of a text for groups by similarity; most bits in which one, and the other two by halves, may differ.
 VIEWS, VIEW_ERRORS, REST_ERRORS = 3, 16, 20
 #: Up to so many classes in candidate pairs (24 bytes each) are broadcast to fetch their texts.
-BROADCAST_NODES = 500_000
+BROADCAST_NODES = 100_000
 
 
 def shingle_set(text: bytes, n: int = 5):
@@ -269,8 +269,7 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
     met = [table(_meetings(nodes, k), "met") for k in range(VIEWS)]  # one after another, so that their shuffles don't add up
     pairs = table(reduce(DataFrame.unionByName, met).distinct(), "pairs")
     wanted = table(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node").join(nodes.select("node", "member.*"), "node"), "wanted")
-    hint = F.broadcast if wanted.count() <= BROADCAST_NODES else lambda x: x
-    found = named.join(hint(wanted.withColumnsRenamed({"doc_id": "d", "tag": "t"})), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
+    found = named.join(bounded(wanted.withColumnsRenamed({"doc_id": "d", "tag": "t"}), BROADCAST_NODES), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
 
     def sets(batches):
         import numpy as np
@@ -281,7 +280,7 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
 
     shingled = table(found.select("node", "text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "shingles")
     common = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    alike = pairs.join(shingled.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(shingled.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     edges = alike.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     reached = table(components(edges).withColumnRenamed("component", "group"), "components")
     # a row goes unless it is the first of its group; a group is that of its node's class, or the class itself
@@ -289,7 +288,7 @@ def keep_first(docs: DataFrame, n: int = 5, least: float = 0.8, text_col: str =
     groups = grouped.groupBy("group").agg(F.min("first").alias("first"))
     named_groups = table(grouped.select(*each, "group").join(groups, "group").select(*each, "first"), "first")
     # narrow rows only: (doc_id, tag) of each text that goes, and how many equal rows each text has that stays
-    narrow = rows.join(named_groups, each).select("doc_id", "tag", (F.struct("doc_id", "tag") == F.col("first")).alias("stays"))
+    narrow = rows.join(named_groups.hint("merge"), each).select("doc_id", "tag", (F.struct("doc_id", "tag") == F.col("first")).alias("stays"))
     seen = narrow.groupBy("doc_id", "tag", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1")
     seen = table(seen.select(F.col("doc_id").alias("di"), F.col("tag").alias("ti"), "stays"), "gone")
     drop_table(rows, nodes, wanted, shingled, reached, named_groups, pairs, *met)
